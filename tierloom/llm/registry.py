@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tierloom.llm import exact_dedup, license_join, packing, quality, token_counts, url_filter
+from tierloom.llm import exact_dedup, license_join, minhash, packing, quality, token_counts, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_components(_table(spark, sf_dir, "documents"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.mark_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -38,7 +42,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_exact_dedup, op6_token_counts, op7_url_filter, op8_packing, op9_license_scan, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_exact_dedup, op6_token_counts, op7_url_filter, op8_packing, op9_license_scan, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
