@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tierloom.llm import exact_dedup, license_join, minhash, packing, quality, resharding, token_counts, unigram, url_filter
+from tierloom.llm import collision_ann, exact_dedup, license_join, minhash, packing, quality, resharding, token_counts, unigram, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +30,10 @@ def op4_unigram_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return unigram.round_trip(_table(spark, sf_dir, "documents"))
 
 
+def op5_collision_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collision_ann.nearest(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(_table(spark, sf_dir, "documents"))
 
@@ -50,7 +55,7 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_exact_dedup, op3_resharding, op4_unigram_round_trip, op6_token_counts, op7_url_filter, op8_packing, op9_license_scan, op10_quality_classifier)}
+    return {f.__name__: f for f in (op1_minhash_near_dedup, op2_exact_dedup, op3_resharding, op4_unigram_round_trip, op5_collision_ann, op6_token_counts, op7_url_filter, op8_packing, op9_license_scan, op10_quality_classifier)}
 
 
 def oracle_sql() -> dict[str, str]:
