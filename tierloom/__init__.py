@@ -1,0 +1 @@
+"""Analytics over rating-stratified reviews, as Spark DataFrame operators."""
