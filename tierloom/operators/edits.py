@@ -12,9 +12,12 @@ from tierloom.functions import labels, spans, text
 def protected_spans(source: Column, shares: list[Column]) -> Column:
     """Spans that an edit must keep, longest first: weight phrases and number tokens, as the source writes them."""
     low = F.lower(source)
-    wanted = F.flatten(F.array(*(F.transform(labels.labels_up_to(s), lambda x, s=s: F.concat(x, F.lit(" das notas (~"), s.cast("string"), F.lit("%)"))) for s in shares))) if shares else F.array().cast("array<string>")
+    wanted = F.array().cast("array<string>")
+    for share in shares:
+        tail = F.concat(F.lit(" das notas (~"), share.cast("string"), F.lit("%)"))
+        wanted = F.concat(wanted, F.transform(labels.labels_up_to(share), lambda x: F.concat(x, tail)))  # noqa: B023
     found = F.filter(F.concat(wanted, F.transform(F.regexp_extract_all(source, F.lit(rf"~?{text.NUMBER}"), F.lit(0)), text.stripped)), lambda x: x != "")
-    own = F.transform(found, lambda x: F.when(F.contains(source, x), x).otherwise(F.substring(source, F.instr(low, F.lower(x)), F.length(x))))
+    own = F.transform(found, lambda x: F.when(F.contains(source, x), x).when(F.instr(low, F.lower(x)) > 0, F.substring(source, F.instr(low, F.lower(x)), F.length(x))))
     kept = F.array_distinct(F.filter(own, lambda x: F.contains(source, x) & (x != "")))
     ordered = F.array_sort(F.transform(kept, lambda x, i: F.struct((-F.length(x)).alias("n"), i.alias("i"), x.alias("span"))))
     return F.transform(ordered, lambda s: s["span"])

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from tierloom import config
 from tierloom.functions import labels, spans, text
-from tierloom.operators import collect, distribution, edits, records, themes
+from tierloom.operators import calls, collect, compare, distribution, edits, records, themes
 from tierloom.plans import sql
 from tierloom.sources import html, tables
+from tierloom.streaming import votes
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -211,7 +212,7 @@ def strong_quantifier_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""SELECT film, bucket, review_id, (nr // 25)::INTEGER AS batch, (nr % 25 + 1)::INTEGER AS place FROM (
   SELECT lang AS film, {sql.bucket("(doc_id % 10 + 1) / 2")} AS bucket, doc_id AS review_id,
-    row_number() OVER (PARTITION BY lang, {sql.bucket("(doc_id % 10 + 1) / 2")} ORDER BY doc_id) - 1 AS nr FROM documents WHERE doc_id % 11 <> 0)""")
+    row_number() OVER (PARTITION BY lang, {sql.bucket("(doc_id % 10 + 1) / 2")} ORDER BY doc_id) - 1 AS nr FROM documents)""")
 def batch_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return themes.batches(tables.bucketed_reviews(spark, sf_dir), 25).select("film", "bucket", "review_id", "batch", "place")
 
@@ -481,3 +482,97 @@ UNION ALL SELECT film, place + 1, CASE WHEN mode = 'reduzido' THEN 'aviso: modo
 UNION ALL SELECT film, place + 1 + rank, theme || ': ~' || mentions || ' de ' || n_reviews FROM ranked JOIN b USING (film, bucket) WHERE mode <> 'sem_analise'""")
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.report_lines(bucket_assembly(spark, sf_dir), themes.first_then_ranked(_themes(spark, sf_dir)), _shares(spark, sf_dir))
+
+
+# runs, displays and calls
+
+
+@query("""WITH w AS (SELECT conv_id, turn, unnest(string_split(text, ' ')) AS word, generate_subscripts(string_split(text, ' '), 1) AS place FROM conversations),
+a AS (SELECT conv_id, turn // 2 AS pair, place, word FROM w WHERE turn % 2 = 0), b AS (SELECT conv_id, turn // 2 AS pair, place, word FROM w WHERE turn % 2 = 1)
+SELECT conv_id, pair, count(a.word) AS n_left, count(b.word) AS n_right, count_if(coalesce(a.word = b.word, false)) AS n_same, count_if(NOT coalesce(a.word = b.word, false)) AS n_differ
+FROM a FULL JOIN b USING (conv_id, pair, place) GROUP BY ALL""")
+def positional_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of a turn against those of the turn after it, as two runs over the same places."""
+    turns = tables.table(spark, sf_dir, "conversations").select("conv_id", F.floor(F.col("turn") / 2).cast("long").alias("pair"), (F.col("turn") % 2).alias("side"), F.split("text", " ").alias("words"))
+    return compare.positional_parity(turns.filter("side = 0").drop("side"), turns.filter("side = 1").drop("side"), ["conv_id", "pair"], "words")
+
+
+@query("""WITH g AS (SELECT DISTINCT lang AS film, doc_id FROM documents JOIN labels USING (doc_id) WHERE toxic = 1),
+p AS (SELECT DISTINCT lang AS film, doc_id FROM documents WHERE contains(lower(text), 'stupid') OR contains(lower(text), 'idiot') OR contains(lower(text), 'moron'))
+SELECT film, count(*) AS n_gold, count(p.doc_id) AS n_found, count(p.doc_id) / count(*) AS recall FROM g LEFT JOIN p USING (film, doc_id) GROUP BY film""")
+def gold_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled toxic documents as gold, three words as the prediction."""
+    docs = tables.table(spark, sf_dir, "documents").withColumnRenamed("lang", "film")
+    gold = docs.join(tables.table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id"), "doc_id")
+    return compare.recall_of(gold, docs.filter(text.has_any(F.col("text"), ("stupid", "idiot", "moron"))), ["film"], "doc_id")
+
+
+@query("""SELECT event_type, user_id, max_by(total, run) AS total, max(run)::INTEGER AS run FROM (
+  SELECT event_type, user_id, round(sum(value), 4) AS total, 1 AS run FROM events GROUP BY ALL
+  UNION ALL SELECT event_type, user_id, round(sum(value), 4), 2 FROM events WHERE value > 20 GROUP BY ALL) GROUP BY ALL""")
+def merged_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums of all events as the first run, of those with large values as a second run that has fewer cells."""
+    events = tables.table(spark, sf_dir, "events")
+    cells = [rows.groupBy("event_type", "user_id").agg(F.round(F.sum("value"), 4).alias("total")) for rows in (events, events.filter("value > 20"))]
+    return compare.later_wins(*cells, ["event_type", "user_id"])
+
+
+@query(f"WITH {sql.REVIEWS} SELECT film, count(*) AS n_rows, count_if(ok AND length(text) >= 150) AS n_valid, count_if(ok AND length(text) >= 150) / count(*) AS rate, ceil(20 / greatest(count_if(ok AND length(text) >= 150) / count(*), 0.05))::BIGINT AS rows_needed FROM eligible GROUP BY film")
+def yield_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.yield_rate(tables.reviews(spark, sf_dir), ["film"], collect.passes(config.LENGTH_CASCADE[0]))
+
+
+@query(f"""WITH {sql.HISTOGRAM}, t AS (SELECT film, bucket, sum(n)::BIGINT AS n, min(level) AS low, max(level) AS high, sum(sum(n)) OVER (PARTITION BY film) AS total FROM histogram GROUP BY film, bucket)
+SELECT film, bucket, round(100.0 * n::DOUBLE / total::DOUBLE, 1) AS width, replace(regexp_replace(low::VARCHAR, '[.]0$', ''), '.', ',') || '–' || replace(regexp_replace(high::VARCHAR, '[.]0$', ''), '.', ',') AS stars,
+  replace(format('{{:,}}', n), ',', '.') AS shown FROM t""")
+def display_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sums = _histogram(spark, sf_dir).groupBy("film", "bucket").agg(F.sum("n").alias("n"), F.min("level").alias("low"), F.max("level").alias("high"))
+    rows = sums.withColumn("total", F.sum("n").over(Window.partitionBy("film")))
+    return rows.select("film", "bucket", compare.bar_width(F.col("n"), F.col("total")).alias("width"), compare.star_band(F.col("low"), F.col("high")).alias("stars"), compare.grouped_digits(F.col("n")).alias("shown"))
+
+
+@query("""SELECT doc_id, round_even(length(text) / 3.5, 0)::BIGINT AS tokens, coalesce(round_even(4096 * length(source) / nullif(length(source) + length(text), 0), 0), 0)::BIGINT AS share,
+  (doc_id % 4 > 2 OR (doc_id % 4 = 2 AND doc_id % 10 >= 5)) AS recent FROM documents""")
+def token_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Estimated tokens, a budget split by size, and a version test on a made-up model name."""
+    name = F.concat(F.lit("model-"), (F.col("doc_id") % 4).cast("string"), F.lit("."), (F.col("doc_id") % 10).cast("string"))
+    share = compare.split_in_proportion(F.lit(4096), F.length("source"), F.length("text"))
+    return _docs(spark, sf_dir).select("doc_id", compare.token_estimate(F.col("text")).alias("tokens"), share.alias("share"), compare.version_at_least(name, 2, 5).alias("recent"))
+
+
+def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return compare.batch_messages(themes.batches(tables.bucketed_reviews(spark, sf_dir), 25).withColumn("text", F.regexp_replace("text", r"\s+", " ")))
+
+
+@query(f"""WITH r AS (SELECT lang AS film, {sql.bucket("(doc_id % 10 + 1) / 2")} AS bucket, doc_id, regexp_replace(text, '\\s+', ' ', 'g') AS text FROM documents),
+n AS (SELECT *, row_number() OVER (PARTITION BY film, bucket ORDER BY doc_id) - 1 AS nr FROM r)
+SELECT film, bucket, (nr // 25)::INTEGER AS batch, count(*) AS n_rows, md5(string_agg('[' || (nr % 25 + 1) || '] ' || text, chr(10) ORDER BY nr)) AS message_md5 FROM n GROUP BY ALL""")
+def batch_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _messages(spark, sf_dir).select("film", "bucket", "batch", "n_rows", F.md5(F.col("message").cast("binary")).alias("message_md5"))
+
+
+@query(f"WITH {sql.THEMES} SELECT film, bucket, theme_id, mentions FROM mentions")
+def model_theme_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two-step flow: batches go to a model, its answers are validated and counted. The offline model gives what keywords give."""
+    answered = calls.ask(_messages(spark, sf_dir), calls.keyword_model(tables.THEMES))
+    listed = answered.select("film", "bucket", F.explode(F.from_json("answer", "map<string,array<string>>")).alias("place", "theme_ids"))
+    return themes.mentions(listed, list(tables.THEMES))
+
+
+@query("""SELECT place, film, n_docs FROM (SELECT lang AS film, count(*) AS n_docs FROM documents GROUP BY lang) JOIN (VALUES (1, 'en'), (2, 'es'), (3, 'xx'), (4, 'de')) c(place, film) USING (film)""")
+def catalogue_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    films = _docs(spark, sf_dir).groupBy(F.col("lang").alias("film")).agg(F.count(F.lit(1)).alias("n_docs"))
+    listed = spark.createDataFrame([(1, "en"), (2, "es"), (3, "xx"), (4, "de")], "place int, film string")
+    return compare.in_catalogue_order(films, listed)
+
+
+@query("SELECT doc_id, regexp_matches(text, '\\p{L}') AND NOT regexp_matches(regexp_replace(text, '\\p{Latin}', '', 'g'), '\\p{L}') AS latin FROM documents")
+def latin_script(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _docs(spark, sf_dir).select("doc_id", records.is_latin(F.col("text")).alias("latin"))
+
+
+@query(f"""SELECT date_trunc('day', ts) AS start, event_type AS film, {sql.bucket("(event_id % 10 + 1) / 2")} AS bucket, count(*) AS n FROM events GROUP BY ALL""")
+def windowed_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streaming extension over a table that is complete."""
+    rows = tables.table(spark, sf_dir, "events").select("ts", F.col("event_type").alias("film"), ((F.col("event_id") % 10 + 1) / 2).alias("level"))
+    return votes.windowed_histogram(rows)

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tierloom import config
+from tierloom.functions.labels import bucket_of
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +38,7 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def full_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fetched texts of truncated reviews: every fourteenth fails, every fifteenth is a spoiler."""
-    d = table(spark, sf_dir, "documents").filter("doc_id % 7 = 0")
+    d = table(spark, sf_dir, "documents").withColumn("truncated", F.col("doc_id") % 7 == 0).filter("truncated")
     fetched = F.when(F.col("doc_id") % 15 == 0, F.lit(config.SPOILER_PLACEHOLDER)).otherwise(F.col("text"))
     return d.select(F.col("doc_id").alias("review_id"), fetched.alias("fetched_text"), (F.col("doc_id") % 14 != 0).alias("fetch_ok"))
 
@@ -47,8 +48,5 @@ THEMES = {"pacing": ("tion", "ción"), "acting": ("sch", "ung"), "visuals": ("ea
 
 
 def bucketed_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """film, bucket, review_id, text of rated documents."""
-    from tierloom.functions.labels import bucket_of
-
-    rows = table(spark, sf_dir, "documents").filter("doc_id % 11 <> 0")
-    return rows.select(F.col("lang").alias("film"), bucket_of((F.col("doc_id") % 10 + 1) / 2).alias("bucket"), F.col("doc_id").alias("review_id"), "text")
+    """film, bucket, review_id, text of every document."""
+    return table(spark, sf_dir, "documents").select(F.col("lang").alias("film"), bucket_of((F.col("doc_id") % 10 + 1) / 2).alias("bucket"), F.col("doc_id").alias("review_id"), "text")
