@@ -202,3 +202,14 @@ def test_stream_agrees_with_table(spark, tmp_path):
     running = stream.writeStream.format("memory").queryName("votes").outputMode("complete").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     running.awaitTermination()
     assert sorted(map(tuple, spark.table("votes").collect())) == sorted(map(tuple, votes.windowed_histogram(rows).collect()))
+
+
+def test_search_hits_and_records(spark):
+    page = '<ul><li data-film-slug="a-1999" data-film-name="A" data-film-release-year="1999"></li><li data-film-slug="b">B (2001)</li><li data-film-slug="c">C</li></ul>'
+    found = html.read_search(spark.createDataFrame([("q", page)], "query string, html string")).orderBy("rank").collect()
+    assert [(r.slug, r.name, r.year) for r in found] == [("a-1999", "A", 1999), ("b", "B (2001)", 2001), ("c", "C", None)]
+    details = [("f", "", "Cure", "", "Synopsis", [("drama",)], [("Director", "黒沢清")], [("Director", "Kiyoshi Kurosawa")], "1997-12-27"), ("g", "G", "", "Sinopse", None, [], [], [], None)]
+    schema = "film string, title string, original_title string, overview string, overview_en string, genres array<struct<name:string>>, crew array<struct<job:string,name:string>>, crew_en array<struct<job:string,name:string>>, release_date string"
+    rows = {r.film: r for r in records.film_records(spark.createDataFrame(details, schema)).collect()}
+    assert tuple(rows["f"]) == ("f", "Cure", ["drama"], "Kiyoshi Kurosawa", True, "Synopsis", True, 1997)
+    assert tuple(rows["g"]) == ("g", "G", [], None, False, "Sinopse", False, None)

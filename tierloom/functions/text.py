@@ -117,3 +117,24 @@ def wrapped_format(text: Column) -> Column:
 def guarded_percent_at(text: Column, pct: Column) -> Column:
     """1-based place of "N%" that no digit precedes; 0 without one."""
     return F.regexp_instr(F.lower(text), F.concat(F.lit(r"(?<!\d)"), pct.cast("string"), F.lit("%")))
+
+
+def without_fences(answer: Column) -> Column:
+    """A model's answer without the Markdown fence around it."""
+    return F.regexp_replace(stripped(answer), r"^```(?:json)?\s*|\s*```$", "")
+
+
+def url_quoted(text: Column) -> Column:
+    """Percent-encoding, with %20 for spaces."""
+    return F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+
+
+def html_escaped(text: Column) -> Column:
+    for mark, entity in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&quot;")):
+        text = F.replace(text, F.lit(mark), F.lit(entity))
+    return text
+
+
+def first_match(text: Column, patterns: list[str]) -> Column:
+    """The first group of the first pattern that matches; null when none does."""
+    return F.coalesce(*(F.nullif(F.regexp_extract(text, p, 1), F.lit("")) for p in patterns))

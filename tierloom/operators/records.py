@@ -118,3 +118,28 @@ def fluency(docs: DataFrame, key: str = "doc_id") -> DataFrame:
         F.coalesce(F.array_min("lengths"), F.lit(0)).alias("shortest"), F.size(F.filter(pairs, lambda x: x)).alias("repeated_openings"),
         F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"(?iU)\b(?:" + "|".join(text.REPORT_STEMS) + r")\w*")).alias("report_verbs"), text.count_among(words, text.INTENSIFIERS).alias("intensifiers"),
     )
+
+
+def next_place(rows: DataFrame, keys: list[str], place: str, name: str) -> DataFrame:
+    """Adds the next greater place of the same keys: repeated places share theirs; null for the last."""
+    order = Window.partitionBy(*keys).orderBy(place)
+    following = rows.select(*keys, place).distinct().withColumn(name, F.lead(place).over(order))
+    return rows.join(following, [*keys, place])
+
+
+def film_records(details: DataFrame) -> DataFrame:
+    """film, title, genres, director, transliterated, synopsis, fallback, year from local and English details.
+
+    ``details``: film, title, original_title, overview, overview_en, genres (array of names in structs),
+    crew and crew_en (arrays of job and name), release_date. An empty synopsis and a director's name that
+    is not in Latin script fall back to the English ones, and say so.
+    """
+    own, english = director(F.col("crew")), director(F.col("crew_en"))
+    swapped = F.coalesce(~is_latin(own) & is_latin(english), F.lit(False))
+    empty = F.coalesce(F.col("overview"), F.lit("")) == ""
+    year = F.nullif(F.regexp_extract(F.coalesce("release_date", F.lit("")), r"^(\d{4})", 1), F.lit("")).cast("int")
+    return details.select(
+        "film", F.coalesce(F.nullif("title", F.lit("")), "original_title", F.lit("")).alias("title"), F.transform("genres", lambda g: g["name"]).alias("genres"),
+        F.when(swapped, english).otherwise(own).alias("director"), swapped.alias("transliterated"), F.when(empty, F.coalesce("overview_en", F.lit(""))).otherwise(F.col("overview")).alias("synopsis"),
+        empty.alias("fallback"), year.alias("year"),
+    )

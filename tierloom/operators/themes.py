@@ -106,3 +106,22 @@ def strong_phrase_without_support(prose: DataFrame, themes: DataFrame, least: in
     best = themes.groupBy("film").agg(F.max("pct").alias("max_pct"))
     strong = text.has_any(F.col("text"), text.STRONG_PHRASES)
     return prose.join(best, "film", "left").select("film", strong.alias("strong"), F.coalesce("max_pct", F.lit(0)).alias("max_pct"), (~strong | (F.coalesce("max_pct", F.lit(0)) >= least)).alias("ok"))
+
+
+def invalid_ids(assigned: DataFrame, known: DataFrame) -> DataFrame:
+    """film, bucket, n_listed, n_invalid: listed ids that ``known`` (theme_id) lacks."""
+    rows = assigned.select("film", "bucket", F.explode("theme_ids").alias("theme_id"))
+    checked = rows.join(known.select("theme_id", F.lit(True).alias("real")), "theme_id", "left")
+    return checked.groupBy("film", "bucket").agg(F.count(F.lit(1)).alias("n_listed"), F.count_if(F.col("real").isNull()).alias("n_invalid"))
+
+
+def named_proposals(proposed: DataFrame) -> DataFrame:
+    """Proposed (film, bucket, ord, id, theme) with a name; a missing id is "t" and the place."""
+    kept = proposed.filter(F.trim(F.coalesce("theme", F.lit(""))) != "")
+    return kept.withColumn("id", F.coalesce(F.nullif("id", F.lit("")), F.concat(F.lit("t"), F.col("ord").cast("string"))))
+
+
+def declared_by_group(spans: DataFrame) -> DataFrame:
+    """(film, group, ord, snippet) to one row per film and group, snippets in order of declaration."""
+    listed = F.array_sort(F.collect_list(F.struct("ord", "snippet")))
+    return spans.groupBy("film", "group").agg(F.transform(listed, lambda x: x["snippet"]).alias("snippets"))

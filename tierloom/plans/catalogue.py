@@ -576,3 +576,71 @@ def windowed_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The streaming extension over a table that is complete."""
     rows = tables.table(spark, sf_dir, "events").select("ts", F.col("event_type").alias("film"), ((F.col("event_id") % 10 + 1) / 2).alias("level"))
     return votes.windowed_histogram(rows)
+
+
+# small operators
+
+
+@query(f"WITH {sql.THEMES} SELECT film, bucket, sum(mentions)::BIGINT AS n_listed, coalesce(sum(mentions) FILTER (theme_id NOT IN ('pacing', 'acting', 'mood')), 0)::BIGINT AS n_invalid FROM mentions GROUP BY ALL")
+def invalid_theme_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return themes.invalid_ids(_assigned(spark, sf_dir), spark.createDataFrame([("pacing",), ("acting",), ("mood",)], "theme_id string"))
+
+
+@query("""SELECT n_regionkey AS film, 'all' AS bucket, n_nationkey AS ord, CASE WHEN n_nationkey % 3 = 0 THEN 't' || n_nationkey ELSE 'own' || n_nationkey END AS id, n_name AS theme
+FROM nation WHERE n_nationkey % 4 <> 0""")
+def named_proposals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as proposed themes; every fourth has a blank name and every third no id."""
+    rows = tables.table(spark, sf_dir, "nation").select(
+        F.col("n_regionkey").alias("film"), F.lit("all").alias("bucket"), F.col("n_nationkey").alias("ord"), F.when(F.col("n_nationkey") % 3 != 0, F.concat(F.lit("own"), F.col("n_nationkey").cast("string"))).alias("id"),
+        F.when(F.col("n_nationkey") % 4 == 0, " ").otherwise(F.col("n_name")).alias("theme"),
+    )
+    return themes.named_proposals(rows)
+
+
+@query("SELECT n_regionkey AS film, substring(n_name, 1, 1) AS \"group\", string_agg(n_name, '|' ORDER BY n_nationkey) AS snippets FROM nation GROUP BY ALL")
+def declared_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = tables.table(spark, sf_dir, "nation").select(F.col("n_regionkey").alias("film"), F.substring("n_name", 1, 1).alias("group"), F.col("n_nationkey").alias("ord"), F.col("n_name").alias("snippet"))
+    return themes.declared_by_group(rows).withColumn("snippets", F.array_join("snippets", "|"))
+
+
+@query(f"""WITH {sql.METADATA} SELECT film, {sql.bucket("level")} AS bucket, array_to_string(list_sort(list(DISTINCT threshold)), ',') AS filters, bool_or(n_spoiler > 0) AS any_spoiler, bool_or(n_valid = 0) AS any_empty
+FROM metadata GROUP BY ALL""")
+def bucket_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = level_metadata(spark, sf_dir).withColumn("bucket", labels.bucket_of(F.col("level")))
+    filters = F.array_join(F.array_sort(F.collect_set("threshold")), ",")
+    return rows.groupBy("film", "bucket").agg(filters.alias("filters"), F.bool_or(F.col("n_spoiler") > 0).alias("any_spoiler"), F.bool_or(F.col("n_valid") == 0).alias("any_empty"))
+
+
+@query("SELECT event_id, user_id, ts, lead_ts AS next_ts FROM events JOIN (SELECT user_id, ts, lead(ts) OVER (PARTITION BY user_id ORDER BY ts) AS lead_ts FROM (SELECT DISTINCT user_id, ts FROM events)) USING (user_id, ts)")
+def next_event(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The next later event of a user, as the next anchor after a group's own."""
+    return records.next_place(tables.table(spark, sf_dir, "events").select("event_id", "user_id", "ts"), ["user_id"], "ts", "next_ts")
+
+
+@query("""SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events""")
+def fenced_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Properties wrapped in fences as a model would, unwrapped and parsed."""
+    wrapped = F.concat(F.lit("```json\n"), F.col("props"), F.lit("\n```"))
+    return tables.table(spark, sf_dir, "events").select("event_id", F.from_json(text.without_fences(wrapped), "k bigint")["k"].alias("k"))
+
+
+@query("""SELECT page_id, url_encode(url) AS quoted, replace(replace(replace(replace(url, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS escaped,
+  coalesce(nullif(regexp_extract(url, '[?&]page=([0-9]+)', 1), ''), nullif(regexp_extract(url, '/([0-9]+)', 1), '')) AS number FROM pages""")
+def quoted_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = tables.table(spark, sf_dir, "pages")
+    return pages.select("page_id", text.url_quoted(F.col("url")).alias("quoted"), text.html_escaped(F.col("url")).alias("escaped"), text.first_match(F.col("url"), ["[?&]page=([0-9]+)", "/([0-9]+)"]).alias("number"))
+
+
+@query("""WITH c AS (SELECT n_nationkey AS film, n_name, arg_min(s_name, s_suppkey) FILTER (s_suppkey % 3 = 0) AS director, list(s_name ORDER BY s_suppkey) AS names, min(s_suppkey) AS low
+  FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey GROUP BY ALL)
+SELECT film, n_name AS title, director, false AS transliterated, CASE WHEN film % 2 = 0 THEN 'english ' || n_name ELSE 'local ' || n_name END AS synopsis, film % 2 = 0 AS fallback, 1990 + film AS year FROM c""")
+def film_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations as films, their suppliers as crews: every third supplier directs, and every other synopsis is only there in English."""
+    crew = F.array_sort(F.collect_list(F.struct(F.col("s_suppkey").alias("k"), F.when(F.col("s_suppkey") % 3 == 0, "Director").otherwise("Writer").alias("job"), F.col("s_name").alias("name"))))
+    nations = tables.table(spark, sf_dir, "nation").join(tables.table(spark, sf_dir, "supplier"), F.col("s_nationkey") == F.col("n_nationkey"), "left").groupBy(F.col("n_nationkey").alias("film"), "n_name").agg(crew.alias("crew"))
+    even = F.col("film") % 2 == 0
+    details = nations.select(
+        "film", F.lit("").alias("title"), F.col("n_name").alias("original_title"), F.when(~even, F.concat(F.lit("local "), F.col("n_name"))).otherwise("").alias("overview"), F.concat(F.lit("english "), F.col("n_name")).alias("overview_en"),
+        F.array(F.struct(F.lit("drama").alias("name"))).alias("genres"), "crew", F.col("crew").alias("crew_en"), F.concat((1990 + F.col("film")).cast("string"), F.lit("-05-01")).alias("release_date"),
+    )
+    return records.film_records(details).drop("genres")

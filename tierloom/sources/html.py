@@ -132,6 +132,20 @@ def histogram_rows(html: str | None) -> list[dict]:
     return [{"level": k, "n": v} for k, v in sorted(found.items())] if set(found) == set(config.LEVELS) else []
 
 
+def search_hits(html: str | None) -> list[dict]:
+    """Films of a search page in order: slug, name, and the year of its metadata or, in brackets, of its name."""
+    out = []
+    for node in tree(html).walk():
+        slug = node.attrs.get("data-film-slug") or node.attrs.get("data-item-slug")
+        if not slug:
+            continue
+        name = node.attrs.get("data-film-name") or node.attrs.get("data-item-name") or node.text()
+        told = node.attrs.get("data-film-release-year") or ""
+        named = re.search(r"\((\d{4})\)", name)
+        out.append({"rank": len(out), "slug": slug, "name": name, "year": int(told) if told.isdigit() else int(named[1]) if named else None})
+    return out
+
+
 def _rows(pages: DataFrame, parse, schema: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -152,6 +166,10 @@ def read_histograms(pages: DataFrame) -> DataFrame:
     return _rows(pages, histogram_rows, "level double, n bigint")
 
 
+def read_search(pages: DataFrame) -> DataFrame:
+    return _rows(pages, search_hits, "rank int, slug string, name string, year int")
+
+
 @F.pandas_udf(StringType())
 def page_text(html: pd.Series) -> pd.Series:
     """All text of a page, pieces joined by single spaces; scripts and styles left out."""
