@@ -13,7 +13,7 @@ REVIEW = "film string, level double, page int, pos int, review_id string, rating
 
 def reviews(spark, lengths, level=3.0, page_rows=12, **flags):
     rows = [("f", level, i // page_rows + 1, i % page_rows, f"v{i}", flags.get("rating", {}).get(i, level), "x" * n, i in flags.get("spoilers", ()), i in flags.get("truncated", {}), flags.get("truncated", {}).get(i)) for i, n in enumerate(lengths)]
-    return spark.createDataFrame(rows, REVIEW)
+    return spark.createDataFrame(rows, REVIEW).withColumn("n_chars", F.length("text"))
 
 
 @pytest.mark.parametrize(("lengths", "threshold", "kept"), [([200] * 3, 150, 3), ([80] * 4, 50, 4), ([20] * 2, 0, 2), ([200, 80, 20], 150, 1)])

@@ -1,7 +1,8 @@
 """Collection per rating level: dedup, early stop, adaptive length cascade, quota, counters, bucket roll-up.
 
-Reviews are rows of film, level, page, pos, review_id, rating, text, spoiler, truncated and
-full_text_url. All films and levels go through one plan; nothing loops over them.
+Reviews are rows of film, level, page, pos, review_id, rating, text, n_chars, spoiler, truncated and
+full_text_url. All films and levels go through one plan; nothing loops over them. Only ``n_chars``, the
+length of the visible text, is looked at before completion, so windows and joins do not carry texts.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ def eligible() -> Column:
 
 
 def passes(least: int | Column) -> Column:
-    return eligible() & (F.length("text") >= least)
+    return eligible() & (F.col("n_chars") >= least)
 
 
 def first_seen(rows: DataFrame, keys: list[str], identity: list[str], order: list[str]) -> DataFrame:
@@ -68,11 +69,12 @@ def level_quota(rows: DataFrame, quota: int = config.QUOTA_PER_LEVEL) -> DataFra
 
 def completion(rows: DataFrame, full_texts: DataFrame) -> DataFrame:
     """Adds full_text and status: complete, completed, no_url, spoiler_in_full or fetch_failed."""
-    joined = rows.join(full_texts, "review_id", "left")
+    spoiled = F.contains(F.col("fetched_text"), F.lit(config.SPOILER_PLACEHOLDER))
+    joined = rows.join(full_texts.withColumn("fetched_spoiler", spoiled), "review_id", "left")
     status = (
         F.when(~F.col("truncated"), "complete").when(F.col("full_text_url").isNull(), "no_url")
         .when(~F.coalesce(F.col("fetch_ok"), F.lit(False)), "fetch_failed")
-        .when(F.contains(F.col("fetched_text"), F.lit(config.SPOILER_PLACEHOLDER)), "spoiler_in_full").otherwise("completed")
+        .when(F.col("fetched_spoiler"), "spoiler_in_full").otherwise("completed")
     )
     done = joined.withColumn("status", status)
     full = F.when(F.col("status") == "complete", F.col("text")).when(F.col("status") == "completed", F.col("fetched_text"))
@@ -93,7 +95,7 @@ def level_metadata(rows: DataFrame, completed: DataFrame) -> DataFrame:
     )
     counted = rows.groupBy("film", "level").agg(
         F.max("threshold").alias("threshold"), F.count_distinct("page").alias("n_pages"), F.count(F.lit(1)).alias("n_raw"), F.count_if(F.col("rating").isNull()).alias("n_unrated"),
-        F.count_if(F.col("rating").isNotNull() & F.col("spoiler")).alias("n_spoiler"), F.count_if(eligible() & (F.length("text") < F.col("threshold"))).alias("n_short"),
+        F.count_if(F.col("rating").isNotNull() & F.col("spoiler")).alias("n_spoiler"), F.count_if(eligible() & (F.col("n_chars") < F.col("threshold"))).alias("n_short"),
     )
     none = lambda c: F.coalesce(F.col(c), F.lit(0))
     return counted.join(found, ["film", "level"], "left").select(

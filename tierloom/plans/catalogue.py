@@ -81,7 +81,7 @@ def _completed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {sql.REVIEWS} SELECT film, level, review_id, length(text) AS n_chars FROM eligible WHERE ok AND length(text) >= 150")
 def valid_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.reviews(spark, sf_dir).filter(collect.passes(config.LENGTH_CASCADE[0])).select("film", "level", "review_id", F.length("text").alias("n_chars"))
+    return tables.reviews(spark, sf_dir).filter(collect.passes(config.LENGTH_CASCADE[0])).select("film", "level", "review_id", "n_chars")
 
 
 @query("SELECT event_id, user_id, event_type, value FROM (SELECT *, row_number() OVER (PARTITION BY event_type, user_id ORDER BY ts, event_id) AS n FROM events) WHERE n = 1")

@@ -28,7 +28,7 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id", "left")
     level = (F.col("doc_id") % 10 + 1) / 2
     rows = d.select(
-        F.col("lang").alias("film"), level.alias("level"), F.col("doc_id").alias("review_id"), F.when(F.col("doc_id") % 11 != 0, level).alias("rating"), "text",
+        F.col("lang").alias("film"), level.alias("level"), F.col("doc_id").alias("review_id"), F.when(F.col("doc_id") % 11 != 0, level).alias("rating"), "text", F.length("text").alias("n_chars"),
         (F.coalesce("toxic", F.lit(0)) == 1).alias("spoiler"), (F.col("doc_id") % 7 == 0).alias("truncated"),
         F.when(F.col("doc_id") % 21 != 0, F.concat(F.lit("/full/"), F.col("doc_id").cast("string"))).alias("full_text_url"),
     )
