@@ -1,7 +1,7 @@
 """Near-duplicate groups by b-bit MinHash.
 
 1. Each text gives its shingle set's size and digest, ``HASHES`` minima, of which ``BITS`` low bits
-   each are packed into four 64-bit words, and ``BANDS`` band keys, each a hash of ``ROWS`` full minima.
+   each are packed into 64-bit words, and ``BANDS`` band keys, each a hash of ``ROWS`` full minima.
    Texts with the same set are one class, known by its smallest doc_id.
 2. Classes that share a band key are candidates. Each key's smallest class is its centre. Centres are
    compared with the key's other classes: first the similarity that equal bits suggest, corrected for
@@ -12,7 +12,7 @@
 4. The second links join the components of the first.
 
 A pair of similarity 0.75 shares no band key with probability (1 - 0.75^4)^32 = 5e-6; the estimate
-loses a pair that shares one with about 1e-6. Nothing is capped. A group of thousands of near copies
+loses a pair of just 0.75 that shares one with about 3e-6. Nothing is capped. A group of thousands of near copies
 is decided by its links to a few centres, and the members of one centre are compared in slices
 of about ``PER_SLICE``.
 """
@@ -31,11 +31,13 @@ from tierloom.llm.components import components
 from tierloom.llm.durable import written
 from tierloom.llm.shingles import mixed, shingle_sets
 
-HASHES, BITS, BANDS = 128, 2, 32
-ROWS = HASHES // BANDS
+HASHES, BITS = 1024, 2
+#: The first ``BANDS * ROWS`` minima make the band keys.
+BANDS, ROWS = 32, 4
 #: Of a hundred.
 THRESHOLD = 75
-SLACK = 0.23
+#: Four and a half standard deviations of the estimate at the threshold.
+SLACK = 0.073
 PER_SLICE = 64
 #: Up to so many ids (8 bytes each) are broadcast to pick texts where they lie; more are joined.
 BROADCAST_IDS = 1_000_000
@@ -65,7 +67,7 @@ def minima(sets: list[np.ndarray]) -> np.ndarray:
 
 def band_keys(found: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
-        rows = found.reshape(len(found), BANDS, ROWS).astype(np.uint64) * _BAND_PLACE
+        rows = found[:, : BANDS * ROWS].reshape(len(found), BANDS, ROWS).astype(np.uint64) * _BAND_PLACE
         return mixed(rows.sum(axis=2, dtype=np.uint64) + np.arange(BANDS, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)).view(np.int64)
 
 
@@ -104,24 +106,29 @@ def signatures(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(sign, SIGNATURE_SCHEMA)
 
 
-def estimated_similarity(left: str, right: str) -> Column:
-    """From packed bits of two aliases: the share of equal minima, less what equal bits by chance give."""
+def estimated_similarity(left: str, right: str, words: int = _WORDS) -> Column:
+    """From the first packed words of two aliases: the share of equal minima, less what equal bits by chance give."""
     differ = F.lit(0)
     lanes = sum(1 << (BITS * i) for i in range(64 // BITS))
-    for s in _SIGNATURE:
+    for s in _SIGNATURE[:words]:
         x = F.col(f"{left}.{s}").bitwiseXOR(F.col(f"{right}.{s}"))
         folded = x
         for k in range(1, BITS):
             folded = folded.bitwiseOR(F.shiftrightunsigned(x, k))
         differ = differ + F.bit_count(folded.bitwiseAND(F.lit(lanes)))
     by_chance = 1 / (1 << BITS)
-    return (1 - differ / HASHES - by_chance) / (1 - by_chance)
+    return (1 - differ / (words * 64 // BITS) - by_chance) / (1 - by_chance)
 
 
 def may_be_near(left: str, right: str) -> Column:
-    """What a pair must pass before its sets are compared: sizes that allow the similarity, and bits that suggest it."""
+    """What a pair must pass before its sets are compared: sizes that allow the similarity, and bits that suggest it.
+
+    A part of the bits, with slack that grows as the part shrinks, spares most pairs the full count.
+    """
     sizes = [F.col(f"{left}.n_shingles"), F.col(f"{right}.n_shingles")]
-    return (F.least(*sizes) * 100 >= F.greatest(*sizes) * THRESHOLD) & (estimated_similarity(left, right) >= THRESHOLD / 100 - SLACK)
+    few = _WORDS // 16
+    suggested = [estimated_similarity(left, right, n) >= THRESHOLD / 100 - SLACK * (_WORDS / n) ** 0.5 for n in (few, 4 * few, _WORDS)]
+    return (F.least(*sizes) * 100 >= F.greatest(*sizes) * THRESHOLD) & suggested[0] & suggested[1] & suggested[2]
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,7 +158,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     pairs = written(pairs, "pairs")
     slices = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PER_SLICE).cast("int").alias("slices"))
     members = pairs.join(slices, "a").select("a", F.pmod(F.xxhash64("b"), F.col("slices")).cast("int").alias("slice"), F.col("b").alias("id"), F.lit(0).alias("is_centre"))
-    centres = members.select("a", "slice", F.col("a").alias("id"), F.lit(1).alias("is_centre")).distinct()
+    centres = slices.select("a", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.col("a").alias("id"), F.lit(1).alias("is_centre"))
     wanted = written(members.union(centres), "slices")
     ids = written(wanted.select("id").distinct(), "ids")
     few = ids.count() <= BROADCAST_IDS
@@ -197,20 +204,22 @@ def _linked(signed: DataFrame, texts: DataFrame) -> DataFrame:
     classed = written(usable.join(reps, "digest").select("doc_id", "n_shingles", "rep", *(F.when(first, F.col(c)).alias(c) for c in ("bands", *_SIGNATURE))), "classes")
     classes = classed.filter(first)
 
-    keyed = classed.filter(first).select("rep", F.explode("bands").alias("key"))
+    keyed = classed.filter(first).select("rep", F.posexplode("bands").alias("band", "key"))
     centres = keyed.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).filter("centre <> last").drop("last")
     members = written(keyed.join(centres, "key"), "members")
     stars = members.filter("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
     links = confirmed(_with_signatures(stars, classes), texts)
     roots = components(links)
 
-    own = members.join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", "centre", F.coalesce("root", "rep").alias("root"))
+    own = members.join(roots, F.col("rep") == F.col("node"), "left").select("key", "band", "rep", "centre", F.coalesce("root", "rep").alias("root"))
     centre_roots = roots.select(F.col("node").alias("centre"), F.col("root").alias("centre_root"))
     own = own.join(centre_roots, "centre", "left").withColumn("apart", F.col("root") != F.coalesce("centre_root", "centre")).drop("centre_root")
     open_keys = own.filter("apart").select("key").distinct()
-    rest = written(own.join(open_keys, "key", "left_semi").join(classes.select("rep", "n_shingles", *_SIGNATURE), "rep"), "rest")
+    rest = written(own.join(open_keys, "key", "left_semi").join(classes.select("rep", "n_shingles", "bands", *_SIGNATURE), "rep"), "rest")
     x, y = rest.filter("apart").alias("x"), rest.filter("rep <> centre").alias("y")
-    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & (~F.col("y.apart") | (F.col("x.rep") < F.col("y.rep"))) & may_be_near("x", "y")
+    # a pair is only taken at the first key that both have
+    earlier = F.arrays_overlap(F.slice("x.bands", F.lit(1), F.col("x.band")), F.slice("y.bands", F.lit(1), F.col("y.band")))
+    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & (~F.col("y.apart") | (F.col("x.rep") < F.col("y.rep"))) & may_be_near("x", "y") & ~earlier
     pairs = x.join(y, meet).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
     more = confirmed(pairs, texts)
     root_of = roots.select(F.col("node"), F.col("root"))
