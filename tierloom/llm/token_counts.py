@@ -39,7 +39,7 @@ def frequent_lengths(docs: DataFrame, path: str, rows: int, sample_rows: int = S
     """The table: the units, joined by spaces (no unit of the table has one), and a byte for each one's length."""
     share = min(1.0, sample_rows / max(1, rows))
     sampled = docs.select("text").sample(fraction=share, seed=11).mapInArrow(_unit_counts, "unit string, n long")
-    top = sampled.groupBy("unit").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "unit").limit(units)
+    top = sampled.groupBy("unit").agg(F.sum("n").alias("n")).filter("n > 2").orderBy(F.desc("n"), "unit").limit(units)
     found = [r.unit for r in top.select("unit").collect() if " " not in r.unit]
     tokenizer = Tokenizer(path)
     lengths = bytes(min(255, tokenizer._count(" " + x)) for x in found)
