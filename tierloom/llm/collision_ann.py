@@ -9,12 +9,15 @@ query; a vector that collides in ``SHARE`` of the arrays or more is verified by
 ends in a block once more than ``VERIFIED`` of the block's vectors, and ``k`` at least, are verified.
 The best ``k`` of every block compete for the answer.
 
-Every row is indexed; no sample is taken. Queries are dealt into groups of about ``PER_GROUP`` rows,
-and each group meets each block as one task's work; what is shuffled are packed groups and blocks.
+Every row is indexed; no sample is taken. Queries are dealt into groups of about ``PER_GROUP`` rows and
+groups into slices of about ``PER_SLICE``. A task holds one block's index at a time while the groups of
+a slice go past it, so each block is sent once for each slice, and each group once for each block.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -27,6 +30,8 @@ SHARE = 0.65
 RADIUS, GROWTH = 0.8, 1.15
 VERIFIED = 0.15
 PER_BLOCK, PER_GROUP = 8192, 256
+#: Groups of queries that one copy of a block's index serves.
+PER_SLICE = 32
 NEIGHBOURS = 5
 SEED = 5
 
@@ -107,21 +112,33 @@ class SortedProjections:
             radius *= GROWTH
 
 
-def _search(table: pa.Table, k: int) -> pa.Table:
-    out: list[tuple[int, int, float]] = []
-    block = _unpacked(*(table[c][0].as_py() for c in ("ids", "vectors", "norms")))
-    index = SortedProjections(block[1], block[2])
-    ids, vectors, norms = block
-    for row in range(table.num_rows):
-        for q, v, norm in zip(*_unpacked(*(table[c][row].as_py() for c in ("q_ids", "q_vectors", "q_norms"))), strict=True):
-            found = index.candidates(v / norm, k + 1)
-            found = found[ids[found] != q]
-            # a sum for each row, so that equal vectors have equal scores in every block
-            score = (vectors[found] * v).sum(axis=1) / (norms[found] * norm)
-            best = np.lexsort((ids[found], -score))[:k]
-            out += zip([int(q)] * len(best), ids[found][best].tolist(), score[best].tolist(), strict=True)
-    columns = list(zip(*out, strict=True)) if out else [[], [], []]
-    return pa.table({n: pa.array(c, t) for n, c, t in zip(("query_id", "vec_id", "score"), columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)})
+def _searcher(k: int):
+    """Rows sorted so that each slice's block comes first: one index is held at a time, groups of queries go past it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, block, index = None, None, None
+        for batch in batches:
+            for row in range(batch.num_rows):
+                key = batch["part"][row].as_py(), batch["slice"][row].as_py()
+                packed = _unpacked(*(batch[c][row].as_py() for c in ("ids", "vectors", "norms")))
+                if not batch["asks"][row].as_py():
+                    held, block, index = key, packed, SortedProjections(packed[1], packed[2])
+                    continue
+                if key != held:
+                    continue
+                out: list[tuple[int, int, float]] = []
+                ids, vectors, norms = block
+                for q, v, norm in zip(*packed, strict=True):
+                    found = index.candidates(v / norm, k + 1)
+                    found = found[ids[found] != q]
+                    # a sum for each row, so that equal vectors have equal scores in every block
+                    score = (vectors[found] * v).sum(axis=1) / (norms[found] * norm)
+                    best = np.lexsort((ids[found], -score))[:k]
+                    out += zip([int(q)] * len(best), ids[found][best].tolist(), score[best].tolist(), strict=True)
+                columns = list(zip(*out, strict=True)) if out else [[], [], []]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "vec_id", "score"])
+
+    return run
 
 
 def nearest(vectors: DataFrame, queries: Column, k: int = NEIGHBOURS, per_block: int = PER_BLOCK, per_group: int = PER_GROUP) -> DataFrame:
@@ -141,9 +158,13 @@ def nearest(vectors: DataFrame, queries: Column, k: int = NEIGHBOURS, per_block:
         same = F.size("v") == length
         blocks, groups = hash_blocks(n, per_block), hash_blocks(max(1, asking.filter(same).count()), per_group)
         index = written(_packed(rows.filter(same), blocks), "ann-blocks")
-        asked = written(_packed(asking.filter(same), groups).toDF("grp", "q_ids", "q_vectors", "q_norms"), "ann-queries")
-        copies = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-        met = copies.join(index, "part").groupBy("part", "grp").applyInArrow(lambda t: _search(t, k), FOUND_SCHEMA)
+        asked = written(_packed(asking.filter(same), groups).withColumnRenamed("part", "grp"), "ann-queries")
+        slices = hash_blocks(groups, PER_SLICE)
+        number = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+        packed = ["ids", "vectors", "norms"]
+        held = index.select("part", number(slices).alias("slice"), F.lit(False).alias("asks"), *packed)
+        passing = asked.select(number(blocks).alias("part"), (F.col("grp") % slices).alias("slice"), F.lit(True).alias("asks"), *packed)
+        met = held.union(passing).repartition("part", "slice").sortWithinPartitions("part", "slice", "asks").mapInArrow(_searcher(k), FOUND_SCHEMA)
         found = met if len(counts) == 1 else found.unionByName(met)
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
