@@ -144,7 +144,7 @@ def plan_and_assign(rows: DataFrame, capacities: list[int] | None = None, shards
         wants = np.maximum(left + share * gap, 0)
         for i in range(old_shards):
             cuts[k, i] = stretches(wants[i], int(supply[i, k]))
-        done = lined.filter(F.col("kind") == k).withColumn("shard", _shard_of(cuts[k], "old_shard", "at", "size")).groupBy("old_shard", "shard").agg(F.sum("size").alias("s"))
+        done = lined.filter(F.col("kind") == k).withColumn("shard", _shard_of(cuts)).groupBy("old_shard", "shard").agg(F.sum("size").alias("s"))
         for r in done.collect():
             left[r.old_shard, r.shard] -= r.s
             placed[r.shard] += r.s
@@ -152,26 +152,25 @@ def plan_and_assign(rows: DataFrame, capacities: list[int] | None = None, shards
         scale = (rest - supply[:, k]) / np.maximum(left.sum(axis=1), 1)
         left = left * scale[:, None]
 
-    assigned = lined.withColumn("shard", F.lit(None).cast("int"))
-    for k in range(len(SIZE_CLASSES)):
-        assigned = assigned.withColumn("shard", F.when(F.col("kind") == k, _shard_of(cuts[k], "old_shard", "at", "size")).otherwise(F.col("shard"))) if supply[:, k].any() else assigned
-    assigned = written(assigned.select("doc_id", "size", "text_crc32", "old_shard", "shard"), "assigned")
+    assigned = written(lined.withColumn("shard", _shard_of(cuts)).select("doc_id", "size", "text_crc32", "old_shard", "shard"), "assigned")
     return _on_lines(assigned, ["shard"], blocks, F.lit(1), "slot").drop("block")
 
 
-def _shard_of(ends: np.ndarray, old_shard: str, at: str, size: str) -> Column:
-    """The shard whose stretch holds a row's middle byte; ``ends``: a line for each old shard."""
+def _shard_of(cuts: np.ndarray) -> Column:
+    """The shard whose stretch holds a row's middle byte; ``cuts``: ends of stretches for each class and old shard."""
+    ends = cuts.copy()
 
     @F.pandas_udf("int")
-    def find(old: pd.Series, start: pd.Series, length: pd.Series) -> pd.Series:
+    def find(kind: pd.Series, old: pd.Series, start: pd.Series, length: pd.Series) -> pd.Series:
         found = np.zeros(len(old), np.int32)
         middle = start.to_numpy() + length.to_numpy() // 2
-        for i in np.unique(old):
-            here = (old == i).to_numpy()
-            found[here] = np.minimum(np.searchsorted(ends[i], middle[here], side="right"), len(ends[i]) - 1)
+        line = kind.to_numpy() * ends.shape[1] + old.to_numpy()
+        for i in np.unique(line):
+            here = line == i
+            found[here] = np.minimum(np.searchsorted(ends[i // ends.shape[1], i % ends.shape[1]], middle[here], side="right"), ends.shape[2] - 1)
         return pd.Series(found)
 
-    return find(old_shard, at, size)
+    return find("kind", "old_shard", "at", "size")
 
 
 def reshard(docs: DataFrame, old_shard: Column | None = None, shards: int = SHARDS, old_shards: int = OLD_SHARDS, capacities: list[int] | None = None, per_block: int = PER_BLOCK) -> DataFrame:
