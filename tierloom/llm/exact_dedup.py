@@ -182,12 +182,15 @@ def mark_duplicates(docs: DataFrame, per_bucket: int = PER_BUCKET) -> DataFrame:
 
 def drop_duplicates(docs: DataFrame, per_bucket: int = PER_BUCKET) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; a row delivered twice stays once."""
-    _, groups = exact_groups(docs, per_bucket)
+    digests, groups = exact_groups(docs, per_bucket)
     own = "__tierloom_digest"
-    stays = groups.select(F.col("digest").alias(own), F.col("keep_id").alias("__tierloom_keep"))
+    stays = groups.select(F.col("digest").alias("__tierloom_other"), F.col("keep_id").alias("__tierloom_keep"))
     tagged = docs.withColumn(own, text_digest(F.col("text")))
-    kept = tagged.join(stays.withColumnRenamed(own, "__tierloom_other"), tagged["doc_id"].eqNullSafe(F.col("__tierloom_keep")) & (tagged[own] == F.col("__tierloom_other")), "left_semi")
-    return kept.dropDuplicates(["doc_id", own]).drop(own)
+    kept = tagged.join(stays, tagged["doc_id"].eqNullSafe(F.col("__tierloom_keep")) & (tagged[own] == F.col("__tierloom_other")), "left_semi")
+    # only rows delivered twice need a second shuffle of the texts
+    if digests.groupBy("doc_id", "digest").count().filter("count > 1").limit(1).count():
+        kept = kept.dropDuplicates(["doc_id", own])
+    return kept.drop(own)
 
 
 ORACLE_SQL = """
