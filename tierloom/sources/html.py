@@ -17,6 +17,7 @@ from pyspark.sql.types import StringType
 
 from tierloom import config
 
+# fixed values: the class and attribute names below are those of the pages that are read
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 
 
