@@ -3,7 +3,8 @@
 1. Each text gives its shingle set's size and digest, ``HASHES`` minima, of which ``BITS`` low bits
    each are packed into 64-bit words, and ``BANDS`` band keys, each a hash of ``ROWS`` full minima.
    Texts with the same set are one class, known by its smallest doc_id.
-2. Classes that share a band key are candidates. Each key's smallest class is its centre. Centres are
+2. Classes that share a band key are candidates. Each key's centre is the class whose keys have the most
+   members in all, the smallest of equals. Centres are
    compared with the key's other classes: first the similarity that equal bits suggest, corrected for
    chance collisions, against ``THRESHOLD - SLACK``; then exactly, on the full sets of both texts.
 3. Confirmed links give components. A key whose classes are then still apart has the classes that are
@@ -205,8 +206,12 @@ def _linked(signed: DataFrame, texts: DataFrame) -> DataFrame:
     classes = classed.filter(first)
 
     keyed = classed.filter(first).select("rep", F.posexplode("bands").alias("band", "key"))
-    centres = keyed.groupBy("key").agg(F.min("rep").alias("centre"), F.max("rep").alias("last")).filter("centre <> last").drop("last")
-    members = written(keyed.join(centres, "key"), "members")
+    sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
+    shared = written(keyed.join(sizes, "key"), "shared-keys")
+    # the text that an edited group came from shares more keys with its copies than they do among themselves
+    mass = shared.groupBy("rep").agg(F.sum("size").alias("mass"))
+    centres = shared.join(mass, "rep").groupBy("key").agg(F.max(F.struct("mass", (-F.col("rep")).alias("minus"))).alias("m")).select("key", (-F.col("m.minus")).alias("centre"))
+    members = written(shared.drop("size").join(centres, "key"), "members")
     stars = members.filter("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
     links = confirmed(_with_signatures(stars, classes), texts)
     roots = components(links)

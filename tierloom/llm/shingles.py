@@ -13,7 +13,7 @@ import numpy as np
 
 WORDS = 5
 #: Texts are hashed together up to about so many bytes; a longer text goes alone.
-TOGETHER_BYTES = 1 << 21
+TOGETHER_BYTES = 1 << 19
 
 _BASE = 0x5851F42D4C957F2D
 _INVERSE = pow(_BASE, -1, 1 << 64)
