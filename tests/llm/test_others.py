@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tierloom.llm import collision_ann, license_join, quality, resharding
+from tierloom.llm import collision_ann, license_join, quality, registry, resharding
 
 # resharding
 
@@ -144,6 +144,30 @@ def test_licences_against_plain_python(make_docs, odd_texts, prose):
     assert license_join.scan_licenses(make_docs([])).count() == 0
 
 
+def test_runs_find_wrapped_notices_and_no_neighbours(make_docs, prose):
+    wrap = lambda text, n: "\n * ".join(" ".join(text.split()[k : k + n]) for k in range(0, len(text.split()), n))
+    wrapped = [(label, f"{prose(30, k)}\n{wrap(notice, n)}\n{prose(30, k + 50)}") for k, (label, notice) in enumerate(license_join.TEMPLATES) for n in (2, 5, 100)]
+    wrapped += [("mit-notice", "Released under the terms of\nthe MIT\nLicense"), ("apache-2.0-notice", "Licensed under the Apache\nLicense 2.0"), ("gpl-3.0-notice", "this work is licensed under the GNU General Public License v3")]
+    near = [
+        "Licensed under CC BY 4.0", "Licensed under CC BY-NC-SA 4.0", "Licensed under CC BY-NC 3.0", "Released under the Apache License", "Released under the BSD License", "Licensed under the Apache License, Version 1.1",
+        "This work is licensed under the GNU General Public License, version 2.", "This work is licensed under the GNU Lesser General Public License, version 3.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1.", "mit " + prose(50, 1) + " released under " + prose(50, 2) + " the license", None, "",
+    ]
+    found = license_join.scan_licenses(make_docs([t for _, t in wrapped] + near + [wrapped[0][1]], [*range(len(wrapped) + len(near)), None]), blocks=license_join.matching_runs).collect()
+    assert sorted(r.doc_id for r in found if r.doc_id is not None) == list(range(len(wrapped) + len(near)))
+    for r in found:
+        named = set(r.labels.split(",")) - set(r.base_labels.split(",")) - {""}
+        want = {wrapped[r.doc_id or 0][0]} if (r.doc_id or 0) < len(wrapped) else set()
+        assert named == want and (r.score >= 0.8) == bool(want), r
+        assert r.score == 1.0 or r.doc_id is None or r.doc_id >= 3 * len(license_join.TEMPLATES)
+
+
+def test_query_takes_runs(spark, make_docs, tmp_path):
+    make_docs(["Released under the\nMIT License.", "Licensed under CC BY 4.0"]).write.parquet(f"{tmp_path}/documents.parquet")
+    found = registry.queries()["op9_license_scan"](spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id, r.labels, r.score) for r in found) == [(0, "mit,mit-notice", 1.0), (1, "cc-by", 0.0)]
+
+
 # quality
 
 

@@ -9,6 +9,11 @@ are dropped by length, and a meeting at positions i and j can only give
 ``min(i, j) + 1 + min(words after i, words after j)`` common words, which drops more. What is left
 is counted on the full sets.
 
+The query's blocks are runs (``matching_runs``): consecutive words across line breaks, one run for every
+place where it can start, as long as the template and a few words more. A run has to hold the template's
+telling phrases as well, so notices of neighbouring licences do not pass; runs are looked for only around the rarest
+words of those phrases.
+
 Everything here is DataFrame functions; the templates are constants of this module, so what is
 broadcast has a fixed size.
 """
@@ -37,6 +42,17 @@ TEMPLATES = (
     ("bsd-grant", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("mpl-2.0-notice", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
+#: What a run must hold besides its share of words: one phrase of each group. Templates without an entry need none.
+TELLING = {
+    "gpl-3.0-notice": (("gnu general public license",), ("3", "v3")),
+    "gpl-3.0-grant": (("gnu general public license",), ("free software foundation",)),
+    "apache-2.0-notice": (("apache license",), ("2", "v2")),
+    "mit-notice": (("mit license",),),
+    "mit-grant": (("deal in the software",),),
+    "cc-by-nc-4.0-notice": (("cc by nc 4", "cc by nc v4", "cc by nc version 4"),),
+    "bsd-grant": (("redistribution and use in source and binary forms",), ("conditions are met",)),
+    "mpl-2.0-notice": (("mozilla public license",), ("2", "v2")),
+}
 
 
 def word_set(text: str) -> list[str]:
@@ -116,15 +132,52 @@ def matching_blocks(docs: DataFrame, templates=TEMPLATES, containment: float = C
     return found.select("doc_id", "row_key", "block", "label", "common", "size", (F.col("common") / F.col("size")).alias("containment"))
 
 
-def scan_licenses(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
+def run_length(notice: str) -> int:
+    """Words in a run: those of the notice, and room for a few between them."""
+    n = len([w for w in re.split(NOT_WORD, notice) if w])
+    return n + max(3, n // 4)
+
+
+def matching_runs(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT, telling=TELLING) -> DataFrame:
+    """Every run of words that meets a template: doc_id, row_key, block (its first word), label, common, size, containment."""
+    spark = docs.sparkSession
+    phrases = [("", p) for groups in telling.values() for group in groups for p in group]
+    counts = template_word_counts(docs, [*templates, *phrases])
+    order = lambda w: (counts[w], w)
+    index = []
+    for label, notice in templates:
+        words, groups = sorted(word_set(notice), key=order), telling.get(label, ())
+        need = needed(len(words), containment)
+        # a run that passes holds one word at least of every such list: prefix words, or the rarest word of each phrase of a group
+        lists = [words[: len(words) - need + 1], *({min(p.split(), key=order) for p in group} for group in groups)]
+        anchors = min(lists, key=lambda ws: sum(counts[w] for w in ws))
+        told = [[f" {p} " for p in group] for group in groups]
+        index += [(w, label, words, len(words), need, run_length(notice), told) for w in anchors]
+    table = spark.createDataFrame(index, "word string, label string, words array<string>, size int, need int, length int, told array<array<string>>")
+
+    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"), F.split(F.trim(F.regexp_replace(lowered(F.col("text")), NOT_WORD, " ")), " ").alias("all"))
+    places = text.select("*", F.posexplode("all").alias("at", "word")).filter(F.col("word").isin(sorted({x[0] for x in index})))
+    first = F.greatest(F.col("at") - F.col("length") + 1, F.lit(0))
+    around = places.join(F.broadcast(table), "word").select("doc_id", "row_key", "label", "words", "size", "need", "length", "told", "at", first.alias("first"), F.slice("all", first + 1, 2 * F.col("length")).alias("near"))
+    starts = around.select("*", F.explode(F.sequence("first", "at")).alias("block"))
+    runs = starts.withColumn("run", F.slice("near", F.col("block") - F.col("first") + 1, F.col("length")))
+    spoken = F.concat(F.lit(" "), F.array_join("run", " "), F.lit(" "))
+    tells = F.forall("told", lambda group: F.exists(group, lambda p: F.contains(spoken, p)))
+    found = runs.withColumn("common", F.size(F.array_intersect("run", "words"))).filter((F.col("common") >= F.col("need")) & tells)
+    return found.select("doc_id", "row_key", "block", "label", "common", "size", (F.col("common") / F.col("size")).alias("containment")).distinct()
+
+
+def scan_licenses(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT, blocks=matching_blocks) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every row.
 
+    ``blocks`` says what a block is: lines (``matching_blocks``) or runs of words (``matching_runs``).
+
     score is the best containment of any template in any block, 0 without a match. Null texts count
     as empty: no words, no places, empty labels, score 0. Repeated rows are each reported; rows
     without an id are scanned too.
     """
     base = base_scan(docs)
-    matched = matching_blocks(docs, templates, containment).groupBy("doc_id", "row_key").agg(F.collect_set("label").alias("met"), F.max("containment").alias("score"))
+    matched = blocks(docs, templates, containment).groupBy("doc_id", "row_key").agg(F.collect_set("label").alias("met"), F.max("containment").alias("score"))
     matched = matched.withColumnsRenamed({"doc_id": "other_id", "row_key": "other_key"})
     both = base.join(matched, F.col("doc_id").eqNullSafe(F.col("other_id")) & (F.col("row_key") == F.col("other_key")), "left")
     joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")

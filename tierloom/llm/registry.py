@@ -47,7 +47,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_join.scan_licenses(_table(spark, sf_dir, "documents"))
+    return license_join.scan_licenses(_table(spark, sf_dir, "documents"), blocks=license_join.matching_runs)
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
