@@ -66,6 +66,44 @@ def test_rewrite_affected(make_docs, prose, tmp_path):
     assert back.count() == placed.filter(F.col("shard").isin(affected)).count()
 
 
+@pytest.mark.parametrize("own_key", [False, True])
+def test_rewrite_null_and_repeated_ids_and_untouched_shards(spark, prose, tmp_path, own_key):
+    # shards 0 and 3 (of old shards 0 to 3) are full already; 1 gives to 2; the rows of old shard 4 leave it
+    # ids: null, seven times the same, and distinct ones, with equal and different texts
+    ids = [None, None, 7, 7, 7, None, 7, 7, 7, *range(100, 111)]
+    rows = [(i, "copy of it" if k % 2 else prose(10, k)[:10].ljust(10, "x"), old, k) for old, n in ((0, 20), (1, 20), (3, 20), (4, 20)) for k, i in enumerate(ids[:n])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, old int, k int")
+    docs.write.parquet(f"{tmp_path}/docs")
+    docs, path = spark.read.parquet(f"{tmp_path}/docs"), f"{tmp_path}/out"
+    docs.withColumn("shard", F.col("old")).withColumn("slot", F.lit(-1).cast("long")).write.partitionBy("shard").parquet(path)
+    size = 20 * 26
+    how = {"old_shard": F.col("old"), "shards": 4, "old_shards": 5, "capacities": [size, size // 2, size + size // 2, size]}
+    key = F.struct("_metadata.file_path", "_metadata.row_index") if own_key else None
+    placed = resharding.reshard_files(docs, path, key, **how).collect()
+    assert resharding.ROW_KEY not in placed[0].asDict() and len(placed) == len(rows)
+    affected = {s for r in placed if r.moved for s in (r.old_shard, r.shard)}
+    assert 4 in affected and not affected & {0, 3}
+    back = spark.read.parquet(path).collect()
+    assert sorted((str(r.doc_id), r.text, r.old, r.k) for r in back) == sorted((str(i), *rest) for i, *rest in rows)
+    assert {r.shard for r in back} == {r.shard for r in placed}
+    for shard in {r.shard for r in placed}:
+        assert sorted(r.slot for r in back if r.shard == shard) == ([-1] * 20 if shard in (0, 3) else sorted(r.slot for r in placed if r.shard == shard))
+    with pytest.raises(ValueError):
+        resharding.rewrite_affected(docs, spark.createDataFrame(placed), path)
+
+
+def test_query_writes_shards(spark, make_docs, prose, tmp_path):
+    make_docs([prose(20, k) for k in range(60)] + [None, "x", "x"], [*range(60), None, 3, 3]).drop("shard").write.parquet(f"{tmp_path}/documents.parquet")
+    paths = []
+    real = resharding.rewrite_affected
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(resharding, "rewrite_affected", lambda docs, placed, path: paths.append(path) or real(docs, placed, path))
+        found = registry.queries()["op3_resharding"](spark, str(tmp_path)).collect()
+    back = spark.read.parquet(paths[0]).collect()
+    affected = {s for r in found if r.moved for s in (r.old_shard, r.shard)}
+    assert sorted((r.shard, r.slot, str(r.doc_id)) for r in back) == sorted((r.shard, r.slot, str(r.doc_id)) for r in found if r.shard in affected)
+
+
 # nearest neighbours
 
 

@@ -30,6 +30,16 @@ def drop_table(spark: SparkSession, path: str) -> None:
     fs.delete(jvm_path, True)
 
 
+def fresh_path(spark: SparkSession, label: str) -> str:
+    """A path of its own in the shared folder; what is written there goes when the driver's JVM ends."""
+    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    fs, jvm_path = _filesystem(spark, path)
+    # the path has to exist to be registered
+    fs.mkdirs(jvm_path)
+    fs.deleteOnExit(jvm_path)
+    return path
+
+
 def write_table(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     """Write ``df`` as Parquet in the shared folder; returns what was written and its path.
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierloom.llm import collision_ann, exact_dedup, license_join, minhash, packing, quality, resharding, token_counts, unigram, url_filter
+from tierloom.llm.durable import fresh_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,7 +24,8 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resharding.reshard(_table(spark, sf_dir, "documents"))
+    docs, path = _table(spark, sf_dir, "documents"), fresh_path(spark, "shards")
+    return resharding.reshard_files(docs, path, F.struct("_metadata.file_path", "_metadata.row_index"))
 
 
 def op4_unigram_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tierloom.llm.durable import hash_blocks, written
+from tierloom.llm.durable import drop_table, hash_blocks, written
 
 SHARDS, OLD_SHARDS = 40, 32
 #: Bytes that a row takes besides its text.
@@ -30,6 +30,8 @@ ROW_BYTES = 16
 #: Rows of these sizes or more are dealt before smaller ones.
 SIZE_CLASSES = (65536, 16384, 4096, 1024, 256, 64, 0)
 PER_BLOCK = 8192
+#: A column that tells rows apart whatever their ids; carried through placement where rows have it.
+ROW_KEY = "__row_key"
 
 
 def min_cost_flow(supply: list[int], capacity: list[int], cost: np.ndarray) -> np.ndarray:
@@ -98,9 +100,13 @@ def stretches(want: np.ndarray, supply: int) -> np.ndarray:
 
 
 def row_sizes(docs: DataFrame, old_shard: Column) -> DataFrame:
-    """doc_id, size, text_crc32 and old_shard of every row."""
+    """doc_id, size, text_crc32 and old_shard of every row, and its key where it has one."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), old_shard.cast("int").alias("old_shard"))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.length(text) + ROW_BYTES).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), old_shard.cast("int").alias("old_shard"), *_key_of(docs))
+
+
+def _key_of(rows: DataFrame) -> list[str]:
+    return [ROW_KEY] if ROW_KEY in rows.columns else []
 
 
 def _on_lines(rows: DataFrame, keys: list[str], blocks: int, what: Column, name: str) -> DataFrame:
@@ -152,7 +158,7 @@ def plan_and_assign(rows: DataFrame, capacities: list[int] | None = None, shards
         scale = (rest - supply[:, k]) / np.maximum(left.sum(axis=1), 1)
         left = left * scale[:, None]
 
-    assigned = written(lined.withColumn("shard", _shard_of(cuts)).select("doc_id", "size", "text_crc32", "old_shard", "shard"), "assigned")
+    assigned = written(lined.withColumn("shard", _shard_of(cuts)).select("doc_id", "size", "text_crc32", "old_shard", "shard", *_key_of(rows)), "assigned")
     return _on_lines(assigned, ["shard"], blocks, F.lit(1), "slot").drop("block")
 
 
@@ -179,26 +185,46 @@ def reshard(docs: DataFrame, old_shard: Column | None = None, shards: int = SHAR
     The law is ``bytes``: shards are near equal in bytes (or near ``capacities``). Slots count from 0
     in each shard without gaps. Old shards are by source, unless ``old_shard`` says otherwise; rows
     without a source are one more source. Null texts have no bytes; rows without an id or with a
-    repeated one are dealt like others. An empty table gives no rows.
+    repeated one are dealt like others. An empty table gives no rows. A column ``ROW_KEY`` is kept.
     """
     if old_shard is None:
         old_shard = F.pmod(F.xxhash64("source"), F.lit(old_shards))
     placed = plan_and_assign(row_sizes(docs, old_shard), capacities, shards, old_shards, per_block)
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
-        "old_shard", (F.col("shard") != F.col("old_shard")).alias("moved"),
+        "old_shard", (F.col("shard") != F.col("old_shard")).alias("moved"), *_key_of(placed),
     )
 
 
+def reshard_files(docs: DataFrame, path: str, key: Column | None = None, **how) -> DataFrame:
+    """:func:`reshard`, with the affected shards written as ``path/shard=N``; returns what ``reshard`` returns.
+
+    ``key`` differs for every row and is the same in every reading of ``docs``, such as the file and row that
+    Parquet gives. Without it, rows get a number of their own in a copy of ``docs`` in the shared folder.
+    """
+    keyed = docs.withColumn(ROW_KEY, F.monotonically_increasing_id() if key is None else key)
+    keyed = written(keyed, "keyed") if key is None else keyed
+    placed = written(reshard(keyed, **how), "placed")
+    rewrite_affected(keyed, placed, path)
+    return placed.drop(ROW_KEY)
+
+
 def rewrite_affected(docs: DataFrame, placed: DataFrame, path: str) -> list[int]:
     """Write the shards that gain or lose rows, as ``path/shard=N``; returns their numbers.
 
-    Shards that keep just the rows that they had are left as they are. Rows meet their shard by
-    doc_id, so ids must be distinct and not null here.
+    Shards that keep just the rows that they had are left as they are; folders of affected shards that
+    have no rows any more are removed. Rows meet their shard by ``ROW_KEY``; where that is missing, by
+    doc_id, and ids that are null or repeated are refused. Columns shard and slot of ``docs`` give way to the new ones.
     """
+    by = ROW_KEY if _key_of(docs) and _key_of(placed) else "doc_id"
+    if by == "doc_id" and placed.groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1").limit(1).count():
+        raise ValueError(f"ids are null or repeated: rows need a {ROW_KEY}")
     moved = placed.filter("moved")
     gains = moved.select(F.col("shard").alias("s")).union(moved.select(F.col("old_shard").alias("s"))).distinct()
     affected = sorted(r.s for r in gains.collect())  # at most one row for each shard
-    rows = docs.join(placed.filter(F.col("shard").isin(affected)).select(F.col("doc_id"), F.col("shard"), F.col("slot")), "doc_id")
-    rows.write.mode("overwrite").partitionBy("shard").parquet(path)
+    there = placed.filter(F.col("shard").isin(affected)).select(by, "shard", "slot")
+    rows = docs.drop("shard", "slot").join(there, by).drop(ROW_KEY)
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("shard").parquet(path)
+    for emptied in set(affected) - {r.shard for r in there.select("shard").distinct().collect()}:
+        drop_table(docs.sparkSession, f"{path}/shard={emptied}")
     return affected
