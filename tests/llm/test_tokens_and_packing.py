@@ -55,6 +55,13 @@ def test_count_tokens(make_docs, odd_texts, library):
     assert token_counts.count_tokens(make_docs([None, "a"], [None, None])).count() == 2
 
 
+def test_long_units_of_rare_scripts(make_docs, library):
+    text = "a " + "".join(map(chr, range(0x12000, 0x12040)))
+    assert len(library.encode(text).ids) > 256
+    found = token_counts.count_tokens(make_docs([text] * 8 + ["often often often"])).collect()
+    assert {r.n_tokens for r in found if r.doc_id < 8} == {len(library.encode(text).ids)}
+
+
 def best_fit_decreasing(lengths, window):
     """One piece at a time; the sorted remaining capacities of the windows."""
     windows = []

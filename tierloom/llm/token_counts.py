@@ -42,8 +42,8 @@ def frequent_lengths(docs: DataFrame, path: str, rows: int, sample_rows: int = S
     top = sampled.groupBy("unit").agg(F.sum("n").alias("n")).filter("n > 2").orderBy(F.desc("n"), "unit").limit(units)
     found = [r.unit for r in top.select("unit").collect() if " " not in r.unit]
     tokenizer = Tokenizer(path)
-    lengths = bytes(min(255, tokenizer._count(" " + x)) for x in found)
-    return " ".join(found), lengths
+    lengths = {x: n for x in found if (n := tokenizer._count(" " + x)) <= 255}  # rare scripts have longer units: these are always encoded
+    return " ".join(lengths), bytes(lengths.values())
 
 
 def count_tokens(docs: DataFrame, path: str | None = None, limit: int = LIMIT, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
