@@ -1,3 +1,5 @@
+import difflib
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -17,8 +19,6 @@ def test_bands(spark, table, label):
     rows = spark.createDataFrame([(p, name) for name, ps in table.items() for p in ps], "p int, name string")
     assert rows.filter(label(F.col("p")) != F.col("name")).count() == 0
     assert value(spark, label(F.lit(None).cast("int"))) is None
-    if label is labels.weight_label:
-        assert all(spans.WEIGHT_BANDS[spans.weight_index(p)][0] == name for name, ps in table.items() for p in ps)
 
 
 def test_force_phrase_and_weaker_labels(spark):
@@ -30,7 +30,6 @@ def test_force_phrase_and_weaker_labels(spark):
 @pytest.mark.parametrize(("pct", "dominant", "marking"), [(79, 79, "nenhuma"), (30, 90, "simples"), (31, 90, "nenhuma"), (50, 90, "nenhuma"), (9, 90, "antecipada"), (10, 90, "simples"), (5, 0, "nenhuma"), (5, None, "nenhuma"), (3, 79, "antecipada"), (17, 79, "simples")])
 def test_marking(spark, pct, dominant, marking):
     assert value(spark, labels.perspective_marking(F.lit(pct), F.lit(dominant).cast("int"))) == marking
-    assert spans.marking_of(pct, dominant or 0) == marking
 
 
 @pytest.mark.parametrize(("phrase", "force"), [("Quase todos os elogios", 5), ("mais da metade", 4), ("metade", 3), ("aproximadamente metade", 3), ("uma parte", 1), ("Poucas", 0), ("uns", None), ("", None)])
@@ -89,23 +88,59 @@ def test_wrapped_format(spark):
 def test_percent_inside_another_is_no_anchor(spark):
     assert value(spark, text.guarded_percent_at(F.lit("são 91% das notas"), F.lit(1))) == 0
     assert value(spark, text.guarded_percent_at(F.lit("são ~1% das notas"), F.lit(1))) > 0
-    assert spans.anchor("são 91% e depois 1%", 1) == 17
-
-
-def test_marker_verdicts():
-    shares = {"negativas": 3, "medianas": 17, "positivas": 79}
-    good = "A grande maioria das notas (~79%) gostou. No meio, uma minoria das notas (~17%): quem ficou no meio hesita. Uma fração mínima das notas (~3%) discorda. Para eles, é lento."
-    assert spans.marker_verdict(good, shares) == "ok"
-    assert spans.marker_verdict(good.replace("Para eles, é", "É"), shares) == "unmarked:negativas"
-    assert spans.marker_verdict(good.replace("Para eles, é lento", "É lento. Muito mesmo. Para eles"), shares) == "late:negativas"
-    assert spans.marker_verdict("Nada.", shares) == "unanchored:negativas"
-    assert spans.marker_verdict("Nada.", {}) == "ok"
-
-
-def test_weight_vocabulary_and_case():
-    assert spans.wrong_denominator("A grande maioria das reviews elogia")
-    assert spans.wrong_denominator("do público, ~79% gostou")
-    assert not spans.wrong_denominator("a grande maioria das notas, diz o público")
-    assert not spans.wrong_denominator("a maioria das reviews analisadas")
-    assert spans.lowered_labels("Já Uma pequena minoria. A grande maioria! Para A maioria") == "Já uma pequena minoria. A grande maioria! Para a maioria"
-    assert spans.similarity_of("a  b", "a b") == 1.0 and spans.similarity_of("abcd", "bcde") == 0.75
+    assert value(spark, spans.anchor(F.lit("são 91% e depois 1%"), F.lit(1))) == 18
+    assert value(spark, spans.anchor(F.lit("Uma Minoria, ~12%"), F.lit(12))) == 1
+    assert value(spark, spans.anchor(F.lit("nada"), F.lit(12))) is None
+
+
+def test_marks(spark):
+    found = value(spark, spans.marks(F.lit("ab12%c~3 % 1234%"), spans.PERCENT))
+    assert [(m.place, m.token) for m in found] == [(3, "12%"), (7, "~3 %"), (13, "234%")]
+    assert value(spark, spans.marks(F.lit(""), "x")) == []
+
+
+@pytest.fixture(scope="module")
+def verdict(spark):
+    def of(prose, shares=(3, 17, 79)):
+        rows = spark.createDataFrame([(prose, *shares)], "text string, negativas int, medianas int, positivas int")
+        return spans.with_marker_verdict(rows, "text", {b: b for b in ("negativas", "medianas", "positivas")}, "v").first().v
+
+    return of
+
+
+GOOD = "A grande maioria das notas (~79%) gostou. No meio, uma minoria das notas (~17%): quem ficou no meio hesita. Uma fração mínima das notas (~3%) discorda. Para eles, é lento."
+
+
+@pytest.mark.parametrize(
+    ("prose", "said"),
+    [
+        (GOOD, "ok"), (GOOD.replace("Para eles, é", "É"), "unmarked:negativas"), (GOOD.replace("Para eles, é lento", "É lento. Muito mesmo. Para eles"), "late:negativas"),
+        (GOOD.replace("Para eles, é lento", "É lento.Para eles, muito"), "ok"), ("Nada.", "unanchored:negativas"), (None, "unanchored:negativas"),
+        ("Fim." + GOOD[GOOD.index("Uma fração") :].replace(" Para eles, é", " É. Para eles,") + " Uma minoria das notas (~17%): quem ficou no meio hesita.", "late:negativas"),
+    ],
+)
+def test_marker_verdicts(verdict, prose, said):
+    assert verdict(prose) == said
+
+
+def test_groups_without_a_share_need_no_mark(verdict):
+    assert verdict("Nada.", (None, None, None)) == "ok"
+    assert verdict("Nada.", (50, 60, 70)) == "ok"
+
+
+def test_weight_vocabulary_and_case(spark):
+    ok = lambda x: value(spark, spans.vocabulary_ok(F.lit(x)))
+    assert not ok("A grande maioria das reviews elogia") and not ok("do público, ~79% gostou")
+    assert ok("a grande maioria das notas, diz o público") and ok("a maioria das reviews analisadas") and ok("") and ok(None)
+    # the noun has to lie in the window as a whole
+    assert not ok("uma minoria" + "x" * 33 + "reviews") and ok("uma minoria" + "x" * 34 + "reviews")
+    assert not ok("reviews" + "x" * 53 + "9%") and ok("reviews" + "x" * 54 + "9%")
+    lowered = value(spark, spans.labels_lowered(F.lit("Já Uma pequena minoria. A grande maioria! Para A maioria")))
+    assert lowered == "Já uma pequena minoria. A grande maioria! Para a maioria"
+
+
+def test_similarity_is_the_library_s(spark):
+    rows = [("a  b", "a b"), ("abcd", "bcde"), ("", ""), (None, "x"), ("uma frase longa que muda", "a frase longa mudou, sim")]
+    plain = lambda x: " ".join((x or "").split())
+    found = spark.createDataFrame(rows, "a string, b string").select("a", "b", spans.similarity("a", "b").alias("s")).collect()
+    assert [r.s for r in found] == [difflib.SequenceMatcher(None, plain(r.a), plain(r.b)).ratio() for r in found]

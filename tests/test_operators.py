@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from tierloom import config
-from tierloom.operators import calls, collect, compare, distribution, edits, records, themes
+from tierloom.functions.ranks import numbered
+from tierloom.operators import calls, collect, compare, distribution, edits, records, rounds, themes
 from tierloom.sources import html
 from tierloom.streaming import votes
 
@@ -29,7 +30,7 @@ def test_cascade_without_eligible_rows(spark):
 
 
 def test_pages_stop_at_quota_gap_and_cap(spark):
-    kept = lambda df: [r.page for r in collect.read_pages(df).filter("kept").orderBy("page").collect()]
+    kept = lambda df: [r.page for r in collect.read_pages(collect.seen_marked(df)).filter("kept").orderBy("page").collect()]
     assert kept(reviews(spark, [200] * 30)) == [1]
     assert kept(reviews(spark, [20] * 100)) == [1, 2, 3, 4, 5, 6]
     assert kept(reviews(spark, [20] * 12 + [200] * 24)) == [1, 2]
@@ -37,6 +38,27 @@ def test_pages_stop_at_quota_gap_and_cap(spark):
     assert kept(reviews(spark, [20] * 12)) == [1]
 
 
+def test_a_page_of_repeats_does_not_end_a_level(spark):
+    """Page 2 repeats page 1; page 3 is read, and repeats count once towards the quota."""
+    once = reviews(spark, [200] * 12).filter("pos < 8")
+    again = once.withColumn("page", F.lit(2))
+    last = once.withColumn("page", F.lit(3)).withColumn("review_id", F.concat(F.lit("w"), "review_id"))
+    rows = once.unionByName(again).unionByName(last)
+    pages = collect.read_pages(collect.seen_marked(rows)).orderBy("page").collect()
+    assert [(r.page, r.n_rows, r.n_first, r.n_valid, r.kept) for r in pages] == [(1, 8, 8, 8, True), (2, 8, 0, 0, True), (3, 8, 8, 8, True)]
+    assert collect.kept_rows(rows).count() == 16
+    # rows without an id are no repeats of each other
+    anonymous = rows.withColumn("review_id", F.lit(None).cast("string"))
+    assert collect.kept_rows(anonymous).count() == 16
+
+
+@pytest.mark.parametrize("width", [1, 3, 1000])
+def test_numbers_within_groups(spark, width):
+    rows = spark.createDataFrame([("a", i * 7 % 23) for i in range(23)] + [("b", 5), ("b", None), (None, 4), (None, 9)], "g string, i long")
+    found = {(r.g, r.i): r.n for r in numbered(rows, ["g"], "i", "n", width).collect()}
+    assert found == {("a", i): i for i in range(23)} | {("b", None): 0, ("b", 5): 1, (None, 4): 0, (None, 9): 1}
+
+
 def test_first_seen_keeps_anonymous_rows(spark):
     rows = spark.createDataFrame([("f", "a", 1), ("f", "a", 2), ("f", None, 3), ("f", None, 4), ("f", "", 5), ("g", "a", 6)], "film string, id string, n int")
     assert sorted(r.n for r in collect.first_seen(rows, ["film"], ["id"], ["n"]).collect()) == [1, 3, 4, 5, 6]
@@ -44,15 +66,15 @@ def test_first_seen_keeps_anonymous_rows(spark):
 
 def test_completion_and_counters(spark):
     rows = reviews(spark, [200] * 6 + [20, 200, 200], truncated={0: "/a", 1: None, 2: "/c", 3: "/d"}, spoilers={7}, rating={8: None})
-    full = spark.createDataFrame([("v0", "full", True), ("v2", config.SPOILER_PLACEHOLDER, True), ("v3", None, False)], "review_id string, fetched_text string, fetch_ok boolean")
+    full = spark.createDataFrame([("/a", "full", True), ("/c", config.SPOILER_PLACEHOLDER, True), ("/d", None, False), ("/e", "other", True)], "full_text_url string, fetched_text string, fetch_ok boolean")
     cascade = collect.with_threshold(rows)
     done = collect.completion(collect.level_quota(cascade), full)
     assert {r.review_id: (r.status, r.full_text) for r in done.collect() if r.review_id < "v5"} == {
         "v0": ("completed", "full"), "v1": ("no_url", None), "v2": ("spoiler_in_full", None), "v3": ("fetch_failed", None), "v4": ("complete", "x" * 200),
     }
-    m = collect.level_metadata(cascade, done).first()
+    m = collect.level_metadata(cascade, full).first()
     assert (m.n_raw, m.n_unrated, m.n_spoiler, m.n_short, m.n_truncation, m.n_valid, m.threshold) == (9, 1, 2, 1, 3, 3, 150)
-    b = collect.bucket_assembly(collect.level_metadata(cascade, done)).first()
+    b = collect.bucket_assembly(collect.level_metadata(cascade, full)).first()
     assert (b.bucket, b.target, b.n_valid, b["mode"]) == ("medianas", 20, 3, "reduzido")
 
 
@@ -116,6 +138,23 @@ def test_edit_verdicts(spark):
     }
 
 
+def test_edits_that_lose_weights_or_whose_opinion_it_is(spark):
+    shares = {"negativas": "neg", "medianas": "med", "positivas": "pos"}
+    raw = "A grande maioria das notas (~79%) gostou. Uma minoria das notas (~17%) hesita, quem ficou no meio. Uma fração mínima das notas (~3%) discorda. Para eles, é lento."
+    edited = {
+        "unmarked": raw.replace("Para eles, é", "É"), "noun": raw + " Uma minoria do público, aliás.", "late": raw.replace("Para eles, é lento", "É lento. É mesmo. Para eles"), "quoted": raw.replace("lento", '"lento"') + " Nada mais a dizer sobre isso tudo, nem hoje nem nunca.",
+        "shares": raw.replace("Uma minoria das notas (~17%)", "Das notas, 17%,"),
+    }
+    rows = spark.createDataFrame([(k, raw, v, 3, 17, 79) for k, v in edited.items()], "edit_id string, raw string, edited string, neg int, med int, pos int")
+    rows = rows.withColumn("protected", edits.protected_spans(F.col("raw"), [F.col(c) for c in shares.values()]))
+    assert rows.first().protected[:3] == ["Uma fração mínima das notas (~3%)", "A grande maioria das notas (~79%)", "Uma minoria das notas (~17%)"]
+    found = {r.edit_id: r for r in edits.edit_verdicts(rows, shares).collect()}
+    assert {k: (r.verdict, r.regressions) for k, r in found.items()} == {
+        "unmarked": ("regressao", ["perspectiva_nao_marcada"]), "noun": ("regressao", ["vocabulario_peso"]), "late": ("regressao", ["perspectiva_nao_marcada"]), "quoted": ("aceita", []), "shares": ("protegidos_perdidos", []),
+    }
+    assert '"' not in found["quoted"].published
+
+
 def test_candidates_and_years(spark):
     rows = [("q", 1997, 1, 10, "1997-01-01", 0.28), ("q", 1997, 2, 11, "1997-05-01", 3.79), ("q", 1997, 3, 12, "1990-01-01", 99.0), ("p", None, 1, 20, "2000-01-01", 1.0), ("p", None, 2, 21, "2001-01-01", 9.0), ("t", 1997, 1, 30, "1997-01-01", 1.0), ("t", 1997, 2, 31, "1997-01-01", 1.0)]
     best = records.best_candidate(spark.createDataFrame(rows, "k string, year int, rank int, id int, release_date string, popularity double"), ["k"])
@@ -134,7 +173,14 @@ def test_documents_and_shares(spark):
     assert [b.share_real for b in records.apply_distribution(docs, None).first().buckets] == [None, None]
     assert records.apply_distribution(docs, shares).first().buckets == row.buckets
     lines = [r.line for r in records.report_lines(buckets, ranked, shares).orderBy("ord").collect()]
-    assert lines == ["NEGATIVAS 5/10 modo=sem_analise", "aviso: sem analise", "POSITIVAS 5/10 modo=completo · ~79% das notas", "x: ~5 de 9"]
+    body = ["NEGATIVAS 5/10 modo=sem_analise", "aviso: sem analise", f"5 disponíveis em {config.SITE}/film/f/reviews/", "POSITIVAS 5/10 modo=completo · ~79% das notas"]
+    assert lines == [config.DISCLAIMER_SHARES, *body, "x: ~5 de 9", "total de reviews: 40"]
+    told = lambda tone, **more: [r.line for r in records.report_lines(buckets, ranked, shares.filter("share_real > 90"), spark.createDataFrame([("f", "Prosa.")], "film string, text string"), tone).orderBy("ord").collect()]
+    plain = [x.replace(" · ~79% das notas", "") for x in body]
+    assert told("narrativo") == [config.DISCLAIMER_QUOTAS, *plain, "Prosa.", "total de reviews: 40"]
+    assert told("ambos") == [config.DISCLAIMER_QUOTAS, *plain, "x: ~5 de 9", "Prosa.", "total de reviews: 40"]
+    with pytest.raises(ValueError):
+        records.report_lines(buckets, ranked, shares, tone="other")
     listed = spark.createDataFrame([(1, "zz"), (2, "f")], "place int, film string")
     assert [json.loads(r.document)["film"] for r in compare.bundle(docs, listed).collect()] == ["f"]
 
@@ -213,3 +259,95 @@ def test_search_hits_and_records(spark):
     rows = {r.film: r for r in records.film_records(spark.createDataFrame(details, schema)).collect()}
     assert tuple(rows["f"]) == ("f", "Cure", ["drama"], "Kiyoshi Kurosawa", True, "Synopsis", True, 1997)
     assert tuple(rows["g"]) == ("g", "G", [], None, False, "Sinopse", False, None)
+
+
+def test_unusable_replies_leave_the_answer_before_them(spark):
+    """Faulty, then unreadable: the faulty answer stays, and the calls end."""
+    check = lambda rows: rows.withColumn("found", F.when(F.col("reply") == "bad", F.array(F.lit("fault"))).when(F.col("reply") == "?", F.array(F.lit(rounds.UNUSABLE))).otherwise(F.array().cast("array<string>")))
+    script = lambda system, user: ({"a": "bad", "b": "?", "c": "good", "d": ""}[user] if "!" not in system else {"a": "?"}[user])
+    rows = spark.createDataFrame([("a",), ("b",), ("c",), ("d",)], "message string")
+    found = {r.message: (r.answer, r.faults, r.n_calls, r.history) for r in rounds.in_rounds(rows, script, check, "s", {"fault": "!"}, retries=1, repairs=0).collect()}
+    assert found == {
+        "a": ("bad", ["fault"], 2, ["fault", "sem_resposta"]), "b": (None, ["sem_resposta"], 1, ["sem_resposta"]), "c": ("good", [], 1, []), "d": (None, ["sem_resposta"], 1, ["sem_resposta"]),
+    }
+    assert rounds.in_rounds(rows.limit(0), script, check).count() == 0
+
+
+BUCKETS = "film string, bucket string, mode string, n_valid int, message string"
+
+
+def test_synthesis_calls_and_flags(spark):
+    good = '{"temas": [{"tema": "ritmo", "mencoes_aproximadas": "3"}], "observacao_geral": "O filme é lento para esse grupo."}'
+    english = '{"temas": [], "observacao_geral": "It is the view of the group and it was for this."}'
+    script = {"good": [good], "english": [english, good], "stubborn": [english, english], "broken": ["{", good], "never": ["{", "{"], "worse": [english, "{"], "scope": [good.replace("O filme", "O consenso é que o filme"), good]}
+    seen = spark.sparkContext.accumulator(0)
+
+    def model(system, user):
+        seen.add(1)
+        return script[user][min(system.count("!"), 1)] if user != "broken" else good
+
+    rows = spark.createDataFrame([("f", k, "completo", 9, k) for k in script] + [("f", "skipped", "sem_analise", 2, "boom")], BUCKETS)
+    found = {r.bucket: r for r in calls.synthesized(rows, model, "s", "!").collect()}
+    assert {k: (r.n_calls, r.language_invalid, r.scope_suspect, len(r.themes)) for k, r in found.items()} == {
+        "good": (1, False, False, 1), "english": (2, False, False, 1), "stubborn": (2, True, False, 0), "broken": (1, False, False, 1), "never": (2, False, False, 0), "worse": (3, True, False, 0), "scope": (2, False, False, 1),
+        "skipped": (0, False, False, 0),
+    }
+    # calls are made once, whatever is read afterwards
+    assert seen.value == sum(r.n_calls for r in found.values())
+    assert calls.calls_where_none_is_due(spark.createDataFrame([("sem_analise", 0), ("completo", 1), ("sem_analise", 1)], "mode string, n_calls int")).count() == 1
+
+
+def test_narratives_are_asked_again_with_what_failed(spark):
+    known = spark.createDataFrame([("f", "negativas", "ritmo", 40, 2)], "film string, bucket string, theme string, pct int, force int")
+    prose = "A grande maioria das notas (~80%) gosta. Uma minoria das notas (~15%) hesita, quem ficou no meio. Uma pequena minoria das notas (~5%) recusa. Para eles, \"é\" lento."
+    good = {"narrativa": prose, "quantificadores_usados": [{"quantificador": "muitos", "tema": "ritmo"}, 3], "consensos_usados": [{"propriedade": "p", "grupos_de_origem": ["negativas"], "temas_de_origem": ["ritmo"]}]}
+    script = {
+        "good": [good], "inflated": [good | {"quantificadores_usados": [{"quantificador": "quase todos", "tema": "ritmo"}]}, good], "invented": [good | {"consensos_usados": [{"grupos_de_origem": ["negativas"], "temas_de_origem": ["x"]}]}] * 2,
+        "strong": [good | {"narrativa": prose + " Quase todos concordam."}, good], "unmarked": [good | {"narrativa": prose.replace("Para eles, ", "")}, good], "public": [good | {"narrativa": prose + " Uma minoria do público ri."}] * 2,
+    }
+    model = lambda system, user: json.dumps(script[user][min(system.count("!"), len(script[user]) - 1)])
+    shares = {"negativas": "neg", "medianas": "med", "positivas": "pos"}
+    rows = spark.createDataFrame([("f" if k != "lone" else "g", k, 5, 15, 80) for k in script], "film string, message string, neg int, med int, pos int").withColumn("film", F.concat("film", "message"))
+    every = known.crossJoin(rows.select(F.col("film").alias("own"))).withColumn("film", F.col("own")).drop("own")
+    words = {f: "!" for f in ("quantificador", "consenso", "perspectiva_nao_marcada", "vocabulario_peso")}
+    found = {r.message: r for r in calls.narrated(rows, model, every, shares, "s", words).collect()}
+    assert {k: (r.n_calls, r.faults) for k, r in found.items()} == {
+        "good": (1, []), "inflated": (2, []), "invented": (2, ["consenso"]), "strong": (2, []), "unmarked": (2, []), "public": (2, ["vocabulario_peso"]),
+    }
+    assert '"' not in found["good"].text and [q.tema for q in found["good"].quantificadores_usados] == ["ritmo"]
+
+
+def test_edits_that_never_pass_leave_the_raw_text(spark):
+    raw = "Uma minoria das notas (~15%) hesita, e o ritmo do filme é lento."
+    said = []
+
+    def model(system, user):
+        said.append(system)
+        return raw.replace("15", "16") if "números" not in system else "{ texto }"
+
+    rows = spark.createDataFrame([(raw,), ("",), (None,)], "raw string").withColumn("protected", F.array().cast("array<string>"))
+    found = {r.raw: r for r in calls.edited(rows, model, None, "s", {"numeros_alterados": " números", "formato_invalido": " formato"}, retries=2).collect()}
+    assert (found[raw].text, found[raw].discarded, found[raw].n_calls, found[raw].history) == (raw, True, 3, ["numeros_alterados", "formato_invalido", "formato_invalido"])
+    assert all(found[x].discarded and found[x].n_calls == 0 for x in ("", None))
+
+
+def test_answers_name_places_of_their_batch(spark):
+    told = spark.createDataFrame([("f", "b", 0, 3, '{"1": ["x", "y", "x"], "4": ["x"], "z": [], "2": []}'), ("f", "b", 1, 1, None)], "film string, bucket string, batch int, n_rows int, answer string")
+    found = {(r.batch, r.place): (r.theme_ids, r.n_invalid) for r in themes.valid_answers(told, ["x"]).collect()}
+    assert found == {(0, 1): (["x", "x"], 1), (0, 2): ([], 0), (0, 3): ([], 0), (1, 1): (None, 0)}
+
+
+def test_documents_are_read_back_as_written(spark, tmp_path):
+    documents = spark.createDataFrame([("a", 3, [("negativas", 7)]), ("b", 4, []), ("c", None, None)], "film string, total bigint, buckets array<struct<bucket:string,share_real:int>>")
+    compare.write_documents(documents, str(tmp_path / "d"))
+    back = spark.read.schema("total bigint, buckets array<struct<bucket:string,share_real:int>>, film string").json(str(tmp_path / "d"))
+    key = lambda r: r.film
+    assert sorted(back.select(*documents.columns).collect(), key=key) == sorted(documents.collect(), key=key)
+    without = records.apply_distribution(documents, None)
+    assert [b.share_real for r in without.collect() for b in r.buckets or []] == [None]
+
+
+def test_text_of_a_page(spark):
+    pages = [("<html><head><title>T</title><style>p {}</style></head><body><p>One  <b>two</b>&amp;three</p><script>x()</script><br>four</body>", "T One two &three four"), ("", ""), (None, ""), ("no tags", "no tags"), ("<p>open <i>tag", "open tag")]
+    found = spark.createDataFrame([(h,) for h, _ in pages], "html string").select("html", html.page_text("html").alias("t")).collect()
+    assert [r.t for r in found] == [t for _, t in pages]

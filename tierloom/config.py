@@ -10,6 +10,10 @@ MAX_PAGES = 6
 MAX_THEMES = 6
 NULL_EDIT_SIMILARITY = 0.97
 SPOILER_PLACEHOLDER = "This review may contain spoilers. I can handle the truth."
+SITE = "https://films.example"
+DISCLAIMER_QUOTAS = "grupos de 50 · 20 · 30 reviews são cotas de coleta — não a proporção real das opiniões"
+DISCLAIMER_SHARES = "análise em profundidade igual por grupo (50·20·30 reviews); o peso real de cada faixa está indicado em cada grupo"
+EDIT_RETRIES = 3
 
 #: Rows of a review page.
 PAGE_ROWS = 12

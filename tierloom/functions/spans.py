@@ -1,140 +1,126 @@
-"""Checks that need character positions in prose, as Arrow functions over whole columns.
+"""Checks that need character positions in prose, as columns.
 
-Shares of a text's groups come as a JSON object of bucket to whole percent.
+Everything follows from lists of marks, (place, token) with 1-based places, that regular expressions
+leave in a text. A group's anchor is one event; sorted, the events cut a text into movements, one for
+each group, from its anchor to the next one.
 """
 
 from __future__ import annotations
 
 import difflib
-import json
 import re
 
 import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, DoubleType, StringType
-
-from tierloom.functions.labels import WEIGHT_BANDS
-from tierloom.functions.text import ATTRIBUTIONS, PLAIN_WEIGHTS, WRONG_NOUNS
-
-_LABELS = [b[0] for b in WEIGHT_BANDS]
-_SENTENCE = re.compile(r"[^.!?]+[.!?]+|[^.!?]+$")
-
-
-def weight_index(pct: int) -> int:
-    return next(i for i, (_, bound, inside) in enumerate(WEIGHT_BANDS) if pct < bound or inside and pct <= bound or i == len(WEIGHT_BANDS) - 1)
-
-
-def marking_of(pct: int, dominant: int) -> str:
-    if not dominant or 3 * pct > dominant:
-        return "nenhuma"
-    return "antecipada" if 10 * pct <= dominant else "simples"
-
-
-def anchor(text: str, pct: int) -> int | None:
-    """Where a group is first named: by its weight label, a weaker one, or its percentage."""
-    low = text.lower()
-    places = [low.find(x) for x in _LABELS[: weight_index(pct) + 1]]
-    literal = re.search(rf"(?<!\d){pct}%", low)
-    places.append(literal.start() if literal else -1)
-    return min((p for p in places if p >= 0), default=None)
-
-
-def sentence_bounds(text: str) -> list[tuple[int, int]]:
-    found = []
-    for m in _SENTENCE.finditer(text):
-        body = m.group().strip()
-        if body:
-            start = m.start() + m.group().index(body)
-            found.append((start, start + len(body)))
-    return found
-
-
-def _sentence_at(bounds: list[tuple[int, int]], place: int) -> int | None:
-    return next((i for i, (a, b) in enumerate(bounds) if a <= place <= b), None)
-
-
-def attributions(text: str, start: int, end: int) -> list[int]:
-    window = text[start:end].lower()
-    return sorted(start + m.start() for e in ATTRIBUTIONS for m in re.finditer(re.escape(e), window))
-
-
-def group_span(text: str, bucket: str, shares: dict[str, int]) -> tuple[int, int] | None:
-    """From a group's anchor to the next anchor of another group, or the end."""
-    start = anchor(text, shares[bucket]) if bucket in shares else None
-    if start is None:
-        return None
-    others = [anchor(text, p) for b, p in shares.items() if b != bucket]
-    return start, min((x for x in others if x is not None and x > start), default=len(text))
-
-
-def marker_verdict(text: str, shares: dict[str, int]) -> str:
-    """ok, unanchored:bucket, unmarked:bucket or late:bucket; the first fault in bucket order."""
-    dominant = max(shares.values(), default=0)
-    bounds = sentence_bounds(text)
-    for bucket, pct in shares.items():
-        marking = marking_of(pct, dominant)
-        if marking == "nenhuma":
-            continue
-        span = group_span(text, bucket, shares)
-        if span is None:
-            return f"unanchored:{bucket}"
-        places = attributions(text, *span)
-        if not places:
-            return f"unmarked:{bucket}"
-        if marking == "antecipada":
-            own = _sentence_at(bounds, span[0])
-            if own is None or not any(_sentence_at(bounds, p) in (own, own + 1) for p in places):
-                return f"late:{bucket}"
-    return "ok"
-
-
-def _noun_first(window: str) -> bool:
-    notas = window.find("notas")
-    places = [window.find(x) for x in WRONG_NOUNS]
-    return any(p >= 0 and (notas < 0 or p < notas) for p in places)
-
-
-def wrong_denominator(text: str) -> bool:
-    """A weight tied to readers: a wrong noun within 40 characters after a plain label, or 60 before a percentage."""
-    low = text.lower()
-    after = (low[m.end() : m.end() + 40] for label in PLAIN_WEIGHTS for m in re.finditer(label, low))
-    before = (low[max(0, m.start() - 60) : m.start()] for m in re.finditer(r"~?\d{1,3}\s?%", low))
-    return any(map(_noun_first, (*after, *before)))
-
-
-def similarity_of(a: str, b: str) -> float:
-    """Ratio of matching characters of two texts whose white space is normalised."""
-    return difflib.SequenceMatcher(None, " ".join(a.split()), " ".join(b.split())).ratio()
-
-
-def lowered_labels(text: str) -> str:
+from pyspark.sql.types import DoubleType
+
+from tierloom.functions import labels
+from tierloom.functions.text import ATTRIBUTIONS, PLAIN_WEIGHTS, SENTENCE, WRONG_NOUNS, guarded_percent_at, stripped
+
+# fixed values: characters that are looked at after a plain weight label, and before a percentage
+AFTER_LABEL, BEFORE_PERCENT = 40, 60
+PERCENT = r"~?\d{1,3}\s?%"
+_ATTRIBUTION = "|".join(sorted(map(re.escape, ATTRIBUTIONS), key=len, reverse=True)).replace("\\ ", " ")
+#: The rest of a sentence, and with it the next one. What stands right at a sentence's end without a space counts as still in it.
+REST = rf"^[^.!?]*(?:[.!?]+(?:{_ATTRIBUTION})?)?"
+REST_AND_NEXT = rf"^[^.!?]*(?:[.!?]+[^.!?]*(?:[.!?]+(?:{_ATTRIBUTION})?)?)?"
+
+
+def marks(text: Column, pattern: str) -> Column:
+    """All matches in order: array of (place, token)."""
+    parts, tokens = F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    size = lambda xs: F.aggregate(xs, F.lit(0), lambda n, x: n + F.length(x))
+    place = lambda k: 1 + size(F.slice(parts, F.lit(1), k)) + size(F.slice(tokens, F.lit(1), k - 1))
+    found = F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens), F.lit(1))), lambda k: F.struct(place(k).alias("place"), F.get(tokens, k - 1).alias("token")))
+    return F.filter(found, lambda m: m["token"].isNotNull())
+
+
+def anchor(text: Column, share: Column) -> Column:
+    """Where a group is first named: by its weight label, a weaker one, or its percentage; null if nowhere."""
+    low = F.lower(text)
+    named = F.transform(labels.labels_up_to(share), lambda x: F.instr(low, x))
+    return F.array_min(F.filter(F.concat(named, F.array(guarded_percent_at(text, share))), lambda p: p > 0))
+
+
+def with_marker_verdict(rows: DataFrame, text: str, shares: dict[str, str], name: str) -> DataFrame:
+    """Adds ``name``: ok, or the first fault in bucket order: unanchored:bucket, unmarked:bucket or late:bucket.
+
+    ``shares`` names the column of each bucket's share; a null share needs no mark, and a null text has no anchor.
+    A group whose share asks for a mark needs an attribution in its movement; where the mark has to come early, in
+    the sentence of its anchor or the one after.
+    """
+    held = rows.withColumn("__low", F.lower(F.coalesce(F.col(text), F.lit(""))))
+    events = F.array(*(F.struct(anchor(F.col("__low"), F.col(s)).alias("at"), F.lit(b).alias("bucket")) for b, s in shares.items()))
+    held = held.withColumn("__events", F.filter(events, lambda e: e["at"].isNotNull()))
+    end = lambda e: F.coalesce(F.array_min(F.filter(F.transform("__events", lambda o: o["at"]), lambda p: p > e["at"])), F.length("__low") + 1)
+    before = lambda e: F.substring(F.col("__low"), F.greatest(e["at"] - 1, F.lit(1)), F.when(e["at"] > 1, 1).otherwise(0))
+    movement = lambda e: F.struct(e["bucket"].alias("bucket"), before(e).alias("before"), F.substring(F.col("__low"), e["at"], end(e) - e["at"]).alias("text"))
+    held = held.withColumn("__movements", F.transform("__events", movement))
+    dominant, faults = F.greatest(F.lit(0), F.lit(0), *(F.coalesce(F.col(s), F.lit(0)) for s in shares.values())), []
+    for bucket, share in shares.items():
+        own = F.try_element_at(F.filter("__movements", lambda m: m["bucket"] == bucket), F.lit(1))  # noqa: B023
+        marking = F.coalesce(labels.perspective_marking(F.col(share), dominant), F.lit("nenhuma"))
+        early = F.when(own["before"].isin(".", "!", "?"), F.regexp_extract(own["text"], REST, 0)).otherwise(F.regexp_extract(own["text"], REST_AND_NEXT, 0))
+        faults.append(
+            F.when(F.col(share).isNull() | (marking == "nenhuma"), F.lit(None).cast("string")).when(own.isNull(), f"unanchored:{bucket}")
+            .when(~own["text"].rlike(_ATTRIBUTION), f"unmarked:{bucket}").when((marking == "antecipada") & ~early.rlike(_ATTRIBUTION), f"late:{bucket}")
+        )
+    return held.withColumn(name, F.coalesce(*faults, F.lit("ok"))).drop("__low", "__events", "__movements")
+
+
+def sentence_of(text: Column, place: Column) -> Column:
+    """Number, from 0, of the sentence that a place is in; a place right behind one is still in it; null between sentences and for null."""
+    bounds = F.transform(marks(text, SENTENCE), lambda m: F.struct((m["place"] + F.length(m["token"]) - F.length(F.ltrim(_spaces(m["token"])))).alias("a"), stripped(m["token"]).alias("t")))
+    whole = F.filter(bounds, lambda m: m["t"] != "")
+    held = F.transform(whole, lambda m, i: F.when((m["a"] <= place) & (place <= m["a"] + F.length(m["t"])), i))
+    return F.array_min(F.array_compact(held))
+
+
+def _spaces(text: Column) -> Column:
+    return F.regexp_replace(text, r"\s", " ")
+
+
+def diagnosed_markers(rows: DataFrame, text: str, shares: dict[str, str], markers: str) -> DataFrame:
+    """A row for each declared marker (``markers``: array of grupo and trecho) with where it stands.
+
+    Adds grupo, trecho, marking, anchor_sentence, marker_sentence and placed: whether an early mark stands in the sentence of
+    its group's anchor or the next one. Marks that need not be early are always placed.
+    """
+    dominant = F.greatest(F.lit(0), F.lit(0), *(F.coalesce(F.col(s), F.lit(0)) for s in shares.values()))
+    told = rows.select("*", F.explode(markers).alias("__m")).withColumns({"grupo": F.col("__m.grupo"), "trecho": F.col("__m.trecho")})
+    share = F.coalesce(*(F.when(F.col("grupo") == b, F.col(s)) for b, s in shares.items()))
+    told = told.withColumn("__share", share).withColumn("marking", F.coalesce(labels.perspective_marking(F.col("__share"), dominant), F.lit("nenhuma")))
+    early = F.col("marking") == "antecipada"
+    told = told.withColumn("anchor_sentence", F.when(early, sentence_of(F.col(text), anchor(F.col(text), F.col("__share")))))
+    told = told.withColumn("marker_sentence", sentence_of(F.col(text), F.nullif(F.instr(F.col(text), F.col("trecho")), F.lit(0))))
+    near = F.coalesce((F.col("marker_sentence") - F.col("anchor_sentence")).isin(0, 1), F.lit(False))
+    return told.withColumn("placed", ~early | near).drop("__m", "__share")
+
+
+def vocabulary_ok(text: Column) -> Column:
+    """No weight is tied to readers: in no window after a plain label or before a percentage does a wrong noun come before "notas"."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    after = F.transform(marks(low, "|".join(PLAIN_WEIGHTS)), lambda m: F.substring(low, m["place"] + F.length(m["token"]), F.lit(AFTER_LABEL)))
+    before = F.transform(marks(low, PERCENT), lambda m: F.substring(low, F.greatest(m["place"] - BEFORE_PERCENT, F.lit(1)), F.least(m["place"] - 1, F.lit(BEFORE_PERCENT))))
+
+    def wrong(window: Column) -> Column:
+        noun = F.array_min(F.filter(F.array(*(F.instr(window, n) for n in WRONG_NOUNS)), lambda p: p > 0))
+        right = F.instr(window, "notas")
+        return noun.isNotNull() & ((right == 0) | (noun < right))
+
+    return ~F.exists(F.concat(after, before), wrong)
+
+
+def labels_lowered(text: Column) -> Column:
     """Weight labels that stand capitalised inside a sentence, with a small first letter."""
-    for label in _LABELS:
-        capital = label[0].upper() + label[1:]
-
-        def small(m: re.Match, label: str = label) -> str:
-            before = m.string[: m.start()].rstrip()
-            return m.group() if not before or before[-1] in ".!?" else label
-
-        text = re.sub(rf"\b{capital}\b", small, text)
+    for label, _, _ in labels.WEIGHT_BANDS:
+        text = F.regexp_replace(text, rf"(?U)(?<=[^.!?\s]\s{{0,99}})\b{label[0].upper()}{label[1:]}\b", label)
     return text
 
 
-@F.pandas_udf(StringType())
-def marker_check(text: pd.Series, shares: pd.Series) -> pd.Series:
-    return pd.Series([marker_verdict(t or "", json.loads(s or "{}")) for t, s in zip(text, shares, strict=True)])
-
-
-@F.pandas_udf(BooleanType())
-def weight_vocabulary_ok(text: pd.Series) -> pd.Series:
-    return pd.Series([not wrong_denominator(t or "") for t in text])
-
-
 @F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([similarity_of(x or "", y or "") for x, y in zip(a, b, strict=True)])
-
-
-@F.pandas_udf(StringType())
-def residual_capitals_lowered(text: pd.Series) -> pd.Series:
-    return pd.Series([lowered_labels(t or "") for t in text])
+    """Ratio of matching characters of two texts whose white space is normalised; no column function has it."""
+    plain = lambda x: " ".join((x or "").split())
+    return pd.Series([difflib.SequenceMatcher(None, plain(x), plain(y)).ratio() for x, y in zip(a, b, strict=True)])

@@ -125,8 +125,10 @@ def without_fences(answer: Column) -> Column:
 
 
 def url_quoted(text: Column) -> Column:
-    """Percent-encoding, with %20 for spaces."""
-    return F.replace(F.url_encode(text), F.lit("+"), F.lit("%20"))
+    """Percent-encoding of all but letters, digits and "-._~"."""
+    for form, plain in (("+", "%20"), ("*", "%2A"), ("%7E", "~")):
+        text = F.replace(F.url_encode(text) if form == "+" else text, F.lit(form), F.lit(plain))
+    return text
 
 
 def html_escaped(text: Column) -> Column:

@@ -33,23 +33,35 @@ def first_seen(rows: DataFrame, keys: list[str], identity: list[str], order: lis
     return kept.unionByName(rows.filter(~known))
 
 
-def read_pages(reviews: DataFrame, quota: int = config.QUOTA_PER_LEVEL, max_pages: int = config.MAX_PAGES) -> DataFrame:
-    """One row per page: film, level, page, n_rows, n_valid, kept.
+def seen_marked(reviews: DataFrame, max_pages: int = config.MAX_PAGES) -> DataFrame:
+    """Rows of the pages that may be read at all, with ``first``: whether a row is the first of its id in its level.
 
-    A page is read while the pages before it have fewer than ``quota`` rows that pass the first
-    length threshold, no page before it is missing, and the cap on pages is not reached.
+    Later pages are never looked at, whatever they hold, so their rows go before anything is shuffled. Rows
+    with a null or empty id are all first.
     """
-    pages = reviews.groupBy("film", "level", "page").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(passes(config.LENGTH_CASCADE[0])).alias("n_valid"))
+    order = Window.partitionBy("film", "level", "review_id").orderBy("page", "pos")
+    anonymous = F.coalesce(F.col("review_id").cast("string"), F.lit("")) == ""
+    return reviews.filter(F.col("page") <= max_pages).withColumn("first", anonymous | (F.row_number().over(order) == 1))
+
+
+def read_pages(marked: DataFrame, quota: int = config.QUOTA_PER_LEVEL) -> DataFrame:
+    """Of rows with ``first`` (:func:`seen_marked`) one row per page: film, level, page, n_rows, n_first, n_valid, kept.
+
+    A page is read while the pages before it have fewer than ``quota`` first-seen rows that pass the first
+    length threshold and none of them is missing. A page is there if it has any row, be they all repeats.
+    """
+    first = F.col("first")
+    pages = marked.groupBy("film", "level", "page").agg(F.count(F.lit(1)).alias("n_rows"), F.count_if(first).alias("n_first"), F.count_if(first & passes(config.LENGTH_CASCADE[0])).alias("n_valid"))
     order = Window.partitionBy("film", "level").orderBy("page")
     seen = F.coalesce(F.sum("n_valid").over(order.rangeBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return pages.withColumn("kept", (seen < quota) & (F.row_number().over(order) == F.col("page")) & (F.col("page") <= max_pages))
+    return pages.withColumn("kept", (seen < quota) & (F.row_number().over(order) == F.col("page")))
 
 
 def kept_rows(reviews: DataFrame) -> DataFrame:
     """First-seen rows of the pages that are read."""
-    distinct = first_seen(reviews, ["film", "level"], ["review_id"], ["page", "pos"])
-    pages = read_pages(distinct).filter("kept").select("film", "level", "page")
-    return distinct.join(pages, ["film", "level", "page"], "left_semi")
+    marked = seen_marked(reviews)
+    pages = read_pages(marked).filter("kept").select("film", "level", "page")
+    return marked.filter("first").drop("first").join(pages, ["film", "level", "page"], "left_semi")
 
 
 def with_threshold(rows: DataFrame) -> DataFrame:
@@ -61,16 +73,26 @@ def with_threshold(rows: DataFrame) -> DataFrame:
     return rows.withColumn("threshold", found)
 
 
+def ranked(rows: DataFrame) -> DataFrame:
+    """Adds ``rank``: the place of a row in source order among those of its level that pass its threshold; null for others."""
+    passing = passes(F.col("threshold"))
+    order = Window.partitionBy("film", "level", passing).orderBy("page", "pos")
+    return rows.withColumn("rank", F.when(passing, F.row_number().over(order)))
+
+
 def level_quota(rows: DataFrame, quota: int = config.QUOTA_PER_LEVEL) -> DataFrame:
     """The first ``quota`` rows of each level, in source order, that pass its threshold."""
-    order = Window.partitionBy("film", "level").orderBy("page", "pos")
-    return rows.filter(passes(F.col("threshold"))).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= quota)
+    return ranked(rows).filter(F.col("rank") <= quota)
 
 
 def completion(rows: DataFrame, full_texts: DataFrame) -> DataFrame:
-    """Adds full_text and status: complete, completed, no_url, spoiler_in_full or fetch_failed."""
+    """Adds full_text and status: complete, completed, no_url, spoiler_in_full or fetch_failed.
+
+    Full texts are looked for by ``full_text_url`` and only for truncated rows that have one.
+    """
     spoiled = F.contains(F.col("fetched_text"), F.lit(config.SPOILER_PLACEHOLDER))
-    joined = rows.join(full_texts.withColumn("fetched_spoiler", spoiled), "review_id", "left")
+    found = full_texts.withColumn("fetched_spoiler", spoiled).withColumnRenamed("full_text_url", "__url")
+    joined = rows.join(found, F.col("truncated") & (F.col("full_text_url") == F.col("__url")), "left").drop("__url")
     status = (
         F.when(~F.col("truncated"), "complete").when(F.col("full_text_url").isNull(), "no_url")
         .when(~F.coalesce(F.col("fetch_ok"), F.lit(False)), "fetch_failed")
@@ -81,26 +103,18 @@ def completion(rows: DataFrame, full_texts: DataFrame) -> DataFrame:
     return done.withColumn("full_text", full)
 
 
-def level_metadata(rows: DataFrame, completed: DataFrame) -> DataFrame:
-    """Counters of each level.
+def level_metadata(rows: DataFrame, full_texts: DataFrame, quota: int = config.QUOTA_PER_LEVEL) -> DataFrame:
+    """Counters of each level, from one grouping of rows that have ``threshold``.
 
-    ``rows`` have ``threshold``; ``completed`` are the level's quota rows with ``status``. A spoiler
-    found in a full text counts as a truncation discard and as a spoiler. Rows beyond the quota are in no
-    counter of discards.
+    A spoiler found in a full text counts as a truncation discard and as a spoiler. Rows beyond the quota are in
+    no counter of discards.
     """
-    found = completed.groupBy("film", "level").agg(
-        F.count_if(F.col("status").isin("complete", "completed")).alias("n_valid"),
-        F.count_if(~F.col("status").isin("complete", "completed")).alias("n_truncation"),
-        F.count_if(F.col("status") == "spoiler_in_full").alias("n_late_spoiler"),
-    )
-    counted = rows.groupBy("film", "level").agg(
+    done, taken = completion(ranked(rows), full_texts), F.coalesce(F.col("rank") <= quota, F.lit(False))
+    whole, late = F.col("status").isin("complete", "completed"), F.col("status") == "spoiler_in_full"
+    return done.groupBy("film", "level").agg(
         F.max("threshold").alias("threshold"), F.count_distinct("page").alias("n_pages"), F.count(F.lit(1)).alias("n_raw"), F.count_if(F.col("rating").isNull()).alias("n_unrated"),
-        F.count_if(F.col("rating").isNotNull() & F.col("spoiler")).alias("n_spoiler"), F.count_if(eligible() & (F.col("n_chars") < F.col("threshold"))).alias("n_short"),
-    )
-    none = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return counted.join(found, ["film", "level"], "left").select(
-        "film", "level", "threshold", "n_pages", "n_raw", "n_unrated", (F.col("n_spoiler") + none("n_late_spoiler")).alias("n_spoiler"), "n_short",
-        none("n_truncation").alias("n_truncation"), none("n_valid").alias("n_valid"),
+        F.count_if((F.col("rating").isNotNull() & F.col("spoiler")) | (taken & late)).alias("n_spoiler"), F.count_if(eligible() & (F.col("n_chars") < F.col("threshold"))).alias("n_short"),
+        F.count_if(taken & ~whole).alias("n_truncation"), F.count_if(taken & whole).alias("n_valid"),
     )
 
 

@@ -15,7 +15,7 @@ def protected_spans(source: Column, shares: list[Column]) -> Column:
     wanted = F.array().cast("array<string>")
     for share in shares:
         tail = F.concat(F.lit(" das notas (~"), share.cast("string"), F.lit("%)"))
-        wanted = F.concat(wanted, F.transform(labels.labels_up_to(share), lambda x: F.concat(x, tail)))  # noqa: B023
+        wanted = F.concat(wanted, F.coalesce(F.transform(labels.labels_up_to(share), lambda x: F.concat(x, tail)), F.array().cast("array<string>")))  # noqa: B023
     found = F.filter(F.concat(wanted, F.transform(F.regexp_extract_all(source, F.lit(rf"~?{text.NUMBER}"), F.lit(0)), text.stripped)), lambda x: x != "")
     own = F.transform(found, lambda x: F.when(F.contains(source, x), x).when(F.instr(low, F.lower(x)) > 0, F.substring(source, F.instr(low, F.lower(x)), F.length(x))))
     kept = F.array_distinct(F.filter(own, lambda x: F.contains(source, x) & (x != "")))
@@ -28,25 +28,56 @@ def lost_spans(edited: Column, protected: Column) -> Column:
     return F.filter(protected, lambda p: ~(F.contains(edited, p) | F.contains(edited, text.first_letter_variant(p))))
 
 
-def edit_verdicts(edits: DataFrame) -> DataFrame:
-    """(edit_id, raw, edited, protected) to edit_id, n_lost, numbers_kept, similarity, verdict.
+def with_honesty(rows: DataFrame, prose: str, shares: dict[str, str], name: str) -> DataFrame:
+    """Adds ``name``: the checks that a text fails, in a fixed order.
 
-    The first fault counts: wrapped format, lost spans, changed numbers, honesty (language, scope or
-    prevalence that was right before), and last an edit that changes nothing.
+    idioma, escopo, prevalencia (only without shares), vocabulario_peso, ancoragem_peso and perspectiva_nao_marcada
+    (only with shares). ``shares`` names the column of each bucket's share.
     """
-    words = lambda c: text.bare_words(F.col(c))
-    language = lambda c: text.language_ok(text.count_among(words(c), text.STOPWORDS_PT), text.count_among(words(c), text.STOPWORDS_EN))
-    worse = lambda markers: ~text.has_any(F.col("raw"), markers) & text.has_any(F.col("edited"), markers)
-    measured = edits.select(
-        "edit_id", F.size(lost_spans(F.col("edited"), F.col("protected"))).alias("n_lost"), (text.number_tokens(F.col("raw")) == text.number_tokens(F.col("edited"))).alias("numbers_kept"),
-        text.wrapped_format(F.col("edited")).alias("wrapped"), ((language("raw") & ~language("edited")) | worse(text.SCOPE_MARKERS) | worse(text.PREVALENCE_MARKERS)).alias("regressed"),
-        spans.similarity("raw", "edited").alias("similarity"),
+    words = text.bare_words(F.col(prose))
+    faults = [
+        ("idioma", ~text.language_ok(text.count_among(words, text.STOPWORDS_PT), text.count_among(words, text.STOPWORDS_EN))),
+        ("escopo", text.has_any(F.col(prose), text.SCOPE_MARKERS)),
+    ]
+    marked = rows
+    if shares:
+        marked = spans.with_marker_verdict(rows, prose, shares, "__marks")
+        faults += [
+            ("vocabulario_peso", ~spans.vocabulary_ok(F.col(prose))), ("ancoragem_peso", ~weights_anchored(F.col(prose), [F.col(s) for s in shares.values()])), ("perspectiva_nao_marcada", F.col("__marks") != "ok"),
+        ]
+    else:
+        faults.append(("prevalencia", text.has_any(F.col(prose), text.PREVALENCE_MARKERS)))
+    return marked.withColumn(name, F.array_compact(F.array(*(F.when(bad, F.lit(n)) for n, bad in faults)))).drop("__marks")
+
+
+def edit_checks(edits: DataFrame, shares: dict[str, str] | None = None) -> DataFrame:
+    """Adds published (the edit without quotation marks), wrapped, n_lost, numbers_kept and regressions.
+
+    ``edits``: raw, edited, protected and the columns of ``shares``. A regression is a check that the raw text
+    passes and the edit fails; an edit need not mend what was wrong before.
+    """
+    shares = shares or {}
+    clean = edits.withColumn("published", text.strip_quotes(F.coalesce("edited", F.lit("")))[0]).withColumn("__raw", text.strip_quotes(F.coalesce("raw", F.lit("")))[0])
+    clean = with_honesty(with_honesty(clean, "__raw", shares, "__before"), "published", shares, "__after")
+    kept = text.number_tokens(F.col("raw")) == text.number_tokens(F.col("published"))
+    return (
+        clean.withColumn("wrapped", text.wrapped_format(F.col("edited"))).withColumn("n_lost", F.size(lost_spans(F.col("published"), F.col("protected")))).withColumn("numbers_kept", kept)
+        .withColumn("regressions", F.array_except("__after", "__before")).drop("__raw", "__before", "__after")
     )
+
+
+def edit_verdicts(edits: DataFrame, shares: dict[str, str] | None = None) -> DataFrame:
+    """``edit_checks`` with similarity and verdict.
+
+    The first fault counts: wrapped format, lost spans, changed numbers, a regression of honesty, and last an edit
+    that changes nothing.
+    """
+    measured = edit_checks(edits, shares).withColumn("similarity", spans.similarity("raw", "edited"))
     verdict = (
         F.when(F.col("wrapped"), "formato_invalido").when(F.col("n_lost") > 0, "protegidos_perdidos").when(~F.col("numbers_kept"), "numeros_alterados")
-        .when(F.col("regressed"), "regressao").when(F.col("similarity") >= config.NULL_EDIT_SIMILARITY, "edicao_nula").otherwise("aceita")
+        .when(F.size("regressions") > 0, "regressao").when(F.col("similarity") >= config.NULL_EDIT_SIMILARITY, "edicao_nula").otherwise("aceita")
     )
-    return measured.select("edit_id", "n_lost", "numbers_kept", "similarity", verdict.alias("verdict"))
+    return measured.withColumn("verdict", verdict)
 
 
 def weights_anchored(prose: Column, shares: list[Column]) -> Column:

@@ -9,6 +9,52 @@ from tierloom import config
 from tierloom.functions import text
 
 
+def page_addresses(slug: Column, level: Column, page: Column, path: Column, viewing: Column, title: Column) -> dict[str, Column]:
+    """Addresses of a film's pages and the names under which they are cached, by what they are of."""
+    site, named = F.lit(config.SITE), level_path(level)
+    join = lambda *parts: F.concat(*(p if isinstance(p, Column) else F.lit(p) for p in parts))
+    # the same in the address of a search and the name of its page, but for the slash, which an address keeps
+    asked = text.url_quoted(title)
+    return {
+        "level_url": join(site, "/film/", slug, "/reviews/rated/", named, "/by/activity/page/", page.cast("string"), "/"),
+        "level_key": join(slug, "/pages/rated_", F.replace(named, F.lit("."), F.lit("_")), "_page_", page.cast("string"), ".html"),
+        "full_text_url": join(site, path), "full_text_key": join(slug, "/fulltext/", F.replace(viewing, F.lit(":"), F.lit("_")), ".html"),
+        "histogram_url": join(site, "/csi/film/", slug, "/rating-histogram/"), "histogram_key": join("_histograma/", slug, ".html"),
+        "film_url": join(site, "/film/", slug, "/"), "film_key": join(slug, "/film_page.html"), "reviews_url": reviews_url(slug),
+        "search_url": join(site, "/s/search/films/", F.replace(asked, F.lit("%2F"), F.lit("/")), "/"), "search_key": join("_search/", F.replace(asked, F.lit("%"), F.lit("_")), ".html"),
+    }
+
+
+def with_origin(requests: DataFrame, cached: DataFrame, key: str) -> DataFrame:
+    """Requests with ``origin``: cache where an earlier run holds the key, network where it does not.
+
+    Of several requests for one key that is not held, in order of ``at``, the first goes to the network.
+    """
+    order = Window.partitionBy(key).orderBy("at")
+    held = requests.join(cached.select(key, F.lit(True).alias("__held")).distinct(), key, "left")
+    first = F.row_number().over(order) == 1
+    return held.withColumn("origin", F.when(F.col("__held").isNull() & first, "network").otherwise("cache")).drop("__held")
+
+
+def origin_counts(requests: DataFrame, keys: list[str]) -> DataFrame:
+    """n_network and n_cache of requests with ``origin``."""
+    return requests.groupBy(*keys).agg(F.count_if(F.col("origin") == "network").alias("n_network"), F.count_if(F.col("origin") == "cache").alias("n_cache"))
+
+
+def with_negatives(asked: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """What is cached of a lookup: found records, and for keys without one a row that says not_found, so that they are not asked again."""
+    return asked.select(key).distinct().join(found.withColumn("__found", F.lit(True)), key, "left").withColumn("not_found", F.col("__found").isNull()).drop("__found")
+
+
+def shown_title(title: Column, slug: Column) -> Column:
+    return F.coalesce(F.nullif(title, F.lit("")), slug)
+
+
+def paragraphs(prose: Column) -> Column:
+    """Parts between blank lines, without empty ones."""
+    return F.filter(F.transform(F.split(prose, r"\n{2,}"), text.stripped), lambda p: p != "")
+
+
 def best_candidate(candidates: DataFrame, keys: list[str]) -> DataFrame:
     """Of each key's candidates the most popular one of the wanted year, the first on ties; else the first of all.
 
@@ -65,6 +111,12 @@ def call_metrics(calls: DataFrame, keys: list[str], order: list[str]) -> DataFra
     )
 
 
+def bucket_metrics(calls: DataFrame, themes: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """:func:`call_metrics` and, from themes with ``clamped``, their number, the number of clamped ones and the sum of mentions."""
+    counted = themes.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_themes"), F.count_if("clamped").alias("n_clamped"), F.sum("mentions").alias("n_mentions"))
+    return call_metrics(calls, keys, order).join(counted, keys, "left").fillna(0, ["n_themes", "n_clamped", "n_mentions"])
+
+
 def film_documents(buckets: DataFrame, themes: DataFrame, shares: DataFrame) -> DataFrame:
     """One nested row per film: buckets in fixed order, each with its themes by rank and its share if there is one."""
     nested = themes.groupBy("film", "bucket").agg(F.array_sort(F.collect_list(F.struct("rank", "theme", "mentions", "n_reviews"))).alias("themes"))
@@ -83,20 +135,73 @@ def apply_distribution(documents: DataFrame, shares: DataFrame | None) -> DataFr
     return joined.withColumn("buckets", F.transform("buckets", lambda b: b.withField("share_real", F.try_element_at("held", b["bucket"])))).drop("held")
 
 
-def report_lines(buckets: DataFrame, themes: DataFrame, shares: DataFrame) -> DataFrame:
-    """film, ord, line: a heading for each bucket, a warning unless its mode is complete, and a line for each theme.
+TONES = ("estruturado", "narrativo", "ambos")
+
+
+def reviews_url(slug: Column) -> Column:
+    """The public page of a film's reviews."""
+    return F.concat(F.lit(f"{config.SITE}/film/"), slug, F.lit("/reviews/"))
+
+
+def disclaimer(has_shares: Column) -> Column:
+    """What sizes of groups mean, by whether there is a distribution."""
+    return F.when(F.coalesce(has_shares, F.lit(False)), config.DISCLAIMER_SHARES).otherwise(config.DISCLAIMER_QUOTAS)
 
-    Warnings are in every report; themes are left out where the mode is sem_analise.
+
+def report_lines(buckets: DataFrame, themes: DataFrame, shares: DataFrame, prose: DataFrame | None = None, tone: str = "estruturado") -> DataFrame:
+    """film, ord, line of a report in one of three tones.
+
+    Every tone has the disclaimer, a heading for each bucket, its warnings and the total of rows. "estruturado" and "ambos" have a line
+    and an example (where ``themes`` has one) for each theme; "narrativo" and "ambos" end with the film's prose (``prose``: film, text). Where a
+    bucket's mode is sem_analise, the number of reviews and their page stand for its themes.
     """
+    if tone not in TONES:
+        raise ValueError(f"tone is one of {TONES}")
     order = F.array_position(F.array(*map(F.lit, config.BUCKETS)), F.col("bucket")) * 100
-    head = buckets.join(shares.select("film", "bucket", "share_real"), ["film", "bucket"], "left")
+    example = [F.col("example") if "example" in themes.columns else F.lit(None).cast("string").alias("example")]
+    nested = themes.select("film", "bucket", F.struct("rank", "theme", "mentions", "n_reviews", *example).alias("t")).groupBy("film", "bucket").agg(F.array_sort(F.collect_list("t")).alias("themes"))
+    rows = buckets.join(shares.select("film", "bucket", "share_real"), ["film", "bucket"], "left").join(nested, ["film", "bucket"], "left")
     share = F.coalesce(F.concat(F.lit(" · ~"), F.col("share_real").cast("string"), F.lit("% das notas")), F.lit(""))
     title = F.concat(F.upper("bucket"), F.lit(" "), F.col("n_valid").cast("string"), F.lit("/"), F.col("target").cast("string"), F.lit(" modo="), F.col("mode"), share)
-    headings = head.select("film", order.alias("ord"), title.alias("line"))
-    warnings = buckets.filter("mode <> 'completo'").select("film", (order + 1).alias("ord"), F.when(F.col("mode") == "reduzido", "aviso: modo reduzido").otherwise("aviso: sem analise").alias("line"))
-    told = themes.join(buckets.select("film", "bucket", "mode"), ["film", "bucket"]).filter("mode <> 'sem_analise'")
-    lines = F.concat(F.col("theme"), F.lit(": ~"), F.col("mentions").cast("string"), F.lit(" de "), F.col("n_reviews").cast("string"))
-    return headings.unionByName(warnings).unionByName(told.select("film", (order + 1 + F.col("rank")).alias("ord"), lines.alias("line")))
+    line = lambda ord, text: F.struct(ord.cast("long").alias("ord"), text.alias("line"))
+    none = F.array().cast("array<struct<ord:bigint,line:string>>")
+    only_count = F.concat(F.col("n_valid").cast("string"), F.lit(" disponíveis em "), reviews_url(F.col("film").cast("string")))
+    warnings = F.when(F.col("mode") == "reduzido", F.array(line(order + 1, F.lit("aviso: modo reduzido")))).when(F.col("mode") == "sem_analise", F.array(line(order + 1, F.lit("aviso: sem analise")), line(order + 2, only_count))).otherwise(none)
+    told = lambda t: F.array(
+        line(order + 1 + 2 * t["rank"], F.concat(t["theme"], F.lit(": ~"), t["mentions"].cast("string"), F.lit(" de "), t["n_reviews"].cast("string"))),
+        line(order + 2 + 2 * t["rank"], F.concat(F.lit("ex.: "), t["example"])),
+    )
+    shown = F.when(F.col("mode") == "sem_analise", none).otherwise(F.filter(F.flatten(F.coalesce(F.transform("themes", told), F.array(none))), lambda x: x["line"].isNotNull()))
+    body = F.concat(F.array(line(order, title)), warnings, *([shown] if tone != "narrativo" else []))
+    sums = rows.groupBy("film").agg(F.flatten(F.collect_list(body)).alias("body"), F.sum("n_raw").alias("n_raw"), F.bool_or(F.col("share_real").isNotNull()).alias("known"))
+    ends = F.array(line(F.lit(0), disclaimer(F.col("known"))), line(F.lit(1000), F.concat(F.lit("total de reviews: "), F.col("n_raw").cast("string"))))
+    if tone != "estruturado":
+        sums = sums.join(prose.select("film", "text"), "film", "left")
+        ends = F.concat(ends, F.array(line(F.lit(999), F.coalesce(F.nullif("text", F.lit("")), F.lit("(narrativa não gerada)")))))
+    return sums.select("film", F.explode(F.concat("body", ends)).alias("l")).select("film", "l.ord", "l.line")
+
+
+def narrator_message(buckets: DataFrame, themes: DataFrame, shares: DataFrame, films: DataFrame) -> DataFrame:
+    """film, message: all that a narrator is told, from named fields only; texts of reviews are not among them.
+
+    ``buckets``: film, bucket, mode, n_raw, n_valid, observation; ``themes``: film, bucket, rank, theme, mentions, n_reviews, pct, quantifier,
+    example; ``shares``: film, bucket, share_real, weight_phrase, marking; ``films``: film, title, year, director, genres, synopsis (a film
+    may lack a row). Labels come computed, none is left to the reader.
+    """
+    cell = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    order = F.array_position(F.array(*map(F.lit, config.BUCKETS)), F.col("bucket"))
+    told = F.concat(F.lit("- "), cell("theme"), F.lit(": ~"), cell("mentions"), F.lit(" de "), cell("n_reviews"), F.lit(" ("), cell("pct"), F.lit("%, "), cell("quantifier"), F.lit("). ex.: "), cell("example"))
+    nested = themes.groupBy("film", "bucket").agg(F.array_sort(F.collect_list(F.struct("rank", told.alias("line")))).alias("t"))
+    rows = buckets.join(shares.select("film", "bucket", "share_real", "weight_phrase", "marking"), ["film", "bucket"], "left").join(nested, ["film", "bucket"], "left")
+    weight = F.when(F.col("share_real").isNotNull(), F.concat(F.lit(" · peso: "), cell("weight_phrase"), F.lit(" · marcação: "), cell("marking"))).otherwise("")
+    head = F.concat(F.upper("bucket"), F.lit(": "), cell("n_valid"), F.lit(" reviews · modo="), cell("mode"), weight)
+    seen = F.when(cell("observation") != "", F.concat(F.lit("observação: "), cell("observation")))
+    lines = F.array_compact(F.concat(F.array(head, seen), F.coalesce(F.transform("t", lambda x: x["line"]), F.array(F.lit("(sem temas)")))))
+    bodies = rows.groupBy("film").agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), lines.alias("l")))).alias("b"), F.sum("n_raw").alias("n"))
+    details = F.concat_ws("; ", F.concat(F.lit("título: "), cell("title")), F.concat(F.lit("ano: "), cell("year")), F.concat(F.lit("diretor: "), cell("director")), F.concat(F.lit("gêneros: "), F.concat_ws(", ", "genres")), F.concat(F.lit("sinopse: "), cell("synopsis")))
+    known = films.select("film", details.alias("details"))
+    opening = F.array_compact(F.array(F.concat(F.lit("total de reviews: "), F.col("n").cast("string")), F.col("details")))
+    return bodies.join(known, "film", "left").select("film", F.array_join(F.concat(opening, F.flatten(F.transform("b", lambda x: x["l"]))), "\n").alias("message"))
 
 
 def repeated_neighbours(rows: DataFrame, keys: list[str], order: str, value: str) -> DataFrame:

@@ -7,29 +7,47 @@ offline default.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tierloom import config
 from tierloom.functions import labels, text
+from tierloom.functions.ranks import numbered
 
 
 def assign_by_keywords(reviews: DataFrame, keywords: dict[str, tuple[str, ...]]) -> DataFrame:
     """Adds ``theme_ids``: themes with a keyword in the text, in the order of ``keywords``; null for a null text."""
-    low = F.lower("text")
-    ids = []
-    for theme, words in keywords.items():
-        hit = F.lit(False)
-        for w in words:
-            hit = hit | F.contains(low, F.lit(w))
-        ids.append(F.when(hit, F.lit(theme)))
-    return reviews.withColumn("theme_ids", F.when(F.col("text").isNotNull(), F.array_compact(F.array(*ids))))
+
+    def found(low: Column) -> Column:
+        ids = []
+        for theme, words in keywords.items():
+            hit = F.lit(False)
+            for w in words:
+                hit = hit | F.contains(low, F.lit(w))
+            ids.append(F.when(hit, F.lit(theme)))
+        return F.array_compact(F.array(*ids))
+
+    # as an array's one element the text is lower-cased once, not once for each keyword
+    once = F.element_at(F.transform(F.array(F.lower("text")), found), 1)
+    return reviews.withColumn("theme_ids", F.when(F.col("text").isNotNull(), once))
+
+
+def counted(assigned: DataFrame) -> DataFrame:
+    """film, bucket, theme_id, mentions in one pass: every listed id counts, and the id "" counts the bucket's reviews."""
+    listed = F.concat(F.coalesce("theme_ids", F.array().cast("array<string>")), F.array(F.lit("")))
+    return assigned.select("film", "bucket", F.explode(listed).alias("theme_id")).groupBy("film", "bucket", "theme_id").agg(F.count(F.lit(1)).alias("mentions"))
 
 
 def mentions(assigned: DataFrame, known: list[str] | None = None) -> DataFrame:
     """film, bucket, theme_id, mentions: every listed id counts, if it is known."""
-    rows = assigned.select("film", "bucket", F.explode("theme_ids").alias("theme_id"))
-    return (rows if known is None else rows.filter(F.col("theme_id").isin(known))).groupBy("film", "bucket", "theme_id").agg(F.count(F.lit(1)).alias("mentions"))
+    rows = counted(assigned).filter("theme_id <> ''")
+    return rows if known is None else rows.filter(F.col("theme_id").isin(known))
+
+
+def sized(assigned: DataFrame, known: list[str]) -> DataFrame:
+    """``mentions`` of known ids with the number of reviews of their bucket, from one grouping of the reviews."""
+    n = F.max(F.when(F.col("theme_id") == "", F.col("mentions"))).over(Window.partitionBy("film", "bucket"))
+    return counted(assigned).withColumn("n_reviews", n).filter(F.col("theme_id").isin(known))
 
 
 def coverage(assigned: DataFrame) -> DataFrame:
@@ -44,9 +62,10 @@ def coverage(assigned: DataFrame) -> DataFrame:
 
 
 def batches(reviews: DataFrame, size: int) -> DataFrame:
-    """Adds batch and place: reviews of a film and bucket in source order, ``size`` to a batch."""
-    at = F.row_number().over(Window.partitionBy("film", "bucket").orderBy("review_id")) - 1
-    return reviews.withColumn("at", at).withColumn("batch", F.floor(F.col("at") / size).cast("int")).withColumn("place", (F.col("at") % size + 1).cast("int")).drop("at")
+    """Adds batch and place: reviews of a film and bucket in source order (by review_id, a whole number), ``size`` to a batch."""
+    at = F.col("__at")
+    rows = numbered(reviews, ["film", "bucket"], "review_id", "__at")
+    return rows.withColumn("batch", F.floor(at / size).cast("int")).withColumn("place", (at % size + 1).cast("int")).drop("__at")
 
 
 def clamped(raw: DataFrame) -> DataFrame:
@@ -72,6 +91,18 @@ def ranked_then_first(themes: DataFrame, most: int = config.MAX_THEMES) -> DataF
     return themes.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
 
 
+def both_rankings(themes: DataFrame, most: int = config.MAX_THEMES) -> DataFrame:
+    """The two rankings of one table, a row for each variant ("first", "ranked") that a theme is in."""
+    early = (F.col("ord") <= most).cast("int")
+    by_size = [F.desc("mentions"), F.col("ord")]
+    ranked = themes.withColumn("__ranked", F.row_number().over(Window.partitionBy("film", "bucket").orderBy(*by_size)))
+    ranked = ranked.withColumn("__first", F.sum(early).over(Window.partitionBy("film", "bucket").orderBy(*by_size)).cast("int"))
+    places = F.array(
+        F.when(F.col("ord") <= most, F.struct(F.lit("first").alias("variant"), F.col("__first").alias("rank"))), F.when(F.col("__ranked") <= most, F.struct(F.lit("ranked").alias("variant"), F.col("__ranked").alias("rank")))
+    )
+    return ranked.withColumn("__place", F.explode(F.array_compact(places))).select(*themes.columns, "__place.variant", "__place.rank")
+
+
 def with_quantifiers(themes: DataFrame) -> DataFrame:
     """Adds pct of the bucket's reviews, its label and the label's force."""
     pct = labels.percent(F.col("mentions"), F.col("n_reviews"))
@@ -115,6 +146,32 @@ def invalid_ids(assigned: DataFrame, known: DataFrame) -> DataFrame:
     return checked.groupBy("film", "bucket").agg(F.count(F.lit(1)).alias("n_listed"), F.count_if(F.col("real").isNull()).alias("n_invalid"))
 
 
+def valid_answers(answers: DataFrame, known: list[str]) -> DataFrame:
+    """film, bucket, batch, place, theme_ids, n_invalid of a batch's answer (place to ids), for every place of the batch.
+
+    ``answers``: film, bucket, batch, n_rows, answer (JSON text, null where classification failed). Keys that are no place of the
+    batch are ignored, ids that are not known are counted and left out; a place without a key has no theme, and one of
+    a failed batch has null.
+    """
+    places = answers.select("*", F.explode(F.sequence(F.lit(1), F.col("n_rows").cast("int"))).alias("place")).withColumn("__told", F.from_json("answer", "map<string,array<string>>"))
+    listed = F.coalesce(F.try_element_at("__told", F.col("place").cast("string")), F.array().cast("array<string>"))
+    good = F.filter(listed, lambda x: x.isin(known))
+    # a repeated id counts each time
+    return places.select("film", "bucket", "batch", "place", F.when(F.col("answer").isNotNull(), good).alias("theme_ids"), (F.size(listed) - F.size(good)).alias("n_invalid"))
+
+
+def mention_ratios(themes: DataFrame) -> DataFrame:
+    """film, bucket, ratio (mentions for each review), largest (share of the most frequent theme in reviews)."""
+    return themes.groupBy("film", "bucket").agg(F.try_divide(F.sum("mentions"), F.max("n_reviews")).alias("ratio"), F.max(F.try_divide("mentions", "n_reviews")).alias("largest"))
+
+
+def first_of_name(names: DataFrame, themes: DataFrame) -> DataFrame:
+    """(film, theme) to pct and quantifier of the film's first theme of that name, by bucket order and then rank; null without one."""
+    order = Window.partitionBy("film", "theme").orderBy(F.array_position(F.array(*map(F.lit, config.BUCKETS)), F.col("bucket")), "ord")
+    first = themes.withColumn("__n", F.row_number().over(order)).filter("__n = 1").select("film", "theme", "bucket", "pct", "quantifier")
+    return names.join(first, ["film", "theme"], "left")
+
+
 def named_proposals(proposed: DataFrame) -> DataFrame:
     """Proposed (film, bucket, ord, id, theme) with a name; a missing id is "t" and the place."""
     kept = proposed.filter(F.trim(F.coalesce("theme", F.lit(""))) != "")

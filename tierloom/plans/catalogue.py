@@ -99,9 +99,15 @@ def level_quota_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collect.level_quota(_cascade(spark, sf_dir)).select("film", "level", "rank", "review_id", "threshold")
 
 
-@query(f"WITH {sql.PAGES} SELECT film, level, page, n_rows, n_valid, kept FROM pages_read")
+@query(f"WITH {sql.PAGES} SELECT film, level, page, n_rows, n_first, n_valid, kept FROM pages_read")
 def early_stop_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return collect.read_pages(tables.reviews(spark, sf_dir))
+    return collect.read_pages(collect.seen_marked(tables.reviews(spark, sf_dir)))
+
+
+@query(f"WITH {sql.PAGES} SELECT film, level, page, pos, review_id, first FROM marked")
+def repeated_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of the first pages, with those marked that a page before has had."""
+    return collect.seen_marked(tables.reviews(spark, sf_dir)).select("film", "level", "page", "pos", "review_id", "first")
 
 
 @query(f"WITH {sql.COMPLETED} SELECT * FROM completed")
@@ -111,7 +117,7 @@ def completion_status(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {sql.METADATA} SELECT * FROM metadata")
 def level_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return collect.level_metadata(_cascade(spark, sf_dir), _completed(spark, sf_dir))
+    return collect.level_metadata(_cascade(spark, sf_dir), tables.full_texts(spark, sf_dir))
 
 
 @query(f"WITH {sql.BUCKETS} SELECT * FROM buckets")
@@ -127,10 +133,8 @@ def _assigned(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _themes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    assigned = _assigned(spark, sf_dir)
-    sizes = assigned.groupBy("film", "bucket").agg(F.count(F.lit(1)).alias("n_reviews"))
     place = F.array_position(F.array(*map(F.lit, tables.THEMES)), F.col("theme_id")).cast("int")
-    counted = themes.mentions(assigned, list(tables.THEMES)).join(sizes, ["film", "bucket"])
+    counted = themes.sized(_assigned(spark, sf_dir), list(tables.THEMES))
     return themes.with_quantifiers(counted.select("film", "bucket", F.col("theme_id").alias("theme"), place.alias("ord"), F.col("mentions").cast("int").alias("mentions"), "n_reviews"))
 
 
@@ -143,9 +147,7 @@ def theme_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
 b AS (SELECT *, row_number() OVER (PARTITION BY film, bucket ORDER BY mentions DESC, ord) AS rank FROM themes)
 SELECT 'first' AS variant, film, bucket, theme, mentions, rank FROM a UNION ALL SELECT 'ranked', film, bucket, theme, mentions, rank FROM b WHERE rank <= 6""")
 def theme_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _themes(spark, sf_dir)
-    out = [f(rows).select(F.lit(name).alias("variant"), "film", "bucket", "theme", "mentions", "rank") for name, f in (("first", themes.first_then_ranked), ("ranked", themes.ranked_then_first))]
-    return out[0].unionByName(out[1])
+    return themes.both_rankings(_themes(spark, sf_dir)).select("variant", "film", "bucket", "theme", "mentions", "rank")
 
 
 @query(f"WITH {sql.THEMES} SELECT film, bucket, theme, mentions, n_reviews, pct, {sql.band('pct', labels.QUANTIFIER_BANDS)} AS quantifier, {sql.force('pct')} AS force FROM themes")
@@ -336,54 +338,117 @@ def protected_spans_lost(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("edit_id", F.size("spans").alias("n_protected"), F.size(edits.lost_spans(F.col("edited"), F.col("spans"))).alias("n_lost"))
 
 
-@query()
-def edit_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _edits(spark, sf_dir).select("edit_id", spans.similarity("raw", "edited").alias("similarity"))
+def _faults(x: str) -> str:
+    """The checks of prose without shares that ``x`` fails."""
+    n = {k: sql.count_among(sql.bare_words(x), v) for k, v in (("pt", text.STOPWORDS_PT), ("en", text.STOPWORDS_EN))}
+    return f"""list_filter([CASE WHEN {n["pt"]} < {n["en"]} THEN 'idioma' END, CASE WHEN {sql.has_any(x, text.SCOPE_MARKERS)} THEN 'escopo' END,
+  CASE WHEN {sql.has_any(x, text.PREVALENCE_MARKERS)} THEN 'prevalencia' END], lambda f: f IS NOT NULL)"""
+
+
+@query(f"""WITH t AS (SELECT conv_id || ':' || turn AS edit_id, text AS raw, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS edited FROM conversations),
+c AS (SELECT edit_id, raw, edited, {_SPANS.replace("text,", "raw,")} AS spans, {sql.unquoted("raw")} AS raw_clean, {sql.unquoted("edited")} AS published FROM t WHERE edited IS NOT NULL AND raw IS NOT NULL)
+SELECT edit_id, {sql.wrapped("edited")} AS wrapped, len(list_filter(spans, lambda x: NOT contains(published, x))) AS n_lost, {sql.numbers("raw")} = {sql.numbers("published")} AS numbers_kept,
+  array_to_string(list_sort(list_filter({_faults("published")}, lambda f: NOT list_contains({_faults("raw_clean")}, f))), ',') AS regressions, md5(published) AS published_md5 FROM c""")
+def edit_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    checked = edits.edit_checks(_edits(spark, sf_dir).withColumn("protected", edits.protected_spans(F.col("raw"), [])))
+    listed = F.array_join(F.array_sort("regressions"), ",")
+    return checked.select("edit_id", "wrapped", "n_lost", "numbers_kept", listed.alias("regressions"), F.md5(F.col("published").cast("binary")).alias("published_md5"))
 
 
 @query()
-def edit_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return edits.edit_verdicts(_edits(spark, sf_dir).withColumn("protected", edits.protected_spans(F.col("raw"), [])))
+def edit_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """No SQL has this ratio; the tests hold it against the standard library."""
+    return _edits(spark, sf_dir).select("edit_id", "raw", "edited", spans.similarity("raw", "edited").alias("similarity"))
 
 
-def _prose(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """For each film a text about its own shares, in one of four forms, of which one leaves a group out."""
-    wide = weight_labels(spark, sf_dir).groupBy("film").pivot("bucket", list(config.BUCKETS)).agg(F.first("share_real").alias("share"), F.first("weight_phrase").alias("phrase"))
-    neg, med, pos = (F.col(f"{b}_share") for b in config.BUCKETS)
-    percent = lambda c: F.concat(c.cast("string"), F.lit("%"))
-    prose = (
-        F.when(F.col("film") % 4 == 0, F.concat(F.lit("Para "), F.col("positivas_phrase"), F.lit(" o filme agrada. Quem ficou no meio: "), F.col("medianas_phrase"), F.lit(". Para eles, que são "), percent(neg), F.lit(", não.")))
-        .when(F.col("film") % 4 == 1, F.concat(F.col("negativas_phrase"), F.lit(". "), F.col("medianas_phrase"), F.lit(". "), F.col("positivas_phrase"), F.lit(".")))
-        .when(F.col("film") % 4 == 2, F.concat(F.lit("9"), percent(neg), F.lit(" e "), percent(pos), F.lit(" das notas.")))
-        .otherwise(F.concat(F.lit("Uma fração mínima dos espectadores e "), percent(med), F.lit(" das notas: "), percent(pos), F.lit(", "), percent(neg)))
-    )
-    return wide.select("film", neg.alias("neg"), med.alias("med"), pos.alias("pos"), prose.alias("text"))
+_NAMES = {"negativas": "neg", "medianas": "med", "positivas": "pos"}
+#: Forms of prose about a film's shares: pieces are text, a share, or the weight phrase of a share.
+_FORMS = (
+    ("Para ", "p_pos", " o filme agrada. Quem ficou no meio: ", "p_med", ". Para eles, que são ", "neg", "%, não."),
+    ("p_neg", ". ", "p_med", ". ", "p_pos", "."),
+    ("9", "neg", "% e ", "pos", "% das notas."),
+    ("Uma fração mínima dos espectadores e ", "med", "% das notas: ", "pos", "%, ", "neg", "%"),
+    ("p_pos", " gosta. Quem ficou no meio, ", "p_med", ", hesita. Para esse grupo falta força. Já ", "p_neg", " recusa. Para eles, o ritmo pesa."),
+    ("p_pos", ". Já ", "p_neg", " recusa. O ritmo cansa. O som também. Para eles falta tudo, dizem. ", "p_med", ", quem ficou no meio, hesita."),
+    ("Já Uma pequena minoria hesita. Uma minoria! Nem A maioria, nem Uma Minoria: ", "p_med", " e ", "p_neg", ", para elas não. No fim, ", "p_pos", "."),
+    ("p_neg", ".Para eles, tudo falha. ", "p_pos", " vibra: ~", "med", "% do público, notas à parte, espera. Nessa leitura, sim."),
+)
 
 
-def _anchored(x: str) -> str:
-    names = sql.quoted(b[0] for b in labels.WEIGHT_BANDS)
-    return f"(len(list_filter({names}[1:list_position({names}, {sql.band(x, labels.WEIGHT_BANDS)})], lambda r: contains(lower(text), r))) > 0 OR regexp_matches(text, '(^|[^0-9])' || {x} || '%'))"
+def _pieces_sql(form) -> str:
+    return " || ".join(x if x in _NAMES.values() or x[:2] == "p_" and x[2:] in _NAMES.values() else f"'{x}'" for x in form)
 
 
+def _prose(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each film a text about its shares: its own ones, or for every other eight films made-up ones with a dominant group."""
+    wide = rating_distribution(spark, sf_dir).groupBy("film").pivot("bucket", list(config.BUCKETS)).agg(F.first("share_real")).withColumnsRenamed(_NAMES)
+    made = F.floor(F.col("film") / 8) % 2 == 1
+    neg, med = F.when(made, F.col("film") % 9 + 1).otherwise(F.col("neg")), F.when(made, F.col("film") % 7 + 10).otherwise(F.col("med"))
+    shares = wide.select("film", neg.cast("int").alias("neg"), med.cast("int").alias("med"), F.when(made, 100 - neg - med).otherwise(F.col("pos")).cast("int").alias("pos"))
+    told = {x: F.col(x).cast("string") for x in _NAMES.values()} | {f"p_{x}": labels.weight_phrase(F.col(x)) for x in _NAMES.values()}
+    prose = F.lit(None).cast("string")
+    for k, form in enumerate(_FORMS):
+        prose = F.when(F.col("film") % len(_FORMS) == k, F.concat(*(told[x] if x in told else F.lit(x) for x in form))).otherwise(prose)
+    return shares.withColumn("text", prose)
+
+
+_PHRASES = ", ".join(f"{sql.band(x, labels.WEIGHT_BANDS)} || ' das notas (~' || {x} || '%)' AS p_{x}" for x in _NAMES.values())
 _PROSE = f"""{sql.DISTRIBUTION},
-wide AS (SELECT film, {", ".join(f"max(share_real) FILTER (bucket = '{b}') AS {b[:3]}" for b in config.BUCKETS)} FROM distribution GROUP BY film),
-phrases AS (SELECT *, {", ".join(f"{sql.band(b[:3], labels.WEIGHT_BANDS)} || ' das notas (~' || {b[:3]} || '%)' AS p_{b[:3]}" for b in config.BUCKETS)} FROM wide),
-prose AS (SELECT film, neg, med, pos, CASE film % 4
-  WHEN 0 THEN 'Para ' || p_pos || ' o filme agrada. Quem ficou no meio: ' || p_med || '. Para eles, que são ' || neg || '%, não.'
-  WHEN 1 THEN p_neg || '. ' || p_med || '. ' || p_pos || '.'
-  WHEN 2 THEN '9' || neg || '% e ' || pos || '% das notas.'
-  ELSE 'Uma fração mínima dos espectadores e ' || med || '% das notas: ' || pos || '%, ' || neg || '%' END AS text FROM phrases)"""
+own AS (SELECT film, {", ".join(f"max(share_real) FILTER (bucket = '{b}') AS {x}" for b, x in _NAMES.items())} FROM distribution GROUP BY film),
+two AS (SELECT film, (CASE WHEN film // 8 % 2 = 1 THEN film % 9 + 1 ELSE neg END)::INTEGER AS neg, (CASE WHEN film // 8 % 2 = 1 THEN film % 7 + 10 ELSE med END)::INTEGER AS med, pos FROM own),
+wide AS (SELECT film, neg, med, (CASE WHEN film // 8 % 2 = 1 THEN 100 - neg - med ELSE pos END)::INTEGER AS pos FROM two),
+phrases AS (SELECT *, {_PHRASES} FROM wide),
+prose AS (SELECT film, neg, med, pos, {", ".join(f"p_{x}" for x in _NAMES.values())}, CASE film % {len(_FORMS)} {" ".join(f"WHEN {k} THEN {_pieces_sql(f)}" for k, f in enumerate(_FORMS))} END AS text FROM phrases)"""
 
 
-@query(f"WITH {_PROSE} SELECT film, text, {' AND '.join(_anchored(x) for x in ('neg', 'med', 'pos'))} AS anchored FROM prose")
+@query(f"WITH {_PROSE} SELECT film, text, {' AND '.join(sql.anchored('text', x) for x in ('neg', 'med', 'pos'))} AS anchored FROM prose")
 def anchor_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _prose(spark, sf_dir).select("film", "text", edits.weights_anchored(F.col("text"), [F.col("neg"), F.col("med"), F.col("pos")]).alias("anchored"))
 
 
-@query()
+@query(f"WITH {_PROSE} SELECT film, {sql.marker_verdict('text', _NAMES)} AS verdict, {sql.vocabulary_ok('text')} AS vocabulary_ok, {sql.labels_lowered('text')} AS lowered FROM prose")
 def marker_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shares = F.to_json(F.struct(F.col("neg").alias("negativas"), F.col("med").alias("medianas"), F.col("pos").alias("positivas")))
-    return _prose(spark, sf_dir).select("film", spans.marker_check("text", shares).alias("verdict"), spans.weight_vocabulary_ok("text").alias("vocabulary_ok"), spans.residual_capitals_lowered("text").alias("lowered"))
+    checked = spans.with_marker_verdict(_prose(spark, sf_dir), "text", _NAMES, "verdict")
+    return checked.select("film", "verdict", spans.vocabulary_ok(F.col("text")).alias("vocabulary_ok"), spans.labels_lowered(F.col("text")).alias("lowered"))
+
+
+@query(f"""WITH {_PROSE} SELECT film, {", ".join(f"coalesce({sql.anchor_place('text', x)}, 0) AS at_{x}" for x in _NAMES.values())},
+  list_transform({sql.marks(sql.lower('text'), spans.PERCENT)}, lambda m: m.place || ':' || m.token) AS percents FROM prose""")
+def anchor_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    places = [F.coalesce(spans.anchor(F.col("text"), F.col(x)), F.lit(0)).alias(f"at_{x}") for x in _NAMES.values()]
+    told = F.transform(spans.marks(F.lower("text"), spans.PERCENT), lambda m: F.concat_ws(":", m["place"], m["token"]))
+    return _prose(spark, sf_dir).select("film", *places, told.alias("percents"))
+
+
+_REWRITTEN = ("Em resumo: ", "p_pos", " aprova com folga; ", "p_med", " hesita, como quem ficou no meio; e ", "p_neg", " recusa. Para eles falta ritmo, sem dúvida nenhuma.")
+_EDITS = (
+    "text", "replace(text, pos || '%', (pos + 1) || '%')", "'{ text: ' || text || ' }'", "replace(text, 'das notas', 'do público')", _pieces_sql(_REWRITTEN), _pieces_sql(_REWRITTEN[:-1] + (" recusa de vez, e pronto.",)),
+    "text || ' Uma minoria do público discorda.'", "text || ' O consenso é claro.'", "text || ' It was the mood of the film that was it, and for the most of it that is all.'", "''",
+)
+
+
+def _prose_edits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The films' prose and an edit of it: unchanged, renumbered, wrapped, weights lost, rewritten, unmarked, with a wrong noun, too wide, in English, or empty."""
+    prose = _prose(spark, sf_dir).withColumns({f"p_{x}": labels.weight_phrase(F.col(x)) for x in _NAMES.values()})
+    edited = F.lit(None).cast("string")
+    for k, expression in enumerate(_EDITS):
+        edited = F.when(F.floor(F.col("film") / len(_FORMS)) % len(_EDITS) == k, F.expr(expression)).otherwise(edited)
+    return prose.select("film", *_NAMES.values(), F.col("text").alias("raw"), edited.alias("edited"))
+
+
+_PROSE_EDITS = f"""{_PROSE}, edited AS (SELECT film, neg, med, pos, text AS raw, CASE film // {len(_FORMS)} % {len(_EDITS)} {" ".join(f"WHEN {k} THEN {e}" for k, e in enumerate(_EDITS))} END AS edited FROM prose),
+kept AS (SELECT *, {sql.protected("raw", _NAMES.values())} AS spans, {sql.unquoted("edited")} AS published FROM edited),
+judged AS (SELECT *, len(list_filter(spans, lambda x: NOT contains(published, x) AND NOT contains(published, {sql.other_case("x")}))) AS n_lost, {sql.numbers("raw")} = {sql.numbers("published")} AS numbers_kept,
+  list_filter({sql.honesty("published", _NAMES)}, lambda f: NOT list_contains({sql.honesty("raw", _NAMES)}, f)) AS regressions FROM kept)"""
+
+
+@query(f"""WITH {_PROSE_EDITS} SELECT film, len(spans) AS n_protected, n_lost, numbers_kept, array_to_string(regressions, ',') AS regressions,
+  CASE WHEN {sql.wrapped("edited")} THEN 'formato_invalido' WHEN n_lost > 0 THEN 'protegidos_perdidos' WHEN NOT numbers_kept THEN 'numeros_alterados' WHEN len(regressions) > 0 THEN 'regressao'
+    WHEN edited = raw THEN 'edicao_nula' ELSE 'aceita' END AS verdict FROM judged""")
+def edit_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Similarity only decides between an unchanged text and one that is far from it, so SQL can tell the verdicts."""
+    rows = _prose_edits(spark, sf_dir).withColumn("protected", edits.protected_spans(F.col("raw"), [F.col(x) for x in _NAMES.values()]))
+    return edits.edit_verdicts(rows, _NAMES).select("film", F.size("protected").alias("n_protected"), "n_lost", "numbers_kept", F.array_join("regressions", ",").alias("regressions"), "verdict")
 
 
 # pages, urls and events
@@ -464,24 +529,42 @@ def _shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return distribution.rating_distribution(rated)
 
 
-@query()
-def film_document(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ranked = themes.first_then_ranked(_themes(spark, sf_dir))
-    nested = records.film_documents(bucket_assembly(spark, sf_dir), ranked, _shares(spark, sf_dir))
-    return nested.select("film", "total_reviews", F.to_json("buckets", {"ignoreNullFields": "false"}).alias("buckets"))
+_SHARE = f"""shares AS (SELECT film, bucket, {sql.percent("n_reviews", "sum(n_reviews) OVER (PARTITION BY film)")} AS share_real FROM sizes)"""
+_REPORT = f"""{sql.BUCKETS}, {sql.THEMES}, {_SHARE},
+ranked AS (SELECT *, row_number() OVER (PARTITION BY film, bucket ORDER BY mentions DESC, ord) AS rank FROM themes WHERE ord <= 6),
+b AS (SELECT *, list_position({sql.quoted(config.BUCKETS)}, bucket) * 100 AS place FROM buckets)"""
+_HEADS = f"""SELECT film, place AS ord, upper(bucket) || ' ' || n_valid || '/' || target || ' modo=' || mode || coalesce(' · ~' || share_real || '% das notas', '') AS line FROM b LEFT JOIN shares USING (film, bucket)
+UNION ALL SELECT film, place + 1, CASE WHEN mode = 'reduzido' THEN 'aviso: modo reduzido' ELSE 'aviso: sem analise' END FROM b WHERE mode <> 'completo'
+UNION ALL SELECT film, place + 2, n_valid || ' disponíveis em {config.SITE}/film/' || film || '/reviews/' FROM b WHERE mode = 'sem_analise'
+UNION ALL SELECT film, 0, '{config.DISCLAIMER_SHARES}' FROM b GROUP BY film
+UNION ALL SELECT film, 1000, 'total de reviews: ' || sum(n_raw)::BIGINT FROM b GROUP BY film"""
+_EXAMPLE = "'um exemplo de ' || theme"
 
 
-_SHARE = f"""shares AS (SELECT film, bucket, {sql.percent("n_reviews", "sum(n_reviews) OVER (PARTITION BY film)")} AS share_real FROM sizes)"""
+def _report(spark: SparkSession, sf_dir: str, tone: str) -> DataFrame:
+    ranked = themes.first_then_ranked(_themes(spark, sf_dir)).withColumn("example", F.when(F.col("rank") % 2 == 1, F.expr(_EXAMPLE)))
+    prose = spark.createDataFrame([("en", "Uma prosa."), ("de", "")], "film string, text string")
+    return records.report_lines(bucket_assembly(spark, sf_dir), ranked, _shares(spark, sf_dir), prose, tone)
 
 
-@query(f"""WITH {sql.BUCKETS}, {sql.THEMES}, {_SHARE},
-ranked AS (SELECT *, row_number() OVER (PARTITION BY film, bucket ORDER BY mentions DESC, ord) AS rank FROM themes WHERE ord <= 6),
-b AS (SELECT *, list_position({sql.quoted(config.BUCKETS)}, bucket) * 100 AS place FROM buckets)
-SELECT film, place AS ord, upper(bucket) || ' ' || n_valid || '/' || target || ' modo=' || mode || coalesce(' · ~' || share_real || '% das notas', '') AS line FROM b LEFT JOIN shares USING (film, bucket)
-UNION ALL SELECT film, place + 1, CASE WHEN mode = 'reduzido' THEN 'aviso: modo reduzido' ELSE 'aviso: sem analise' END FROM b WHERE mode <> 'completo'
-UNION ALL SELECT film, place + 1 + rank, theme || ': ~' || mentions || ' de ' || n_reviews FROM ranked JOIN b USING (film, bucket) WHERE mode <> 'sem_analise'""")
+_BODY = f"""UNION ALL SELECT film, place + 1 + 2 * rank, theme || ': ~' || mentions || ' de ' || n_reviews FROM ranked JOIN b USING (film, bucket) WHERE mode <> 'sem_analise'
+UNION ALL SELECT film, place + 2 + 2 * rank, 'ex.: ' || {_EXAMPLE} FROM ranked JOIN b USING (film, bucket) WHERE mode <> 'sem_analise' AND rank % 2 = 1"""
+_TOLD = "UNION ALL SELECT film, 999, CASE WHEN film = 'en' THEN 'Uma prosa.' ELSE '(narrativa não gerada)' END FROM b GROUP BY film"
+
+
+@query(f"WITH {_REPORT} {_HEADS} {_BODY}")
 def report_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return records.report_lines(bucket_assembly(spark, sf_dir), themes.first_then_ranked(_themes(spark, sf_dir)), _shares(spark, sf_dir))
+    return _report(spark, sf_dir, "estruturado")
+
+
+@query(f"WITH {_REPORT} {_HEADS} {_TOLD}")
+def report_lines_narrative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _report(spark, sf_dir, "narrativo")
+
+
+@query(f"WITH {_REPORT} {_HEADS} {_BODY} {_TOLD}")
+def report_lines_both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _report(spark, sf_dir, "ambos")
 
 
 # runs, displays and calls
