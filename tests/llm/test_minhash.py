@@ -3,7 +3,9 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 
+from tierloom.llm import components as component_rounds
 from tierloom.llm import minhash
 from tierloom.llm.components import components
 from tierloom.llm.shingles import shingle_sets
@@ -70,13 +72,29 @@ def test_chain(spark, make_docs, prose):
 
 def test_ids_null_and_repeated(spark, make_docs, prose):
     a, b, c = prose(60, 1), prose(60, 2), prose(60, 3)
-    found = minhash.near_components(make_docs([a, a, b, b, c, "", None], [None, 1, 2, 2, 3, None, 4])).collect()
-    assert len(found) == 7
-    assert sorted((r.doc_id, r.component_id, r.kept) for r in found if r.doc_id is not None) == [(1, 1, True), (2, 2, True), (2, 2, True), (3, 3, True), (4, 4, True)]
-    assert all(r.component_id is None and r.kept for r in found if r.doc_id is None)
-    # one id with two texts has one component
+    found = minhash.near_components(make_docs([a, a, b, b, c, "", None, c + " zz"], [None, 1, 2, 2, 3, None, 4, None])).collect()
+    rows = sorted(((r.doc_id, r.component_id, r.kept) for r in found), key=str)
+    assert rows == sorted([(None, 1, False), (1, 1, True), (2, 2, True), (2, 2, True), (3, 3, True), (None, None, True), (4, 4, True), (None, 3, False)], key=str)
+    # rows of one id are compared each by its own text
     found = minhash.near_components(make_docs([a, b, b], [1, 1, 0])).collect()
-    assert len({r.component_id for r in found if r.doc_id == 1}) == 1
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in found) == [(0, 0, True), (1, 0, False), (1, 1, True)]
+    # and only the copied one goes
+    kept = minhash.drop_near_duplicates(make_docs([a, b, b, c, c + " zz"], [1, 1, 0, None, None])).collect()
+    assert sorted((r.doc_id if r.doc_id is not None else -1, r.text[:9]) for r in kept) == sorted([(1, a[:9]), (0, b[:9]), (-1, c[:9])])
+
+
+def test_a_hot_key_is_dealt_in_tiles(spark, make_docs, prose, monkeypatch):
+    """Texts that share a long passage, most of them below the threshold, and a few copies of some."""
+    monkeypatch.setattr(minhash, "PER_TILE", 8)
+    passage = prose(120, 77)
+    texts = [passage + " " + prose(60 + k % 7, 900 + k) for k in range(70)]
+    texts += [changed(texts[k], 0.01, k) for k in range(0, 70, 3)]
+    check(spark, make_docs, texts)
+
+
+def test_many_short_texts_are_hashed_in_bounded_batches():
+    parts = list(shingle_sets(["a b"] * 1000))
+    assert max(map(len, parts)) <= 256 and sum(map(len, parts)) == 1000
 
 
 def test_empty_table_and_filter(spark, make_docs, prose):
@@ -108,3 +126,9 @@ def test_components_of_a_long_path_and_a_star(spark):
     found = {r.node: r.root for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
     assert found == {k: 0 for k in range(1, 41)} | {100 + k: 100 for k in range(1, 50)}
     assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_unfinished_components_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(component_rounds, "MAX_ROUNDS", 1)
+    with pytest.raises(RuntimeError):
+        components(spark.createDataFrame([(k, k + 1) for k in range(40)], "u long, v long"))

@@ -32,7 +32,11 @@ def _fingerprint(edges: DataFrame) -> tuple:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(u, v) with u <> v to (node, root): every node that is not the smallest of its component."""
+    """(u, v) with u <> v to (node, root): every node that is not the smallest of its component.
+
+    Rounds grow with the logarithm of the longest path; a graph that is still changing after ``MAX_ROUNDS``
+    is refused. Repeated edges and loops change nothing; no edges give no rows.
+    """
     spark = edges.sparkSession
     ordered = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u <> v")
     now, path = write_table(ordered.distinct(), "edges")
@@ -43,4 +47,7 @@ def components(edges: DataFrame) -> DataFrame:
         now, path, before, seen = after, after_path, seen, _fingerprint(after)
         if seen == before:
             break
+    else:
+        if seen[0]:
+            raise RuntimeError(f"components still change after {MAX_ROUNDS} rounds")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -8,8 +8,9 @@
    compared with the key's other classes: first the similarity that equal bits suggest, corrected for
    chance collisions, against ``THRESHOLD - SLACK``; then exactly, on the full sets of both texts.
 3. Confirmed links give components. A key whose classes are then still apart has the classes that are
-   apart from their centre joined with all its classes: pairs within a component, or with too few
-   equal bits, never leave that join. The rest is compared exactly in the same way.
+   apart from their centre joined with all its classes, in tiles of about ``PER_TILE`` by ``PER_TILE``:
+   pairs within a component, or with too few equal bits, never leave that join, and a pair only does at
+   the first such key that both have. The rest is compared exactly in the same way.
 4. The second links join the components of the first.
 
 A pair of similarity 0.75 shares no band key with probability (1 - 0.75^4)^32 = 5e-6; the estimate
@@ -29,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tierloom.llm.components import components
-from tierloom.llm.durable import written
+from tierloom.llm.durable import lasting, scratch, written
 from tierloom.llm.shingles import mixed, shingle_sets
 
 HASHES, BITS = 1024, 2
@@ -40,12 +41,16 @@ THRESHOLD = 75
 #: Four and a half standard deviations of the estimate at the threshold.
 SLACK = 0.073
 PER_SLICE = 64
+#: Of one band key's classes, so many of either side meet in one task.
+PER_TILE = 1024
 #: Up to so many ids (8 bytes each) are broadcast to pick texts where they lie; more are joined.
 BROADCAST_IDS = 1_000_000
 
 _WORDS = HASHES * BITS // 64
-SIGNATURE_SCHEMA = "doc_id long, text_key long, n_shingles long, digest binary, bands array<long>, " + ", ".join(f"s{i} long" for i in range(_WORDS))
+SIGNATURE_SCHEMA = "doc_id long, n_shingles long, digest binary, bands array<long>, " + ", ".join(f"s{i} long" for i in range(_WORDS))
 _SIGNATURE = [f"s{i}" for i in range(_WORDS)]
+#: How many words of a signature are looked at first, and then; the last look is at all.
+LOOKS = (_WORDS // 16, _WORDS // 4, _WORDS)
 
 _RNG = np.random.default_rng(31)
 _FACTORS = _RNG.integers(1, 1 << 31, HASHES, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
@@ -85,7 +90,7 @@ def signatures(docs: DataFrame) -> DataFrame:
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, keys_of, at = batch["doc_id"], batch["text_key"], 0
+            ids, at = batch["doc_id"], 0
             for sets in shingle_sets(batch["text"].to_pylist()):
                 n = len(sets)
                 full = np.array([i for i, x in enumerate(sets) if len(x)], dtype=np.int64)
@@ -97,14 +102,14 @@ def signatures(docs: DataFrame) -> DataFrame:
                         bands[i] = keys
                 yield pa.RecordBatch.from_arrays(
                     [
-                        ids.slice(at, n), keys_of.slice(at, n), pa.array([len(x) for x in sets], pa.int64()), pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets], pa.binary()),
+                        ids.slice(at, n), pa.array([len(x) for x in sets], pa.int64()), pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in sets], pa.binary()),
                         pa.array(bands, pa.list_(pa.int64())), *(pa.array(bits[:, k]) for k in range(_WORDS)),
                     ],
-                    ["doc_id", "text_key", "n_shingles", "digest", "bands", *_SIGNATURE],
+                    ["doc_id", "n_shingles", "digest", "bands", *_SIGNATURE],
                 )
                 at += n
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").mapInArrow(sign, SIGNATURE_SCHEMA)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sign, SIGNATURE_SCHEMA)
 
 
 def estimated_similarity(left: str, right: str, words: int = _WORDS) -> Column:
@@ -127,9 +132,10 @@ def may_be_near(left: str, right: str) -> Column:
     A part of the bits, with slack that grows as the part shrinks, spares most pairs the full count.
     """
     sizes = [F.col(f"{left}.n_shingles"), F.col(f"{right}.n_shingles")]
-    few = _WORDS // 16
-    suggested = [estimated_similarity(left, right, n) >= THRESHOLD / 100 - SLACK * (_WORDS / n) ** 0.5 for n in (few, 4 * few, _WORDS)]
-    return (F.least(*sizes) * 100 >= F.greatest(*sizes) * THRESHOLD) & suggested[0] & suggested[1] & suggested[2]
+    passed = F.least(*sizes) * 100 >= F.greatest(*sizes) * THRESHOLD
+    for n in LOOKS:
+        passed = passed & (estimated_similarity(left, right, n) >= THRESHOLD / 100 - SLACK * (_WORDS / n) ** 0.5)
+    return passed
 
 
 def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,33 +185,43 @@ def _with_signatures(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 def near_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, class_id, component_id, kept of every row.
 
-    Null and wordless texts have no shingles and are linked with nothing. A row without an id is
-    linked with nothing, has component_id null and is kept. Rows that share an id are one document:
-    they have one component_id, and where their texts differ, the text whose set has the smallest
-    digest speaks for the document.
+    Null and wordless texts have no shingles and are linked with nothing. Every row's own text is compared,
+    whatever its id: rows without an id can be linked, and rows that share one but not a text are linked
+    each for itself. class_id and component_id are the smallest doc_id among rows with the same set and among
+    linked rows; null where none of them has an id, and then the first row of the component is kept.
+    Very long texts are hashed alone; other columns are not looked at. An empty table gives no rows.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("doc_id IS NOT NULL")
-    signed = written(signatures(docs), "signatures")
-    if not signed.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        return _linked(signed, texts)
-    speaks = signed.filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min(F.struct("digest", "text_key")).alias("s"))
-    speaks = written(speaks.select(F.col("doc_id").alias("own_id"), F.col("s.text_key").alias("own_key")), "speaks")
-    one = signed.join(speaks, (F.col("doc_id") == F.col("own_id")) & (F.col("text_key") == F.col("own_key")), "left_semi").dropDuplicates(["doc_id"])
-    texts = texts.join(speaks, (F.col("doc_id") == F.col("own_id")) & (F.xxhash64("text") == F.col("own_key")), "left_semi")
-    found = _linked(written(one, "one-text"), texts).select(F.col("doc_id").alias("own_id"), "class_id", "component_id", "kept")
-    rows = signed.select("doc_id", "n_shingles").join(found, F.col("doc_id") == F.col("own_id"), "left")
-    return rows.select("doc_id", "n_shingles", "class_id", "component_id", F.coalesce("kept", F.lit(True)).alias("kept"))
+    with scratch(docs.sparkSession):
+        return lasting(_placed(docs)[0], "near")
+
+
+def _placed(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """Result rows, and where ids are null or repeated, (doc_id, text_key) of the texts that stay."""
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    odd = ids.groupBy("doc_id").count().filter("doc_id IS NULL OR count > 1").limit(1).count()
+    if not odd:
+        return _linked(written(signatures(ids), "signatures"), ids), None
+    # rows get numbers of their own
+    keyed = written(ids.withColumnRenamed("doc_id", "own_id").withColumn("doc_id", F.monotonically_increasing_id()), "numbered")
+    found = written(_linked(written(signatures(keyed), "signatures"), keyed), "linked")
+    rows = found.join(keyed.select("doc_id", "own_id", F.xxhash64("text").alias("text_key")), "doc_id")
+    tops = rows.groupBy("component_id").agg(F.min(F.struct(F.col("own_id").isNull().alias("missing"), "own_id", "doc_id", "text_key")).alias("top"))
+    firsts = rows.groupBy("class_id").agg(F.min("own_id").alias("first"))
+    both = rows.join(tops, "component_id").join(firsts, "class_id")
+    kept = F.when(F.col("top.missing"), F.col("doc_id") == F.col("top.doc_id")).otherwise(F.col("own_id").eqNullSafe(F.col("top.own_id")))
+    result = both.select(F.col("own_id").alias("doc_id"), "n_shingles", F.col("first").alias("class_id"), F.col("top.own_id").alias("component_id"), kept.alias("kept"))
+    return result, tops.select(F.col("top.own_id").alias("doc_id"), F.col("top.text_key").alias("text_key"))
 
 
 def _linked(signed: DataFrame, texts: DataFrame) -> DataFrame:
     """Classes, links and components of signatures with distinct ids."""
-    usable = signed.filter("n_shingles > 0 AND doc_id IS NOT NULL")
+    usable = signed.filter("n_shingles > 0")
     reps = usable.groupBy("digest").agg(F.min("doc_id").alias("rep"))
     first = F.col("doc_id") == F.col("rep")
     classed = written(usable.join(reps, "digest").select("doc_id", "n_shingles", "rep", *(F.when(first, F.col(c)).alias(c) for c in ("bands", *_SIGNATURE))), "classes")
     classes = classed.filter(first)
 
-    keyed = classed.filter(first).select("rep", F.posexplode("bands").alias("band", "key"))
+    keyed = classed.filter(first).select("rep", F.explode("bands").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     shared = written(keyed.join(sizes, "key"), "shared-keys")
     # the text that an edited group came from shares more keys with its copies than they do among themselves
@@ -216,29 +232,60 @@ def _linked(signed: DataFrame, texts: DataFrame) -> DataFrame:
     links = confirmed(_with_signatures(stars, classes), texts)
     roots = components(links)
 
-    own = members.join(roots, F.col("rep") == F.col("node"), "left").select("key", "band", "rep", "centre", F.coalesce("root", "rep").alias("root"))
+    own = members.join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", "centre", F.coalesce("root", "rep").alias("root"))
     centre_roots = roots.select(F.col("node").alias("centre"), F.col("root").alias("centre_root"))
     own = own.join(centre_roots, "centre", "left").withColumn("apart", F.col("root") != F.coalesce("centre_root", "centre")).drop("centre_root")
-    open_keys = own.filter("apart").select("key").distinct()
-    rest = written(own.join(open_keys, "key", "left_semi").join(classes.select("rep", "n_shingles", "bands", *_SIGNATURE), "rep"), "rest")
-    x, y = rest.filter("apart").alias("x"), rest.filter("rep <> centre").alias("y")
-    # a pair is only taken at the first key that both have
-    earlier = F.arrays_overlap(F.slice("x.bands", F.lit(1), F.col("x.band")), F.slice("y.bands", F.lit(1), F.col("y.band")))
-    meet = (F.col("x.key") == F.col("y.key")) & (F.col("x.root") != F.col("y.root")) & (~F.col("y.apart") | (F.col("x.rep") < F.col("y.rep"))) & may_be_near("x", "y") & ~earlier
-    pairs = x.join(y, meet).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
-    more = confirmed(pairs, texts)
+    more = confirmed(_pairs_within(own, classes), texts)
     root_of = roots.select(F.col("node"), F.col("root"))
     at_roots = more.join(root_of.toDF("u", "ru"), "u", "left").join(root_of.toDF("v", "rv"), "v", "left").select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v"))
     tops = components(at_roots).toDF("mid", "top")
 
     placed = classed.select("doc_id", "n_shingles", "rep").join(roots.toDF("rep", "root"), "rep", "left").withColumn("mid", F.coalesce("root", "rep"))
     placed = placed.join(tops, "mid", "left").select("doc_id", "n_shingles", F.col("rep").alias("class_id"), F.coalesce("top", "mid").alias("component_id"))
-    alone = signed.filter("NOT (n_shingles > 0 AND doc_id IS NOT NULL)").select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
-    return placed.union(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    alone = signed.filter("n_shingles = 0").select("doc_id", "n_shingles", F.col("doc_id").alias("class_id"), F.col("doc_id").alias("component_id"))
+    return placed.union(alone).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+
+
+def _where_few(keys: DataFrame) -> DataFrame:
+    """A table of keys, broadcast if it has few: then the rows of a hot key stay where they lie."""
+    held = written(keys, "keys")
+    return F.broadcast(held) if held.count() <= BROADCAST_IDS else held
+
+
+def _pairs_within(own: DataFrame, classes: DataFrame) -> DataFrame:
+    """Pairs (a, b) of one key, of which one at least is apart from the key's centre, that may be near by their bits.
+
+    ``own``: key, rep, centre, root, apart. A key's classes meet in tiles, so that a hot key is spread over tasks.
+    """
+    open_keys = _where_few(own.filter("apart").select("key").distinct())
+    met = own.filter("rep <> centre").join(open_keys, "key", "left_semi").drop("centre")
+    every_key = met.groupBy("rep").agg(F.array_sort(F.collect_list("key")).alias("keys"))  # BANDS at most
+    rest = written(met.join(every_key, "rep").join(classes.select("rep", "n_shingles", *_SIGNATURE), "rep"), "rest")
+    wide = rest.groupBy("key").agg(F.ceil(F.count_if("apart") / PER_TILE).alias("xs"), F.ceil(F.count(F.lit(1)) / PER_TILE).alias("ys")).filter("ys > 1")
+    tiled = rest.join(_where_few(wide), "key", "left").withColumn("xs", F.coalesce("xs", F.lit(1))).withColumn("ys", F.coalesce("ys", F.lit(1)))
+    place = lambda n: F.pmod(F.xxhash64("rep"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    x = tiled.filter("apart").withColumn("tx", place("xs")).withColumn("ty", every("ys")).alias("x")
+    y = tiled.withColumn("ty", place("ys")).withColumn("tx", every("xs")).alias("y")
+    same_tile = (F.col("x.key") == F.col("y.key")) & (F.col("x.tx") == F.col("y.tx")) & (F.col("x.ty") == F.col("y.ty"))
+    apart = (F.col("x.root") != F.col("y.root")) & (~F.col("y.apart") | (F.col("x.rep") < F.col("y.rep")))
+    first = F.array_min(F.array_intersect("x.keys", "y.keys")) == F.col("x.key")
+    return x.join(y, same_tile & apart & may_be_near("x", "y") & first).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept, with all their columns."""
-    kept = near_components(docs).filter("kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("__kept_id")).distinct()
-    stays = docs.join(kept, docs["doc_id"].cast("long") == F.col("__kept_id"), "left_semi")
-    return stays.unionByName(docs.filter(F.col("doc_id").isNull()))
+    """The rows of ``docs`` that are kept, one text of each component, with all their columns.
+
+    Nulls, repeated ids, empty and long texts as in :func:`near_components`: a row of an id that has
+    several texts stays or goes by its own text. Rows with the same id and the same text stay or go together.
+    """
+    own = "__tierloom_text_key"
+    with scratch(docs.sparkSession):
+        result, stays = _placed(docs)
+        if stays is None:
+            kept = lasting(result.filter("kept").select(F.col("doc_id").alias("__tierloom_kept")), "kept")
+            return docs.join(kept, docs["doc_id"].cast("long") == F.col("__tierloom_kept"), "left_semi")
+        kept = lasting(stays.toDF("__tierloom_kept", "__tierloom_key"), "kept")
+    tagged = docs.withColumn(own, F.xxhash64("text"))
+    same = tagged["doc_id"].cast("long").eqNullSafe(F.col("__tierloom_kept")) & (tagged[own] == F.col("__tierloom_key"))
+    return tagged.join(kept, same, "left_semi").drop(own)

@@ -12,8 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 
 WORDS = 5
-#: Texts are hashed together up to about so many bytes; a longer text goes alone.
-TOGETHER_BYTES = 1 << 19
+#: Texts are hashed together up to about so many bytes and just so many texts; a longer text goes alone.
+TOGETHER_BYTES, TOGETHER_TEXTS = 1 << 19, 256
 
 _BASE = 0x5851F42D4C957F2D
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -84,7 +84,7 @@ def shingle_sets(texts: list[str | None]) -> Iterator[list[np.ndarray]]:
     together, size = [], 0
     for text in texts:
         data = (text or "").encode("utf-8", "surrogatepass")
-        if together and size + len(data) > TOGETHER_BYTES:
+        if together and (size + len(data) > TOGETHER_BYTES or len(together) == TOGETHER_TEXTS):
             yield _hash_together(together)
             together, size = [], 0
         together.append(data)
