@@ -1,18 +1,17 @@
-"""License scans: phrase places, and an exact set-similarity join with license notices.
-
-Blocks are the lines of every document, as sets of words; templates are notices, as sets of words.
-A block meets a template when it holds at least ``CONTAINMENT`` of the template's words. Template
-words are ordered by how often the corpus has them, rarest first. In that order a template's prefix
-is its first ``size - needed + 1`` words; a block without any of them cannot reach ``needed``, so
-blocks meet templates through prefix words only. Blocks with fewer than ``needed`` template words
-are dropped by length, and a meeting at positions i and j can only give
-``min(i, j) + 1 + min(words after i, words after j)`` common words, which drops more. What is left
-is counted on the full sets.
-
-The query's blocks are runs (``matching_runs``): consecutive words across line breaks, one run for every
-place where it can start, as long as the template and a few words more. A run has to hold the template's
-telling phrases as well, so notices of neighbouring licences do not pass; runs are looked for only around the rarest
-words of those phrases.
+"""License scans: phrase places, and an exact set-similarity join of runs of words with license notices.
+
+A text is read once: its words are counted, the places of the phrases found, and the places kept of words that
+templates or their telling phrases have. All else works on those places. A block is a run of consecutive words across
+line breaks, one for every start, as long as the template and a few words more; it meets a template when it holds at
+least ``CONTAINMENT`` of the template's distinct words and one telling phrase of each of its groups, so that notices of
+neighbouring licences do not pass.
+
+Template words are ordered by how often the whole corpus has them, rarest first. In that order a template's prefix
+is its first ``size - needed + 1`` words; a run without any of them cannot reach ``needed``, so runs meet templates
+through prefix words only (or through the rarest words of a group's phrases, which a run needs as well, where the corpus has
+fewer of those). Runs with fewer than ``needed`` such words are dropped by length, and a meeting at positions i and j
+can only give ``min(i, j) + 1 + min(words after i, words after j)`` common words, which drops more. What is
+left is counted on the full sets.
 
 Everything here is DataFrame functions; the templates are constants of this module, so what is
 broadcast has a fixed size.
@@ -26,6 +25,8 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tierloom.llm.durable import lasting, scratch, written
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 CONTAINMENT = 0.8
@@ -91,45 +92,22 @@ def _phrase_columns(text: Column, n_words: Column) -> tuple[Column, Column, Colu
     return count, F.least(*firsts), F.greatest(*lasts), F.array_compact(F.array(*labels))
 
 
-def base_scan(docs: DataFrame) -> DataFrame:
-    """doc_id, row_key, n_words, n_base, first_word, last_word, found (labels) of every row."""
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"), spaced(F.col("text")).alias("w"))
-    sized = text.withColumn("n_words", words_in(F.col("w")))
-    n, first, last, labels = _phrase_columns(F.col("w"), F.col("n_words"))
-    return sized.select("doc_id", "row_key", "n_words", n.alias("n_base"), first.alias("first_word"), last.alias("last_word"), labels.alias("found"))
-
-
-def template_word_counts(docs: DataFrame, templates) -> dict[str, int]:
-    """How often the corpus has each template word; no more rows than the templates have words."""
-    universe = sorted({w for _, notice in templates for w in word_set(notice)})
-    words = docs.select(F.explode(F.split(F.trim(F.regexp_replace(lowered(F.col("text")), NOT_WORD, " ")), " ")).alias("word"))
-    counted = words.filter(F.col("word").isin(universe)).groupBy("word").count().collect()
-    return dict.fromkeys(universe, 0) | {r["word"]: r["count"] for r in counted}
+def template_words(templates=None, telling=None) -> list[str]:
+    """The words that are looked for: a fixed, small set."""
+    templates, telling = TEMPLATES if templates is None else templates, TELLING if telling is None else telling
+    phrases = [p for groups in telling.values() for group in groups for p in group]
+    return sorted({w for x in (*(notice for _, notice in templates), *phrases) for w in word_set(x)})
 
 
-def matching_blocks(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT) -> DataFrame:
-    """Every block that meets a template: doc_id, row_key, block (line number), label, common, size, containment."""
-    spark = docs.sparkSession
-    counts = template_word_counts(docs, templates)
-    order = sorted(counts, key=lambda w: (counts[w], w))
-    rank = {w: i for i, w in enumerate(order)}
-    prefix, full, least = [], [], math.inf
-    for label, notice in templates:
-        words = sorted(word_set(notice), key=rank.__getitem__)
-        need = needed(len(words), containment)
-        least = min(least, need)
-        full.append((label, words, len(words), need))
-        prefix += [(w, label, i) for i, w in enumerate(words[: len(words) - need + 1])]
-    index = spark.createDataFrame(prefix, "word string, label string, i int").join(F.broadcast(spark.createDataFrame(full, "label string, words array<string>, size int, need int")), "label")
-
-    lines = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"), F.posexplode(F.split(lowered(F.col("text")), "\n")).alias("block", "line"))
-    present = F.array_intersect(F.array(*map(F.lit, order)), F.split(F.regexp_replace("line", NOT_WORD, " "), " "))
-    blocks = lines.select("doc_id", "row_key", "block", present.alias("has")).withColumn("n", F.size("has")).filter(F.col("n") >= least)
-    met = blocks.select("*", F.posexplode("has").alias("j", "word")).join(F.broadcast(index), "word")
-    upper = F.least("i", "j") + 1 + F.least(F.col("size") - F.col("i") - 1, F.col("n") - F.col("j") - 1)
-    common = F.size(F.array_intersect("has", "words"))
-    found = met.filter((F.col("n") >= F.col("need")) & (upper >= F.col("need"))).withColumn("common", common).filter(F.col("common") >= F.col("need"))
-    return found.select("doc_id", "row_key", "block", "label", "common", "size", (F.col("common") / F.col("size")).alias("containment"))
+def base_scan(docs: DataFrame, universe: list[str]) -> DataFrame:
+    """row, doc_id, n_words, n_base, first_word, last_word, found (labels) and hits (places of the universe's words) of every row."""
+    text = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), spaced(F.col("text")).alias("w"))
+    sized = text.withColumn("n_words", words_in(F.col("w"))).withColumn("all", F.split(F.trim("w"), "  "))
+    n, first, last, labels = _phrase_columns(F.col("w"), F.col("n_words"))
+    # the text of no words is split into one empty one, which is no template word
+    held = F.filter(F.sequence(F.lit(0), F.size("all") - 1), lambda i: F.get("all", i).isin(universe))
+    hits = F.transform(held, lambda i: F.struct(i.alias("at"), F.get("all", i).alias("word")))
+    return sized.select("row", "doc_id", "n_words", n.alias("n_base"), first.alias("first_word"), last.alias("last_word"), labels.alias("found"), hits.alias("hits"))
 
 
 def run_length(notice: str) -> int:
@@ -138,74 +116,91 @@ def run_length(notice: str) -> int:
     return n + max(3, n // 4)
 
 
-def matching_runs(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT, telling=TELLING) -> DataFrame:
-    """Every run of words that meets a template: doc_id, row_key, block (its first word), label, common, size, containment."""
-    spark = docs.sparkSession
-    phrases = [("", p) for groups in telling.values() for group in groups for p in group]
-    counts = template_word_counts(docs, [*templates, *phrases])
-    order = lambda w: (counts[w], w)
-    index = []
+def _index(counts: dict[str, int], templates, containment: float, telling) -> list[tuple]:
+    """A row for each word and template by which they meet: word, i (its place in the template's order), label, and the template."""
+    rows = []
     for label, notice in templates:
+        order = lambda w: (counts[w], w)
         words, groups = sorted(word_set(notice), key=order), telling.get(label, ())
         need = needed(len(words), containment)
-        # a run that passes holds one word at least of every such list: prefix words, or the rarest word of each phrase of a group
-        lists = [words[: len(words) - need + 1], *({min(p.split(), key=order) for p in group} for group in groups)]
+        prefix = {w: i for i, w in enumerate(words[: len(words) - need + 1])}
+        # a run that passes holds one word at least of every such list
+        lists = [list(prefix), *(list({min(p.split(), key=order) for p in group}) for group in groups)]
         anchors = min(lists, key=lambda ws: sum(counts[w] for w in ws))
-        told = [[f" {p} " for p in group] for group in groups]
-        index += [(w, label, words, len(words), need, run_length(notice), told) for w in anchors]
-    table = spark.createDataFrame(index, "word string, label string, words array<string>, size int, need int, length int, told array<array<string>>")
+        told = [[p.split() for p in group] for group in groups]
+        rows += [(w, words.index(w) if w in words else None, label, words, len(words), need, run_length(notice), told) for w in anchors]
+    return rows
 
-    text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("row_key"), F.split(F.trim(F.regexp_replace(lowered(F.col("text")), NOT_WORD, " ")), " ").alias("all"))
-    places = text.select("*", F.posexplode("all").alias("at", "word")).filter(F.col("word").isin(sorted({x[0] for x in index})))
-    first = F.greatest(F.col("at") - F.col("length") + 1, F.lit(0))
-    around = places.join(F.broadcast(table), "word").select("doc_id", "row_key", "label", "words", "size", "need", "length", "told", "at", first.alias("first"), F.slice("all", first + 1, 2 * F.col("length")).alias("near"))
-    starts = around.select("*", F.explode(F.sequence("first", "at")).alias("block"))
-    runs = starts.withColumn("run", F.slice("near", F.col("block") - F.col("first") + 1, F.col("length")))
-    spoken = F.concat(F.lit(" "), F.array_join("run", " "), F.lit(" "))
-    tells = F.forall("told", lambda group: F.exists(group, lambda p: F.contains(spoken, p)))
-    found = runs.withColumn("common", F.size(F.array_intersect("run", "words"))).filter((F.col("common") >= F.col("need")) & tells)
-    return found.select("doc_id", "row_key", "block", "label", "common", "size", (F.col("common") / F.col("size")).alias("containment")).distinct()
 
+def matching_runs(scanned: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT, telling=None) -> DataFrame:
+    """Every run that meets a template: row, block (its first word), label, common, size, containment; ``scanned``: row and hits."""
+    spark, telling = scanned.sparkSession, TELLING if telling is None else telling
+    universe = template_words(templates, telling)
+    found = scanned.select(F.explode("hits.word").alias("word")).groupBy("word").count().collect()  # no more rows than the universe has words
+    counts = dict.fromkeys(universe, 0) | {r["word"]: r["count"] for r in found}
+    schema = "word string, i int, label string, words array<string>, size int, need int, length int, told array<array<array<string>>>"
+    index = spark.createDataFrame(_index(counts, templates, containment, telling), schema)
 
-def scan_licenses(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT, blocks=matching_blocks) -> DataFrame:
+    places = scanned.select("row", "hits", F.explode("hits").alias("h")).select("row", "hits", F.col("h.at").alias("at"), F.col("h.word").alias("word"))
+    first = F.greatest(F.col("at") - F.col("length") + 1, F.lit(0))
+    around = places.join(F.broadcast(index), "word").withColumn("first", first).withColumn("near", F.filter("hits", lambda h: (h["at"] >= F.col("first")) & (h["at"] < F.col("at") + F.col("length")))).drop("hits")
+    starts = around.select("*", F.explode(F.sequence("first", "at")).alias("block"))
+    runs = starts.withColumn("run", F.filter("near", lambda h: (h["at"] >= F.col("block")) & (h["at"] < F.col("block") + F.col("length"))))
+    # the template's words that the run has, in the template's order
+    has = F.array_intersect("words", F.transform("run", lambda h: h["word"]))
+    j = F.array_position("has", F.col("word")) - 1
+    upper = F.when(F.col("i").isNull(), F.size("has")).otherwise(F.least("i", j) + 1 + F.least(F.col("size") - F.col("i") - 1, F.size("has") - j - 1))
+    keyed = lambda at, word: F.concat(at.cast("string"), F.lit(":"), word)
+    spoken = F.transform("run", lambda h: keyed(h["at"], h["word"]))
+    says = lambda phrase: F.exists("run", lambda h: F.forall(F.transform(phrase, lambda w, k: keyed(h["at"] + k, w)), lambda x: F.array_contains(F.col("spoken"), x)))
+    met = runs.filter(F.size("run") >= F.col("need")).withColumn("has", has).filter((F.size("has") >= F.col("need")) & (upper >= F.col("need"))).withColumn("spoken", spoken)
+    told = met.filter(F.forall("told", lambda group: F.exists(group, says)))
+    return told.select("row", "block", "label", F.size("has").alias("common"), "size", (F.size("has") / F.col("size")).alias("containment")).distinct()
+
+
+def scan_licenses(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT, telling=None) -> DataFrame:
     """doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score of every row.
 
-    ``blocks`` says what a block is: lines (``matching_blocks``) or runs of words (``matching_runs``).
-
-    score is the best containment of any template in any block, 0 without a match. Null texts count
-    as empty: no words, no places, empty labels, score 0. Repeated rows are each reported; rows
-    without an id are scanned too.
+    score is the best containment of any template in any run, 0 without a match. Null texts count as empty: no
+    words, no places, empty labels, score 0. Repeated rows are each reported; rows without an id are scanned too; whole
+    texts are read, however long; other columns are not looked at. An empty table gives no rows.
     """
-    base = base_scan(docs)
-    matched = blocks(docs, templates, containment).groupBy("doc_id", "row_key").agg(F.collect_set("label").alias("met"), F.max("containment").alias("score"))
-    matched = matched.withColumnsRenamed({"doc_id": "other_id", "row_key": "other_key"})
-    both = base.join(matched, F.col("doc_id").eqNullSafe(F.col("other_id")) & (F.col("row_key") == F.col("other_key")), "left")
     joined = lambda labels: F.array_join(F.array_sort(F.array_distinct(labels)), ",")
-    return both.select(
-        "doc_id", "n_words", "n_base", "first_word", "last_word", joined(F.col("found")).alias("base_labels"),
-        joined(F.concat("found", F.coalesce("met", F.array().cast("array<string>")))).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"),
-    )
+    with scratch(docs.sparkSession):
+        scanned = written(base_scan(docs, template_words(templates, telling)), "license-words")
+        matched = matching_runs(scanned, templates, containment, telling).groupBy("row").agg(F.collect_set("label").alias("met"), F.max("containment").alias("score"))
+        both = scanned.drop("hits").join(matched, "row", "left")
+        return lasting(
+            both.select(
+                "doc_id", "n_words", "n_base", "first_word", "last_word", joined(F.col("found")).alias("base_labels"),
+                joined(F.concat("found", F.coalesce("met", F.array().cast("array<string>")))).alias("labels"), F.coalesce("score", F.lit(0.0)).alias("score"),
+            ),
+            "licenses",
+        )
 
 
 def _oracle() -> str:
     split = lambda text: f"list_filter(string_split_regex({text}, '{NOT_WORD}'), lambda x: x <> '')"
     place = lambda phrase: "list_filter(range(len(w)), lambda i: " + " AND ".join(f"w[i + {k + 1}] = '{x}'" for k, x in enumerate(phrase.split())) + ")"
-    notices = ", ".join(f"('{label}', [{', '.join(repr(w) for w in word_set(text))}], {needed(len(word_set(text)))})" for label, text in TEMPLATES)
     labels = ", ".join(f"CASE WHEN len({place(p)}) > 0 THEN '{label}' END" for p, label in PHRASES)
+    tells = lambda label, said: " AND ".join("(" + " OR ".join(f"contains({said}, ' {p} ')" for p in group) + ")" for group in TELLING.get(label, ())) or "true"
+    met = []
+    for label, notice in TEMPLATES:
+        words = "[" + ", ".join(f"'{w}'" for w in word_set(notice)) + "]"
+        run = f"w[b + 1:b + {run_length(notice)}]"
+        met.append(f"""SELECT doc_id, '{label}' AS label, len(list_filter({words}, lambda x: list_contains(run, x))) / {len(word_set(notice))} AS share
+  FROM (SELECT doc_id, {run} AS run FROM (SELECT doc_id, w, unnest(range(len(w))) AS b FROM worded WHERE {tells(label, "said")}))
+  WHERE {tells(label, "' ' || array_to_string(run, ' ') || ' '")} AND len(list_filter({words}, lambda x: list_contains(run, x))) >= {needed(len(word_set(notice)))}""")
     return f"""
 WITH low AS (SELECT doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
-worded AS (SELECT doc_id, {split("t")} AS w FROM low),
+split AS (SELECT doc_id, {split("t")} AS w FROM low),
+worded AS (SELECT doc_id, w, ' ' || array_to_string(w, ' ') || ' ' AS said FROM split),
 placed AS (
   SELECT doc_id, len(w) AS n_words, list_concat({", ".join(place(p) for p, _ in PHRASES)}) AS places,
     list_filter([{labels}], lambda x: x IS NOT NULL) AS found
   FROM worded),
-notices(label, words, need) AS (VALUES {notices}),
-blocks AS (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM low),
-block_words AS (SELECT doc_id, {split("line")} AS w FROM blocks),
-met AS (
-  SELECT doc_id, list(DISTINCT label) AS met, max(common / len(words)) AS score
-  FROM (SELECT doc_id, label, words, need, len(list_filter(words, lambda x: list_contains(w, x))) AS common FROM block_words, notices)
-  WHERE common >= need GROUP BY doc_id)
+runs AS ({" UNION ALL ".join(met)}),
+met AS (SELECT doc_id, list(DISTINCT label) AS met, max(share) AS score FROM runs GROUP BY doc_id)
 SELECT doc_id, n_words, len(places) AS n_base, list_min(places) AS first_word, list_max(places) AS last_word,
   array_to_string(list_sort(list_distinct(found)), ',') AS base_labels,
   array_to_string(list_sort(list_distinct(list_concat(found, coalesce(met, []::VARCHAR[])))), ',') AS labels,
