@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tierloom.llm import exact_dedup, url_filter
+from tierloom.llm.durable import joined_where_hot, lasting, scratch, written
 
 
 def test_minimal_perfect_hash_gives_every_digest_its_own_slot():
@@ -59,10 +60,13 @@ def test_cascade_is_exact_for_its_universe(listed):
 
 URLS = [
     None, "", "no scheme", "http://", "://x", "HTTP://A.Example.ORG/es/1", "http://example.org/en/12?q#f", "http://notexample.org/en/1", "https://org/", "http://org",
-    "http://b.com/fr/", "http://com/de/x", "http://spam-farm.net/", "http://a.spam-farm.com/fr/1", "http://x.net?://y.org/es/", "http://x.org#/es/", "ftp://u@h.org:80/a//b?c", "a\nhttp://q.com/de/",
+    "http://b.com/fr/", "http://com/de/x", "http://spam-farm.net/" + "long/" * 60000, "http://" + "sub." * 30000 + "example.org/es/", "http://spam-farm.net/", "http://a.spam-farm.com/fr/1", "http://x.net?://y.org/es/", "http://x.org#/es/", "ftp://u@h.org:80/a//b?c", "a\nhttp://q.com/de/",
 ]
 
 
+LISTED = {"spam-farm.net", "a.spam-farm.com", "nowhere.net", *(f"h{k}.fine.net" for k in range(0, 200, 3))}
+
+
 def plain_verdict(url):
     host = path = ""
     if url and "://" in url:
@@ -72,22 +76,46 @@ def plain_verdict(url):
         path = tail[: min([i for i in map(tail.find, "?#") if i >= 0], default=len(tail))]
     fits = [(h + p, v) for h, p, v in url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
     rule, verdict = max(fits, key=lambda x: len(x[0]), default=(None, None))
-    listed = bool(set(host.split(".")) & set(url_filter.LISTED_LABELS))
+    listed = host in LISTED
     return host, path, rule, verdict or ("block" if listed else "allow")
 
 
 @pytest.mark.parametrize("budget", [1 << 20, -1])
 def test_urls_against_plain_python(spark, budget):
-    urls = URLS * 3 + [f"http://h{k}.{'spam-farm' if k % 3 == 0 else 'fine'}.net/p" for k in range(200)]
+    urls = URLS * 3 + [f"http://h{k}.fine.net/p" for k in range(200)]
     pages = spark.createDataFrame([(i, u, "<p>", "h", 1) for i, u in enumerate(urls)], "page_id long, url string, html string, host string, h1 int")
-    found = url_filter.judge_urls(pages, per_shard=50, broadcast_bytes=budget).collect()
+    listed = spark.createDataFrame([(h, "x") for h in [*LISTED, "nowhere.net", None]], "host string, url string")
+    found = url_filter.judge_urls(pages, listed, per_shard=50, broadcast_bytes=budget).collect()
     assert len(found) == len(urls)
     for r in found:
         assert (r.host, r.path, r.rule, r.verdict) == plain_verdict(urls[r.page_id])
-    assert url_filter.judge_urls(pages.limit(0)).count() == 0
+    assert url_filter.judge_urls(pages.limit(0), listed, broadcast_bytes=budget).count() == 0
+    assert {r.verdict for r in url_filter.judge_urls(pages, listed.limit(0), broadcast_bytes=budget).collect() if r.rule is None} == {"allow"}
 
 
 def test_membership_of_other_keys(spark):
     rows = spark.createDataFrame([(str(k % 70),) for k in range(300)] + [(None,)], "k string")
-    found = url_filter.with_membership(rows, "k", F.col("k").isin("0", "7", "14"), "hit", per_shard=20).collect()
+    found = url_filter.with_membership(rows, "k", spark.createDataFrame([("0",), ("7",), ("14",), ("none",)], "k string"), "hit", per_shard=20).collect()
     assert len(found) == 301 and all(r.hit == (r.k in ("0", "7", "14")) for r in found)
+
+
+def test_hot_groups_are_joined_where_they_lie(spark):
+    rows = spark.createDataFrame([("hot",)] * 3000 + [(str(k % 900),) for k in range(2000)] + [(None,)], "g string")
+    groups = rows.filter("g IS NOT NULL").groupBy("g").agg(F.count(F.lit(1)).alias("n"), F.max(F.length("g")).alias("x"))
+    both = joined_where_hot(rows, groups, "g", "n", 5001)
+    assert both.count() == 5000 and both.filter("x <> length(g)").count() == 0
+    assert both.groupBy("g").count().filter("g = 'hot'").first()["count"] == 3000
+
+
+def test_tables_go_with_their_scope(spark):
+    with scratch(spark):
+        inner = written(spark.range(5).toDF("x"), "inner")
+        with scratch(spark):
+            kept, lost = lasting(inner, "kept"), written(inner, "lost")
+        assert kept.count() == 5 and inner.count() == 5
+        with pytest.raises(Exception, match="(?i)not.exist|file"):
+            lost.count()
+        outer = lasting(kept, "outer")
+    assert outer.count() == 5
+    with pytest.raises(Exception, match="(?i)not.exist|file"):
+        kept.count()

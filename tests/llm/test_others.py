@@ -1,5 +1,7 @@
+import math
 import re
 import zlib
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -47,6 +49,24 @@ def test_shards(make_docs, odd_texts, prose, per_block):
     assert even[-2] - even[0] <= 0.1 * even[-2] + 400
 
 
+def test_moved_bytes_are_the_flow_s(make_docs, prose):
+    """Bytes that stay where they are fall short of the least-cost flow's by no more than a document for each cut."""
+    texts = [prose(int(n), k) for k, n in enumerate(np.random.default_rng(3).integers(1, 60, 1500))] + ["copy"] * 300 + [None] * 50
+    docs = make_docs(texts, [*range(1700), *[None] * 150])
+    old = F.when(F.coalesce(F.col("doc_id"), F.lit(0)) % 3 == 0, 0).otherwise(F.coalesce(F.col("doc_id"), F.lit(0)) % 5)
+    found = resharding.reshard(docs, old, shards=8, old_shards=5, per_block=64).collect()
+    supply = np.zeros(5, np.int64)
+    for r in found:
+        supply[r.old_shard] += r.size
+    total = int(supply.sum())
+    capacity = [total * (j + 1) // 8 - total * j // 8 for j in range(8)]
+    flow = resharding.min_cost_flow(supply.tolist(), capacity, 1 - np.eye(5, 8, dtype=np.int64))
+    stayed = sum(r.size for r in found if not r.moved)
+    small = sorted(r.size for r in found)[len(found) // 2]
+    assert abs(stayed - int(np.trace(flow))) <= 8 * small
+    assert {r.moved for r in found if r.shard == r.old_shard} <= {False} and all(r.moved == (r.shard != r.old_shard) for r in found)
+
+
 def test_capacities_nulls_and_empty(make_docs, prose):
     docs = make_docs([prose(20, k) for k in range(300)] + [None], [*range(300), None])
     total = resharding.reshard(docs).agg(F.sum("size")).first()[0]
@@ -135,6 +155,28 @@ def test_nearest_against_brute_force(spark):
     assert len(found) == total and hits >= 0.9 * total
 
 
+def test_components_out_of_range_and_many_lengths(spark):
+    """Squares that overflow or vanish, subnormal numbers, and vectors of many lengths, some without a query."""
+    rows = [(0, [1e200, 0.0], 0), (1, [2e-320, 2e-320], 0), (2, [1e-200, 3e-200], 0), (3, [-1e308, 1e308], 0), (50, [5e-324, 0.0], 0)]
+    rows += [(1000 + 100 * n + j, [float(j + i * i % 7 + 1) for i in range(n)], 0) for n in range(3, 9) for j in range(0, 60, 10)]
+    rows += [(5001, [1.0] * 20, 0), (5002, [2.0] * 20, 0)]
+    found = collision_ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>, length int"), F.col("vec_id") % 50 == 0).collect()
+    by = {i: [Fraction(x) for x in v] for i, v, _ in rows}
+
+    def cosine(a, b):
+        dot, one, two = (sum(x * y for x, y in zip(u, v, strict=True)) for u, v in ((a, b), (a, a), (b, b)))
+        return (1 if dot > 0 else -1) * math.sqrt(dot * dot / (one * two)) if dot else 0.0
+
+    queries = [i for i in by if i % 50 == 0]
+    assert {r.query_id for r in found} == set(queries)
+    for q in queries:
+        own = sorted((r for r in found if r.query_id == q), key=lambda r: r.rank)
+        others = {i for i, v in by.items() if len(v) == len(by[q]) and i != q}
+        assert {r.vec_id for r in own} <= others and len(own) == min(5, len(others))
+        assert all(r.score == pytest.approx(cosine(by[q], by[r.vec_id]), abs=1e-12) for r in own)
+        assert [r.score for r in own] == sorted((r.score for r in own), reverse=True)
+
+
 def test_few_vectors_repeats_and_none(spark):
     rows = [(0, [1.0, 0.0], 0, "", 1, 0.0), (0, [1.0, 0.0], 0, "", 1, 0.0), (1, [0.0, 2.0], 0, "", 1, 0.0), (2, [1.0, 1.0], 0, "", 1, 0.0), (100, [1.0, 0.0, 0.0], 0, "", 1, 0.0)]
     found = collision_ann.nearest(vectors(spark, rows), F.col("vec_id") % 50 == 0).collect()
@@ -163,9 +205,10 @@ def plain_scan(text):
     labels, score = set(base), 0.0
     for label, notice in license_join.TEMPLATES:
         wanted = set(license_join.word_set(notice))
-        for line in low.split("\n"):
-            n = len(wanted & set(split(line)))
-            if n >= license_join.needed(len(wanted)):
+        for b in range(len(words)):
+            run = words[b : b + license_join.run_length(notice)]
+            n, said = len(wanted & set(run)), f" {' '.join(run)} "
+            if n >= license_join.needed(len(wanted)) and all(any(f" {p} " in said for p in group) for group in license_join.TELLING.get(label, ())):
                 labels.add(label)
                 score = max(score, n / len(wanted))
     return len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score
@@ -191,7 +234,7 @@ def test_runs_find_wrapped_notices_and_no_neighbours(make_docs, prose):
         "This work is licensed under the GNU General Public License, version 2.", "This work is licensed under the GNU Lesser General Public License, version 3.",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 1.1.", "mit " + prose(50, 1) + " released under " + prose(50, 2) + " the license", None, "",
     ]
-    found = license_join.scan_licenses(make_docs([t for _, t in wrapped] + near + [wrapped[0][1]], [*range(len(wrapped) + len(near)), None]), blocks=license_join.matching_runs).collect()
+    found = license_join.scan_licenses(make_docs([t for _, t in wrapped] + near + [wrapped[0][1]], [*range(len(wrapped) + len(near)), None])).collect()
     assert sorted(r.doc_id for r in found if r.doc_id is not None) == list(range(len(wrapped) + len(near)))
     for r in found:
         named = set(r.labels.split(",")) - set(r.base_labels.split(",")) - {""}
@@ -231,6 +274,39 @@ def test_quality_separates_junk_and_keeps_good(spark, make_docs, prose, odd_text
     assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in found if r.predicted}
 
 
+def test_scores_against_a_direct_fit(spark, make_docs, prose):
+    """Ridge weights from one matrix, and calibration by pooling neighbours until none decrease; labels that contradict each other count each."""
+    texts = [prose(30 + k % 40, k) for k in range(200)] + ["$$ ## " * (3 + k % 9) + prose(8, k) for k in range(120)]
+    marks = [(k, int(k < 200 or k % 17 == 0), 0, 0.0, "") for k in range(320)] + [(k, int(k >= 200), 0, 0.0, "") for k in range(0, 320, 31)]
+    docs, labels = make_docs(texts), labelled(spark, marks)
+    model = quality.train(quality.features(docs), labels)
+    folds = {r.doc_id: r.f for r in docs.select("doc_id", F.pmod(F.xxhash64("doc_id", F.lit(quality.SEED)), F.lit(quality.FOLDS)).alias("f")).collect()}
+    used = [(i, q) for i, q, *_ in marks if zlib.crc32(str(i).encode()) % 5]
+    raw = np.array([quality.text_statistics(texts[i]) for i, _ in used])
+    y, fold = np.array([float(q) for _, q in used]), np.array([folds[i] for i, _ in used])
+    z = np.clip((raw - raw.mean(axis=0)) / np.maximum(raw.std(axis=0), 1e-6), -8, 8)
+    angle = z @ (np.random.default_rng(quality.SEED).standard_normal((z.shape[1], quality.PAIRS)) / quality.WIDTH)
+    x = np.hstack([np.ones((len(z), 1)), z, np.cos(angle), np.sin(angle)])
+
+    def ridge(a, b):
+        penalty = np.full(a.shape[1], quality.RIDGE * max(len(a), 1.0))
+        penalty[0] = 1e-9
+        return np.linalg.lstsq(np.vstack([a, np.diag(np.sqrt(penalty))]), np.concatenate([b, np.zeros(a.shape[1])]), rcond=None)[0]
+
+    assert np.allclose(x @ model.weights, x @ ridge(x, y), atol=1e-6)
+    outside = np.zeros(len(y))
+    for f in range(quality.FOLDS):
+        outside[fold == f] = x[fold == f] @ ridge(x[fold != f], y[fold != f])
+    bins = np.floor(np.clip(outside, -0.5, 1.5) * quality.BINS / 2).astype(int)
+    pools = [[y[bins == b].sum(), (bins == b).sum(), ((b + 0.5) * 2 / quality.BINS) * (bins == b).sum()] for b in sorted(set(bins))]
+    while any(a[0] / a[1] >= b[0] / b[1] for a, b in zip(pools, pools[1:], strict=False)):
+        k = next(k for k in range(len(pools) - 1) if pools[k][0] / pools[k][1] >= pools[k + 1][0] / pools[k + 1][1])
+        pools[k : k + 2] = [[p + q for p, q in zip(*pools[k : k + 2], strict=True)]]
+    want = np.clip(np.interp(x @ model.weights, [p[2] / p[1] for p in pools], [p[0] / p[1] for p in pools]), 0, 1)
+    # a row that lies on a bin's edge may fall to either side
+    assert (np.abs(model.score(raw) - want) < 0.02).mean() > 0.98
+
+
 def test_quality_without_labels_or_rows(spark, make_docs):
     none = labelled(spark, [])
     found = quality.score_texts(make_docs(["a", None], [None, 3]), none).collect()

@@ -1,5 +1,6 @@
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
@@ -36,6 +37,26 @@ def test_stages_apply_their_decisions(spark, sf_dir, tmp_path):
     assert sorted(map(tuple, corpus_pipeline.run(spark, sf_dir).collect())) == sorted(map(tuple, packed.collect()))
 
 
+def test_odd_tables(spark, make_docs, prose, tmp_path):
+    """An empty table; null and repeated ids, null texts and columns whose names the operators use inside."""
+    spark.createDataFrame([(k, int(k < 20), 0) for k in range(30)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    make_docs([]).write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+    good, junk = [prose(60, k) for k in range(20)], ["### $$$ !!! " * 20 + str(k) for k in range(10)]
+    texts = good + junk + [good[0], good[1] + " more", None, "", prose(60, 50), prose(60, 50), prose(60, 51)]
+    docs = make_docs(texts, [*range(30), None, None, None, 40, None, None, 5]).withColumn("key", F.lit(1)).withColumn("root", F.lit(2)).withColumn("fold", F.lit("f"))
+    docs.write.mode("overwrite").parquet(f"{tmp_path}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), str(tmp_path))
+        assert kept.columns == docs.columns and kept.count() > 0
+    placed = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ids = {r.doc_id for r in placed}
+    # every good text is there by its id; copies without an id went, the repeated text without an id is there once
+    assert ids >= set(range(20)) and not ids & set(range(20, 30))
+    assert len([r for r in placed if r.doc_id is None and r.doc_tokens > 1]) == 1
+    assert len({(r.sequence_id, r.offset) for r in placed}) == len(placed)
+
+
 def test_names_and_sql_match(spark):
     names = __spark_entry__.queries()
     assert "pipeline" in names and corpus_pipeline.ORACLE_SQL is None

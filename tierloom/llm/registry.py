@@ -41,7 +41,8 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return url_filter.judge_urls(_table(spark, sf_dir, "pages"))
+    pages = _table(spark, sf_dir, "pages")
+    return url_filter.judge_urls(pages, url_filter.stand_in_list(pages))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +50,7 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_join.scan_licenses(_table(spark, sf_dir, "documents"), blocks=license_join.matching_runs)
+    return license_join.scan_licenses(_table(spark, sf_dir, "documents"))
 
 
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,8 +25,6 @@ from tierloom.llm.durable import hash_blocks, written
 PER_SHARD = 50_000
 BROADCAST_BYTES = 64 << 20
 MAX_LEVELS = 64
-#: Hosts with one of these labels are listed.
-LISTED_LABELS = ("spam-farm", "tionsh", "casino", "clickbait")
 #: (host, path, verdict)
 RULES = (("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block"))
 
@@ -130,15 +128,18 @@ def _judge(h1: np.ndarray, h2: np.ndarray, shard: np.ndarray, cascades: dict[int
     return found
 
 
-def with_membership(df: DataFrame, key: str, listed: Column, name: str, per_shard: int = PER_SHARD, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+def with_membership(df: DataFrame, key: str, listed: DataFrame, name: str, per_shard: int = PER_SHARD, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """``df`` with a boolean column ``name``: whether the row's key is listed, by the cascade.
 
-    ``listed`` is a condition on ``key``; it is only asked once for each distinct key, to build.
-    A null key counts as the empty one. Extra columns of ``df`` pass through.
+    ``listed`` is a table of keys, in a column of the same name; repeated and null ones, and those that ``df`` lacks, do no harm.
+    Rows are not joined with it: the corpus's distinct keys and the list are put together and grouped, and the cascade is built
+    from that. A null key counts as the empty one. Extra columns of ``df`` pass through.
     """
     spark = df.sparkSession
     keyed = df.withColumn(key, F.coalesce(F.col(key), F.lit("")))
-    universe = written(keyed.select(key).distinct().select(key, *_key_hashes(F.col(key)), listed.alias("listed")), "url-universe")
+    both = keyed.select(key, F.lit(True).alias("here"), F.lit(False).alias("listed")).unionByName(listed.filter(F.col(key).isNotNull()).select(key, F.lit(False).alias("here"), F.lit(True).alias("listed")))
+    found = both.groupBy(key).agg(F.bool_or("here").alias("here"), F.bool_or("listed").alias("listed")).filter("here")
+    universe = written(found.select(key, *_key_hashes(F.col(key)), "listed"), "url-universe")
     shards = hash_blocks(universe.count(), per_shard)
     shard = F.pmod(F.col("h1"), F.lit(shards)).cast("int")
     cascades = written(universe.withColumn("shard", shard).groupBy("shard").applyInArrow(_build_shard, CASCADE_SCHEMA), "url-cascade")
@@ -164,22 +165,25 @@ def with_membership(df: DataFrame, key: str, listed: Column, name: str, per_shar
     return keyed.join(answers, key)
 
 
-def host_is_listed(host: Column, labels=LISTED_LABELS) -> Column:
-    return F.arrays_overlap(F.split(host, r"\."), F.array(*map(F.lit, labels)))
+def judge_urls(pages: DataFrame, listed: DataFrame, rules=RULES, per_shard: int = PER_SHARD, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """page_id, host, path, rule, verdict and listed of every page; ``listed`` is a table of hosts (column host).
 
-
-def judge_urls(pages: DataFrame, rules=RULES, listed: Column | None = None, per_shard: int = PER_SHARD, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """page_id, host, path, rule, verdict and listed of every page.
-
-    Null urls and urls without ``://`` have empty host and path; no rule fits those and the empty
-    host is not listed, so they are allowed. Repeated rows are judged alike.
+    Null urls and urls without ``://`` have empty host and path; no rule fits those, and they are allowed unless the
+    list has the empty host. Repeated rows are judged alike; urls are read whole, however long; other columns are not
+    looked at. An empty table gives no rows, an empty list blocks nothing by itself.
     """
     parts = pages.select("page_id", url_host(F.col("url")).alias("host"), url_path(F.col("url")).alias("path"))
-    judged = with_membership(parts, "host", host_is_listed(F.col("host")) if listed is None else listed, "listed", per_shard, broadcast_bytes)
+    judged = with_membership(parts, "host", listed, "listed", per_shard, broadcast_bytes)
     rule, verdict = apply_rules(F.col("host"), F.col("path"), rules)
     return judged.select("page_id", "host", "path", rule.alias("rule"), F.coalesce(verdict, F.when(F.col("listed"), "block").otherwise("allow")).alias("verdict"), "listed")
 
 
+def stand_in_list(pages: DataFrame) -> DataFrame:
+    """A table of listed hosts for data that come with none: hosts whose MD5 starts with 0, a sixteenth of them."""
+    host = url_host(F.col("url"))
+    return pages.select(host.alias("host")).filter((F.col("host") != "") & F.md5(F.col("host").cast("binary")).startswith("0")).distinct()
+
+
 ORACLE_SQL = f"""
 WITH parts AS (
   SELECT page_id,
@@ -193,7 +197,7 @@ best AS (
   LEFT JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
   GROUP BY ALL),
 judged AS (
-  SELECT *, list_has_any(string_split(host, '.'), [{", ".join(f"'{x}'" for x in LISTED_LABELS)}]) AS listed FROM best)
+  SELECT *, host <> '' AND starts_with(md5(host), '0') AS listed FROM best)
 SELECT parts.page_id, parts.host, parts.path, rule, coalesce(said, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict, listed
 FROM parts JOIN judged USING (page_id, host, path)
 """
