@@ -257,7 +257,9 @@ def round_trip(docs: DataFrame, path: str | None = None) -> DataFrame:
     """doc_id, n_pieces, n_byte_pieces, ids_crc32, decoded_crc32, same_text of every row.
 
     Every text is encoded and its ids are decoded again. Only a text that has the marker itself
-    comes back changed, with a space in its place. Repeated rows are each reported.
+    comes back changed, with a space in its place. A null text is empty: no pieces, and the same text. Repeated rows,
+    and rows without an id, are each reported; whole texts are read, however long; other columns are not looked at. An
+    empty table gives no rows.
     """
     path = path or public_tokenizers.path(MODEL)
     schema = "doc_id long, n_pieces long, n_byte_pieces long, ids_crc32 long, decoded_crc32 long, same_text boolean"
