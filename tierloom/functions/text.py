@@ -94,10 +94,20 @@ def masked_words(text: Column) -> Column:
     return letters(F.regexp_replace(t, rf"~?{NUMBER}", " § "))
 
 
+def _runs(words: Column, n: int, of) -> Column:
+    """``of`` each run of ``n`` words; none where there are fewer."""
+    found = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))), lambda i: of(F.slice(words, i, F.lit(n))))
+    return F.when(F.size(words) >= n, F.array_distinct(found))
+
+
 def word_runs(words: Column, n: int = 8) -> Column:
-    """The distinct runs of ``n`` words; none where there are fewer."""
-    runs = F.transform(F.sequence(F.lit(1), F.size(words) - (n - 1)), lambda i: F.array_join(F.slice(words, i, F.lit(n)), " "))
-    return F.when(F.size(words) >= n, F.array_distinct(runs)).otherwise(F.array().cast("array<string>"))
+    """The distinct runs of ``n`` words."""
+    return _runs(words, n, lambda run: F.array_join(run, " "))
+
+
+def word_run_hashes(words: Column, n: int = 8) -> Column:
+    """The distinct 64-bit hashes of runs of ``n`` words; no run is put together as text."""
+    return _runs(words, n, F.xxhash64)
 
 
 def first_letter_variant(text: Column) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tierloom.functions import text
+
 
 def positional_parity(left: DataFrame, right: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Arrays ``value`` of two runs compared place by place: n_left, n_right, n_same, n_differ (places that one lacks differ)."""
@@ -15,6 +17,28 @@ def positional_parity(left: DataFrame, right: DataFrame, keys: list[str], value:
     return both.groupBy(*keys).agg(F.count("a").alias("n_left"), F.count("b").alias("n_right"), F.count_if(same).alias("n_same"), F.count_if(~same).alias("n_differ"))
 
 
+#: Hashes of so many runs (with their texts, up to about 100 MB) are broadcast; more are joined by a shuffle.
+BROADCAST_RUNS = 500_000
+
+
+def shared_runs(docs: DataFrame, key: str, items: DataFrame, item_key: str, samples: int = 5) -> DataFrame:
+    """key, item_key, n_shared, samples: runs of eight masked words that a document and an item share.
+
+    Documents only send 64-bit hashes of their runs; where one meets an item's, the document's words are looked up
+    again and the run itself is confirmed. ``samples`` has the first few in order. Null texts share nothing.
+    """
+    words = text.masked_words(F.col("text"))
+    own = items.select(F.col(item_key).alias("__item"), words.alias("w")).select("__item", F.explode(text.word_runs(F.col("w"))).alias("run"))
+    own = own.select("__item", "run", F.xxhash64(F.split("run", " ")).alias("h"))
+    known = F.broadcast(own) if own.count() <= BROADCAST_RUNS else own
+    hashed = docs.select(F.col(key).alias("__key"), words.alias("w")).select("__key", F.explode(text.word_run_hashes(F.col("w"))).alias("h"))
+    met = hashed.join(known, "h").groupBy("__key", "__item").agg(F.collect_set("run").alias("runs"))
+    whole = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
+    there = met.join(docs.select(F.col(key).alias("__key"), "text"), "__key").withColumn("whole", whole)
+    held = there.withColumn("held", F.filter("runs", lambda r: F.contains("whole", F.concat(F.lit(" "), r, F.lit(" "))))).filter(F.size("held") > 0)
+    return held.select(F.col("__key").alias(key), F.col("__item").alias(item_key), F.size("held").cast("long").alias("n_shared"), F.slice(F.array_sort("held"), 1, samples).alias("samples"))
+
+
 def recall_of(gold: DataFrame, predicted: DataFrame, group: list[str], item: str) -> DataFrame:
     """How many gold items a prediction has: n_gold, n_found, recall."""
     hits = gold.select(*group, item).distinct().join(predicted.select(*group, item, F.lit(1).alias("hit")).distinct(), [*group, item], "left")
@@ -68,8 +92,8 @@ def grouped_digits(n: Column) -> Column:
     return F.regexp_replace(n.cast("string"), r"(\d)(?=(\d{3})+$)", "$1.")
 
 
-def token_estimate(text: Column) -> Column:
-    return F.bround(F.length(text) / 3.5, 0).cast("long")
+def token_estimate(prose: Column) -> Column:
+    return F.bround(F.length(prose) / 3.5, 0).cast("long")
 
 
 def split_in_proportion(total: Column, part: Column, rest: Column) -> Column:

@@ -300,11 +300,6 @@ def quote_strip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).select("doc_id", had.alias("had"), F.md5(clean.cast("binary")).alias("clean_md5"))
 
 
-def _runs(rows: DataFrame, key: str) -> DataFrame:
-    words = rows.select(key, text.masked_words(F.col("text")).alias("w"))
-    return words.select(key, F.explode(text.word_runs(F.col("w"))).alias("run"))
-
-
 def _runs_sql(table: str, key: str) -> str:
     return f"""SELECT {key}, unnest(list_distinct(list_transform(range(1, len(w) - 6), lambda i: array_to_string(w[i:i + 7], ' ')))) AS run
   FROM (SELECT {key}, {sql.masked_words("text")} AS w FROM {table})"""
@@ -314,9 +309,8 @@ def _runs_sql(table: str, key: str) -> str:
 SELECT doc_id, item_id, count(*) AS n_shared, array_to_string(list_sort(list(run))[1:5], '|') AS samples FROM d JOIN b USING (run) GROUP BY ALL""")
 def shingle_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of eight masked words that documents and benchmark items share."""
-    shared = _runs(_docs(spark, sf_dir), "doc_id").join(_runs(tables.table(spark, sf_dir, "benchmark"), "item_id"), "run")
-    grouped = shared.groupBy("doc_id", "item_id").agg(F.count(F.lit(1)).alias("n_shared"), F.array_sort(F.collect_list("run")).alias("runs"))
-    return grouped.select("doc_id", "item_id", "n_shared", F.array_join(F.slice("runs", 1, 5), "|").alias("samples"))
+    found = compare.shared_runs(_docs(spark, sf_dir), "doc_id", tables.table(spark, sf_dir, "benchmark"), "item_id")
+    return found.withColumn("samples", F.array_join("samples", "|"))
 
 
 def _edits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -719,8 +713,9 @@ def quoted_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT film, n_name AS title, director, false AS transliterated, CASE WHEN film % 2 = 0 THEN 'english ' || n_name ELSE 'local ' || n_name END AS synopsis, film % 2 = 0 AS fallback, 1990 + film AS year FROM c""")
 def film_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nations as films, their suppliers as crews: every third supplier directs, and every other synopsis is only there in English."""
-    crew = F.array_sort(F.collect_list(F.struct(F.col("s_suppkey").alias("k"), F.when(F.col("s_suppkey") % 3 == 0, "Director").otherwise("Writer").alias("job"), F.col("s_name").alias("name"))))
-    nations = tables.table(spark, sf_dir, "nation").join(tables.table(spark, sf_dir, "supplier"), F.col("s_nationkey") == F.col("n_nationkey"), "left").groupBy(F.col("n_nationkey").alias("film"), "n_name").agg(crew.alias("crew"))
+    first = F.expr("min_by(s_name, s_suppkey) FILTER (WHERE s_suppkey % 3 = 0)")
+    rows = tables.table(spark, sf_dir, "nation").join(tables.table(spark, sf_dir, "supplier"), F.col("s_nationkey") == F.col("n_nationkey"), "left").groupBy(F.col("n_nationkey").alias("film"), "n_name").agg(first.alias("name"))
+    nations = rows.select("film", "n_name", F.array_compact(F.array(F.when(F.col("name").isNotNull(), F.struct(F.lit("Director").alias("job"), "name")))).alias("crew"))
     even = F.col("film") % 2 == 0
     details = nations.select(
         "film", F.lit("").alias("title"), F.col("n_name").alias("original_title"), F.when(~even, F.concat(F.lit("local "), F.col("n_name"))).otherwise("").alias("overview"), F.concat(F.lit("english "), F.col("n_name")).alias("overview_en"),
