@@ -5,8 +5,10 @@ dealt into blocks of about ``PER_BLOCK`` by a hash of their id; a block's index
 arrays, each the block's vectors sorted by one random projection. A query looks at a window centred
 on its own projection in each array. Windows of radius ``RADIUS``, then of radii ``GROWTH`` times the last
 (virtual rehashing: the arrays stay as they are), count in how many arrays a vector collides with the
-query; a vector that collides in ``SHARE`` of the arrays or more is verified by its exact cosine. A query
-ends in a block once more than ``VERIFIED`` of the block's vectors, and ``k`` at least, are verified.
+query; a vector that collides in ``SHARE`` of the arrays or more is verified by its exact cosine. The first windows
+hold most of an array, so what lies outside them is counted, and taken from all. A query ends in a block once more
+than a share of the block's vectors, and ``k`` at least, are verified: ``VERIFIED`` where there are ``VERIFIED_AT``
+vectors in all, and less with the square root of their number, since the nearest of more vectors are nearer.
 The best ``k`` of every block compete for the answer.
 
 Every row is indexed; no sample is taken. Queries are dealt into groups of about ``PER_GROUP`` rows and
@@ -23,12 +25,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tierloom.llm.durable import hash_blocks, written
+from tierloom.llm.durable import hash_blocks, lasting, scratch, written
 
 PROJECTIONS = 64
-SHARE = 0.65
-RADIUS, GROWTH = 0.8, 1.15
-VERIFIED = 0.15
+SHARE = 0.875
+RADIUS, GROWTH = 1.5, 1.05
+VERIFIED, VERIFIED_AT = 0.35, 500
 PER_BLOCK, PER_GROUP = 8192, 256
 #: Groups of queries that one copy of a block's index serves.
 PER_SLICE = 32
@@ -45,10 +47,23 @@ def usable(vector: Column) -> Column:
     return F.coalesce(vector.isNotNull() & (F.size(vector) > 0) & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
+def _in_range(vectors: np.ndarray) -> np.ndarray:
+    """Rows whose squares would overflow or vanish, scaled by a power of two; cosines do not change, and other rows not at all."""
+    square = (vectors * vectors).sum(axis=1)
+    odd = ~((square > 1e-280) & (square < 1e280))
+    if odd.any():
+        vectors = vectors.copy()
+        _, power = np.frexp(np.abs(vectors[odd]).max(axis=1))
+        vectors[odd] = np.ldexp(vectors[odd], -power[:, None])
+    return vectors
+
+
 def _pack(table: pa.Table) -> pa.Table:
     """A block or group as one row, by ascending id."""
     order = np.argsort(table["vec_id"].to_numpy(), kind="stable")
-    vectors = np.array(table["v"].to_pylist(), dtype="<f8")[order]
+    flat = table["v"].combine_chunks().flatten().to_numpy(zero_copy_only=False).astype("<f8")
+    with np.errstate(over="ignore", under="ignore"):
+        vectors = _in_range(flat.reshape(len(order), -1)[order])
     return pa.table(
         {
             "part": table["part"][:1].cast(pa.int32()),
@@ -59,9 +74,11 @@ def _pack(table: pa.Table) -> pa.Table:
     )
 
 
-def _packed(vectors: DataFrame, parts: int) -> DataFrame:
-    dealt = vectors.withColumn("part", F.pmod(F.xxhash64("vec_id", "v"), F.lit(parts)).cast("int"))
-    return dealt.groupBy("part").applyInArrow(_pack, PACKED_SCHEMA)
+def _packed(vectors: DataFrame, sizes: DataFrame, first: str, parts: str) -> DataFrame:
+    """Rows in parts of one vector length: ``parts`` of them, numbered from ``first``, as ``sizes`` says for each length."""
+    dealt = vectors.withColumn("length", F.size("v")).join(F.broadcast(sizes), "length")
+    part = F.col(first) + F.pmod(F.xxhash64("vec_id", "v"), F.col(parts))
+    return dealt.select("vec_id", "v", part.cast("int").alias("part")).groupBy("part").applyInArrow(_pack, PACKED_SCHEMA)
 
 
 def _unpacked(ids: bytes, vectors: bytes, norms: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -88,31 +105,40 @@ class SortedProjections:
         self.shift = np.arange(PROJECTIONS) * self.stride
         order = np.argsort(at, axis=1)
         self.at = (np.take_along_axis(at, order, axis=1) + self.shift[:, None]).ravel()
-        self.order = order.astype(np.int32).ravel()
+        self.order = order.ravel()
         self.first = np.arange(PROJECTIONS) * self.n
 
-    def candidates(self, query: np.ndarray, k: int) -> np.ndarray:
+    def candidates(self, query: np.ndarray, k: int, share: float) -> np.ndarray:
         """Numbers of the vectors to verify for a query of length one."""
         own = query @ self.directions + self.shift
-        least, enough = max(1, round(SHARE * PROJECTIONS)), max(k, VERIFIED * self.n)
-        counts = np.zeros(self.n, np.int64)
-        lows = highs = np.searchsorted(self.at, own)
-        radius = RADIUS
+        least, enough = max(1, round(SHARE * PROJECTIONS)), max(k, share * self.n)
+        counts, lows, highs, radius = None, None, None, RADIUS
         while True:
             reach = min(radius, self.stride / 2)
             lo = np.maximum(np.searchsorted(self.at, own - reach), self.first)
             hi = np.minimum(np.searchsorted(self.at, own + reach, side="right"), self.first + self.n)
-            ends = zip(lo.tolist(), lows.tolist(), highs.tolist(), hi.tolist(), strict=True)
-            fresh = [self.order[x:y] for a, b, c, d in ends for x, y in ((a, b), (c, d))]
-            counts += np.bincount(np.concatenate(fresh), minlength=self.n)
+            if counts is None:
+                counts = PROJECTIONS - self._hits(self.first, lo, hi, self.first + self.n)
+            else:
+                counts += self._hits(lo, lows, highs, hi)
             lows, highs = lo, hi
             found = np.flatnonzero(counts >= least)
             if len(found) > enough or len(found) == self.n:
                 return found
             radius *= GROWTH
 
+    def _hits(self, a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
+        """How often each vector stands in the stretches from a to b and from c to d of the arrays."""
+        ends = zip(a.tolist(), b.tolist(), c.tolist(), d.tolist(), strict=True)
+        return np.bincount(np.concatenate([self.order[x:y] for w in ends for x, y in (w[:2], w[2:])]), minlength=self.n)
+
+
+def verified_share(n: int) -> float:
+    """Of a block's vectors, what a query verifies at least, where there are ``n`` vectors in all."""
+    return min(1.0, VERIFIED * (VERIFIED_AT / max(n, 1)) ** 0.5)
+
 
-def _searcher(k: int):
+def _searcher(k: int, shares: dict[int, float]):
     """Rows sorted so that each slice's block comes first: one index is held at a time, groups of queries go past it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,7 +155,7 @@ def _searcher(k: int):
                 out: list[tuple[int, int, float]] = []
                 ids, vectors, norms = block
                 for q, v, norm in zip(*packed, strict=True):
-                    found = index.candidates(v / norm, k + 1)
+                    found = index.candidates(v / norm, k + 1, shares[len(v)])
                     found = found[ids[found] != q]
                     # a sum for each row, so that equal vectors have equal scores in every block
                     score = (vectors[found] * v).sum(axis=1) / (norms[found] * norm)
@@ -147,24 +173,32 @@ def nearest(vectors: DataFrame, queries: Column, k: int = NEIGHBOURS, per_block:
     ``vectors`` has vec_id and embedding; ``queries`` is a condition on its rows. Rows whose id is
     null or whose vector is null, empty, zero or has null or non-finite components take no part.
     Vectors of another length than a query's are not compared with it. A repeated id is a row of its
-    own as a candidate, and asks once. Ties go to the smaller vec_id.
+    own as a candidate, and asks once. Ties go to the smaller vec_id. Components so large or small that their squares
+    leave the range of doubles are handled. Other columns are not looked at; an empty table gives no rows.
     """
+    spark = vectors.sparkSession
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("v"))
-    rows = written(rows.filter(F.col("vec_id").isNotNull() & usable(F.col("v"))), "vectors")
-    asking = rows.filter(queries).dropDuplicates(["vec_id"])
-    counts = {r.d: r.n for r in rows.groupBy(F.size("v").alias("d")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each length of vectors
-    found = rows.sparkSession.createDataFrame([], FOUND_SCHEMA)
-    for length, n in sorted(counts.items()):
-        same = F.size("v") == length
-        blocks, groups = hash_blocks(n, per_block), hash_blocks(max(1, asking.filter(same).count()), per_group)
-        index = written(_packed(rows.filter(same), blocks), "ann-blocks")
-        asked = written(_packed(asking.filter(same), groups).withColumnRenamed("part", "grp"), "ann-queries")
-        slices = hash_blocks(groups, PER_SLICE)
-        number = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    with scratch(spark):
+        rows = written(rows.filter(F.col("vec_id").isNotNull() & usable(F.col("v"))), "vectors")
+        asking = written(rows.filter(queries).dropDuplicates(["vec_id"]), "asking")
+        by_length = lambda df, name: df.groupBy(F.size("v").alias("length")).agg(F.count(F.lit(1)).alias(name))
+        # a row for each length of vectors that a query has
+        counts = by_length(asking, "asks").join(by_length(rows, "n"), "length").orderBy("length").collect()
+        plan, block, group, shares = [], 0, 0, {r.length: verified_share(r.n) for r in counts}
+        for r in counts:
+            blocks, groups = hash_blocks(r.n, per_block), hash_blocks(r.asks, per_group)
+            plan.append((r.length, block, blocks, group, groups, hash_blocks(groups, PER_SLICE)))
+            block, group = block + blocks, group + groups
+        sizes = spark.createDataFrame(plan, "length int, first_block int, blocks int, first_group int, groups int, slices int")
+        index = written(_packed(rows, sizes, "first_block", "blocks"), "ann-blocks")
+        asked = written(_packed(asking, sizes, "first_group", "groups").withColumnRenamed("part", "grp"), "ann-queries")
+        up_to = lambda first, n: F.explode(F.sequence(F.col(first), F.col(first) + F.col(n) - 1))
         packed = ["ids", "vectors", "norms"]
-        held = index.select("part", number(slices).alias("slice"), F.lit(False).alias("asks"), *packed)
-        passing = asked.select(number(blocks).alias("part"), (F.col("grp") % slices).alias("slice"), F.lit(True).alias("asks"), *packed)
-        met = held.union(passing).repartition("part", "slice").sortWithinPartitions("part", "slice", "asks").mapInArrow(_searcher(k), FOUND_SCHEMA)
-        found = met if len(counts) == 1 else found.unionByName(met)
-    best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        blocks_of = F.broadcast(sizes.select(up_to("first_block", "blocks").alias("part"), "slices"))
+        held = index.join(blocks_of, "part").select("part", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.lit(False).alias("asks"), *packed)
+        groups_of = F.broadcast(sizes.select(up_to("first_group", "groups").alias("grp"), "first_block", "blocks", "slices"))
+        passing = asked.join(groups_of, "grp").select(up_to("first_block", "blocks").alias("part"), (F.col("grp") % F.col("slices")).alias("slice"), F.lit(True).alias("asks"), *packed)
+        met = held.union(passing).repartition("part", "slice").sortWithinPartitions("part", "slice", "asks").mapInArrow(_searcher(k, shares), FOUND_SCHEMA)
+        best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        ranked = met.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+        return lasting(ranked.select("query_id", "rank", "vec_id", "score"), "nearest")
