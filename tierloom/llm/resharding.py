@@ -22,14 +22,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tierloom.llm.durable import drop_table, hash_blocks, written
+from tierloom.llm.durable import drop_table, hash_blocks, lasting, scratch, written
 
 SHARDS, OLD_SHARDS = 40, 32
 #: Bytes that a row takes besides its text.
 ROW_BYTES = 16
 #: Rows of these sizes or more are dealt before smaller ones.
 SIZE_CLASSES = (65536, 16384, 4096, 1024, 256, 64, 0)
-PER_BLOCK = 8192
+PER_BLOCK = 1024
 #: A column that tells rows apart whatever their ids; carried through placement where rows have it.
 ROW_KEY = "__row_key"
 
@@ -110,11 +110,12 @@ def _key_of(rows: DataFrame) -> list[str]:
 
 
 def _on_lines(rows: DataFrame, keys: list[str], blocks: int, what: Column, name: str) -> DataFrame:
-    """``rows`` with what lies before each of them on its keys' line, ordered by block and doc_id."""
-    tagged = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int"))
+    """``rows`` with what lies before each of them on its keys' line, ordered by block, doc_id and text."""
+    # ids may be null or repeated: text and, where rows have one, their key spread such rows
+    tagged = rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text_crc32", *_key_of(rows)), F.lit(blocks)).cast("int"))
     before = Window.partitionBy(*keys).orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     sums = tagged.groupBy(*keys, "block").agg(F.sum(what).alias("s")).select(*keys, "block", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("ahead"))
-    within = Window.partitionBy(*keys, "block").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(*keys, "block").orderBy("doc_id", "text_crc32", "size", *_key_of(rows)).rowsBetween(Window.unboundedPreceding, -1)
     placed = tagged.withColumn(name, F.coalesce(F.sum(what).over(within), F.lit(0))).join(sums, [*keys, "block"])
     return placed.withColumn(name, F.col(name) + F.col("ahead")).drop("ahead")
 
@@ -185,7 +186,8 @@ def reshard(docs: DataFrame, old_shard: Column | None = None, shards: int = SHAR
     The law is ``bytes``: shards are near equal in bytes (or near ``capacities``). Slots count from 0
     in each shard without gaps. Old shards are by source, unless ``old_shard`` says otherwise; rows
     without a source are one more source. Null texts have no bytes; rows without an id or with a
-    repeated one are dealt like others. An empty table gives no rows. A column ``ROW_KEY`` is kept.
+    repeated one are dealt like others; rows that are the same in id, size and text stand in one block unless
+    they have a ``ROW_KEY``, a column that is kept. An empty table gives no rows.
     """
     if old_shard is None:
         old_shard = F.pmod(F.xxhash64("source"), F.lit(old_shards))
@@ -202,10 +204,11 @@ def reshard_files(docs: DataFrame, path: str, key: Column | None = None, **how)
     ``key`` differs for every row and is the same in every reading of ``docs``, such as the file and row that
     Parquet gives. Without it, rows get a number of their own in a copy of ``docs`` in the shared folder.
     """
-    keyed = docs.withColumn(ROW_KEY, F.monotonically_increasing_id() if key is None else key)
-    keyed = written(keyed, "keyed") if key is None else keyed
-    placed = written(reshard(keyed, **how), "placed")
-    rewrite_affected(keyed, placed, path)
+    with scratch(docs.sparkSession):
+        keyed = docs.withColumn(ROW_KEY, F.monotonically_increasing_id() if key is None else key)
+        keyed = written(keyed, "keyed") if key is None else keyed
+        placed = lasting(reshard(keyed, **how), "placed")
+        rewrite_affected(keyed, placed, path)
     return placed.drop(ROW_KEY)
 
 
