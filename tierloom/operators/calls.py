@@ -150,7 +150,8 @@ def edited(narratives: DataFrame, model: Model, shares: dict[str, str] | None =
         judged = edits.edit_verdicts(rows.withColumn("edited", F.coalesce("reply", F.lit(""))), shares)
         return judged.withColumn("found", F.when(F.col("verdict") == "aceita", F.array().cast("array<string>")).otherwise(F.array("verdict")))
 
-    told = narratives.filter(~blank).withColumn("message", editor_message(F.col("raw"), F.col("protected")))
+    # what is wrong with the raw text is found once, not in every round
+    told = edits.with_raw_faults(narratives.filter(~blank), shares).withColumn("message", editor_message(F.col("raw"), F.col("protected")))
     asked = in_rounds(told, model, check, system, reinforcements, retries=retries, repairs=retries, most_calls=1 + retries)
     taken = F.size("faults") == 0
     own = F.when(taken, spans.labels_lowered(text.strip_quotes(F.col("answer"))[0])).otherwise(F.col("raw"))

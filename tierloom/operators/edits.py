@@ -50,6 +50,15 @@ def with_honesty(rows: DataFrame, prose: str, shares: dict[str, str], name: str)
     return marked.withColumn(name, F.array_compact(F.array(*(F.when(bad, F.lit(n)) for n, bad in faults)))).drop("__marks")
 
 
+#: Checks that the raw text fails; where rows have the column, it is not computed again.
+RAW_FAULTS = "__raw_faults"
+
+
+def with_raw_faults(edits: DataFrame, shares: dict[str, str] | None = None) -> DataFrame:
+    clean = edits.withColumn("__raw", text.strip_quotes(F.coalesce("raw", F.lit("")))[0])
+    return with_honesty(clean, "__raw", shares or {}, RAW_FAULTS).drop("__raw")
+
+
 def edit_checks(edits: DataFrame, shares: dict[str, str] | None = None) -> DataFrame:
     """Adds published (the edit without quotation marks), wrapped, n_lost, numbers_kept and regressions.
 
@@ -57,12 +66,13 @@ def edit_checks(edits: DataFrame, shares: dict[str, str] | None = None) -> DataF
     passes and the edit fails; an edit need not mend what was wrong before.
     """
     shares = shares or {}
-    clean = edits.withColumn("published", text.strip_quotes(F.coalesce("edited", F.lit("")))[0]).withColumn("__raw", text.strip_quotes(F.coalesce("raw", F.lit("")))[0])
-    clean = with_honesty(with_honesty(clean, "__raw", shares, "__before"), "published", shares, "__after")
+    known = edits if RAW_FAULTS in edits.columns else with_raw_faults(edits, shares)
+    clean = known.withColumn("published", text.strip_quotes(F.coalesce("edited", F.lit("")))[0])
+    clean = with_honesty(clean, "published", shares, "__after")
     kept = text.number_tokens(F.col("raw")) == text.number_tokens(F.col("published"))
     return (
         clean.withColumn("wrapped", text.wrapped_format(F.col("edited"))).withColumn("n_lost", F.size(lost_spans(F.col("published"), F.col("protected")))).withColumn("numbers_kept", kept)
-        .withColumn("regressions", F.array_except("__after", "__before")).drop("__raw", "__before", "__after")
+        .withColumn("regressions", F.array_except("__after", RAW_FAULTS)).drop("__after", *({RAW_FAULTS} - {*edits.columns}))
     )
 
 

@@ -61,7 +61,7 @@ def in_rounds(rows: DataFrame, model: Model, check: Check, system: str = "", rei
     state = {
         "system": F.lit(system), "answer": F.lit(None).cast("string"), "faults": _names(UNUSABLE), "n_calls": F.lit(0), "n_bad": F.lit(0), "n_unusable": F.lit(0), "history": _names(),
     }
-    asking, done = settled(rows.withColumns(state)), []
+    asking, done = rows.withColumns(state), []
     for _ in range(most):
         asked = settled(replies(asking, model)).withColumn("reply", F.nullif(text.stripped(text.without_fences(F.col("reply"))), F.lit("")))
         found = F.when(F.col("reply").isNull(), _names(UNUSABLE)).otherwise(F.col("found"))

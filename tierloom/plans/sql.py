@@ -85,6 +85,12 @@ def unquoted(x: str) -> str:
     return f"CASE WHEN regexp_matches({x}, '[{marks_}]') THEN {clean} ELSE {x} END"
 
 
+def unescaped(x: str) -> str:
+    for entity, mark in (("copy", "©"), ("middot", "·"), ("lt", "<"), ("gt", ">"), ("quot", '"'), ("amp", "&")):
+        x = f"replace({x}, '&{entity};', '{mark}')"
+    return x
+
+
 def numbers(x: str) -> str:
     return f"list_sort(regexp_extract_all({x}, '{text.NUMBER}'))"
 
