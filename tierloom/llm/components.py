@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierloom.llm.durable import drop_table, write_table
+from tierloom.llm.durable import adopt, drop_table, write_table
 
 MAX_ROUNDS = 60
 
@@ -50,4 +50,5 @@ def components(edges: DataFrame) -> DataFrame:
     else:
         if seen[0]:
             raise RuntimeError(f"components still change after {MAX_ROUNDS} rounds")
+    adopt(path)
     return now.select(F.col("u").alias("node"), F.col("v").alias("root"))

@@ -12,9 +12,11 @@ from contextlib import contextmanager
 from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Rows of a batch that goes to a Python worker while a table is written: texts may be long.
 BATCH_ROWS = 1024
+HOT_GROUPS = 1000
 _scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
 
 
@@ -94,11 +96,16 @@ def write_table(df: DataFrame, label: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def adopt(path: str) -> None:
+    """Let what lies at ``path`` go with the scope around the caller, if there is one."""
+    if scopes := _scopes.get():
+        scopes[-1].append(path)
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
     """``df`` as a table that goes with the scope around it."""
     table, path = write_table(df, label)
-    if scopes := _scopes.get():
-        scopes[-1].append(path)
+    adopt(path)
     return table
 
 
@@ -113,3 +120,14 @@ def lasting(df: DataFrame, label: str) -> DataFrame:
 def hash_blocks(rows: int, per_block: int) -> int:
     """How many hash blocks keep about ``per_block`` rows in each; grows with the input."""
     return max(1, -(-int(rows) // per_block))
+
+
+def joined_where_hot(rows: DataFrame, groups: DataFrame, key: str, size: str, n_rows: int) -> DataFrame:
+    """``rows`` joined with ``groups`` on ``key``; rows of a hot group are joined where they lie.
+
+    ``groups`` has one row for each key and how many rows have it in ``size``. Of groups that hold more than one
+    in ``HOT_GROUPS`` of all rows there are fewer than that, so they can be broadcast at any scale.
+    """
+    hot = groups.filter(F.col(size) * HOT_GROUPS > n_rows)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(groups, key)
+    return rows.join(F.broadcast(hot), key).unionByName(cold)

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tierloom.llm.durable import hash_blocks, written
+from tierloom.llm.durable import hash_blocks, joined_where_hot, lasting, scratch, written
 
 PER_BUCKET = 4096
 #: Bits for each key of a level.
@@ -149,8 +149,8 @@ def resolve(batch: DataFrame, index: DataFrame, buckets: int) -> DataFrame:
     return probes.cogroup(index.groupBy("bucket")).applyInArrow(_probe_bucket, GROUP_SCHEMA)
 
 
-def exact_groups(docs: DataFrame, per_bucket: int = PER_BUCKET) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, digest) of every row, and the groups of equal texts.
+def exact_groups(docs: DataFrame, per_bucket: int = PER_BUCKET) -> tuple[DataFrame, DataFrame, int]:
+    """(doc_id, digest) of every row, the groups of equal texts, and the number of rows.
 
     The history is the half of the rows with the smaller ids (split at the middle of the id range),
     the batch is the rest. The row with the largest doc_id of a group stays.
@@ -164,31 +164,41 @@ def exact_groups(docs: DataFrame, per_bucket: int = PER_BUCKET) -> tuple[DataFra
     buckets = hash_blocks(rows, per_bucket)
     old = F.coalesce(F.col("doc_id") <= middle, F.lit(False))
     index = build_index(digests.filter(old), buckets)
-    return digests, resolve(digests.filter(~old), index, buckets)
+    return digests, written(resolve(digests.filter(~old), index, buckets), "groups"), rows
 
 
 def mark_duplicates(docs: DataFrame, per_bucket: int = PER_BUCKET) -> DataFrame:
-    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, in_history."""
-    digests, groups = exact_groups(docs, per_bucket)
-    return digests.join(groups, "digest").select(
-        "doc_id",
-        "keep_id",
-        "group_size",
-        F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"),
-        F.lower(F.hex("digest")).alias("text_sha256"),
-        F.col("member").alias("in_history"),
-    )
+    """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256, in_history.
+
+    Nulls and repeated rows as in :func:`exact_groups`; whole texts are hashed, however long, and other columns
+    are not looked at. An empty table gives no rows.
+    """
+    with scratch(docs.sparkSession):
+        digests, groups, rows = exact_groups(docs, per_bucket)
+        marked = joined_where_hot(digests, groups, "digest", "group_size", rows)
+        return lasting(
+            marked.select(
+                "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"), F.col("member").alias("in_history")
+            ),
+            "marked",
+        )
 
 
 def drop_duplicates(docs: DataFrame, per_bucket: int = PER_BUCKET) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns; a row delivered twice stays once."""
-    digests, groups = exact_groups(docs, per_bucket)
+    """The rows of ``docs`` that stay, with all their columns; a row delivered twice stays once.
+
+    Of a group without ids one row stays. Nulls, long texts and empty tables as in :func:`mark_duplicates`; which of
+    several rows with one id and one text stays, where other columns differ, is open.
+    """
     own = "__tierloom_digest"
-    stays = groups.select(F.col("digest").alias("__tierloom_other"), F.col("keep_id").alias("__tierloom_keep"))
+    with scratch(docs.sparkSession):
+        digests, groups, _ = exact_groups(docs, per_bucket)
+        stays = lasting(groups.select(F.col("digest").alias("__tierloom_other"), F.col("keep_id").alias("__tierloom_keep")), "stays")
+        repeated = digests.groupBy("doc_id", "digest").count().filter("count > 1").limit(1).count()
     tagged = docs.withColumn(own, text_digest(F.col("text")))
-    kept = tagged.join(stays, tagged["doc_id"].eqNullSafe(F.col("__tierloom_keep")) & (tagged[own] == F.col("__tierloom_other")), "left_semi")
+    kept = tagged.join(stays, tagged["doc_id"].cast("long").eqNullSafe(F.col("__tierloom_keep")) & (tagged[own] == F.col("__tierloom_other")), "left_semi")
     # only rows delivered twice need a second shuffle of the texts
-    if digests.groupBy("doc_id", "digest").count().filter("count > 1").limit(1).count():
+    if repeated:
         kept = kept.dropDuplicates(["doc_id", own])
     return kept.drop(own)
 

@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tierloom.llm.components import components
-from tierloom.llm.durable import lasting, scratch, written
+from tierloom.llm.durable import joined_where_hot, lasting, scratch, written
 from tierloom.llm.shingles import mixed, shingle_sets
 
 HASHES, BITS = 1024, 2
@@ -216,9 +216,10 @@ def _placed(docs: DataFrame) -> tuple[DataFrame, DataFrame | None]:
 def _linked(signed: DataFrame, texts: DataFrame) -> DataFrame:
     """Classes, links and components of signatures with distinct ids."""
     usable = signed.filter("n_shingles > 0")
-    reps = usable.groupBy("digest").agg(F.min("doc_id").alias("rep"))
+    reps = written(usable.groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")), "reps")
     first = F.col("doc_id") == F.col("rep")
-    classed = written(usable.join(reps, "digest").select("doc_id", "n_shingles", "rep", *(F.when(first, F.col(c)).alias(c) for c in ("bands", *_SIGNATURE))), "classes")
+    n_rows = reps.agg(F.sum("copies")).first()[0] or 0
+    classed = written(joined_where_hot(usable, reps, "digest", "copies", n_rows).select("doc_id", "n_shingles", "rep", *(F.when(first, F.col(c)).alias(c) for c in ("bands", *_SIGNATURE))), "classes")
     classes = classed.filter(first)
 
     keyed = classed.filter(first).select("rep", F.explode("bands").alias("key"))
