@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tierloom.llm.byte_bpe import Tokenizer
-from tierloom.llm.durable import hash_blocks, written
+from tierloom.llm.durable import hash_blocks, lasting, scratch, written
 
 WINDOW = 1024
 #: Id that ends every document.
@@ -132,7 +132,7 @@ def place(pieces: DataFrame, window: int = WINDOW, per_block: int = PER_BLOCK) -
         by_length[length].append(run)
     plan = spark.sparkContext.broadcast({k: np.array(v, dtype=np.int64).T for k, v in by_length.items()})
 
-    tagged = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "start"), F.lit(blocks)).cast("int"))
+    tagged = pieces.withColumn("block", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(blocks)).cast("int"))
     before = Window.partitionBy("length").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = tagged.groupBy("length", "block").agg(F.count(F.lit(1)).alias("n")).select("length", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("ahead"))
     within = Window.partitionBy("length", "block").orderBy("doc_id", "start", "ids_crc32")
@@ -158,7 +158,8 @@ def pack(docs: DataFrame, path: str | None = None, window: int = WINDOW, per_blo
     """doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset of every piece.
 
     Each document is its ids and the end id; a null text is empty and is the end id alone. Rows with
-    a repeated doc_id are packed each for itself. An empty table gives no rows. Sequences are to be
-    padded to ``window``.
+    a repeated doc_id, or none, are packed each for itself. Whole texts are encoded, however long; other columns are not
+    looked at. An empty table gives no rows. Sequences are to be padded to ``window``.
     """
-    return place(written(cut_pieces(docs, path, window), "pieces"), window, per_block)
+    with scratch(docs.sparkSession):
+        return lasting(place(written(cut_pieces(docs, path, window), "pieces"), window, per_block), "packed")
