@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tierloom.llm.durable import written
+from tierloom.llm.durable import lasting, scratch, written
 
 PAIRS = 96
 FOLDS = 4
@@ -39,6 +39,8 @@ NAMES = (
     "line_words", "deflated", "ends_marked", "words_marked", "capital_words",
 )
 FEATURE_SCHEMA = "doc_id long, features array<double>"
+#: So many rejected texts, 16 bytes each, are broadcast; more are joined.
+BROADCAST_KEYS = 1_000_000
 _SYMBOLS, _MARKS = set(b"#$%&*+<=>@\\^_`{}~"), set(b"!?\"'()-/:;[]")
 
 
@@ -78,16 +80,18 @@ def text_statistics(text: str) -> list[float]:
     ]
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """doc_id and the statistics of every row; a null text counts as empty."""
+def features(docs: DataFrame, key: Column | None = None) -> DataFrame:
+    """doc_id and the statistics of every row, and a struct ``key`` if there is one; a null text counts as empty."""
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = np.array([text_statistics(x or "") for x in batch["text"].to_pylist()], dtype=np.float64).reshape(-1, len(NAMES))
             flat = pa.ListArray.from_arrays(np.arange(0, rows.size + 1, len(NAMES), dtype=np.int32), pa.array(rows.ravel()))
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], flat], ["doc_id", "features"])
+            held = [c for c in batch.schema.names if c != "text"]
+            yield pa.RecordBatch.from_arrays([*(batch[c] for c in held), flat], [*held, "features"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(measure, FEATURE_SCHEMA)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *([] if key is None else [key.alias("key")]), "text")
+    return rows.mapInArrow(measure, FEATURE_SCHEMA if key is None else "doc_id long, key struct<k0:bigint,k1:bigint>, features array<double>")
 
 
 @dataclass
@@ -201,27 +205,41 @@ def train(measured: DataFrame, labels: DataFrame) -> Model:
 def score_texts(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of ``docs``.
 
-    Null texts count as empty and get a score too; repeated rows get the same score; without any
-    labelled row all scores are 0.5. Only ``labels.quality`` is learned from.
+    Null texts count as empty and get a score too; whole texts are measured, however long; repeated rows
+    get the same score; labels that contradict each other count each. Without any labelled row all scores
+    are 0.5; an empty table gives no rows. Only ``labels.quality`` is learned from; other columns are not looked at.
     """
-    measured = written(features(docs), "features")
-    model = train(measured, labels)
+    with scratch(docs.sparkSession):
+        measured = written(features(docs), "features")
+        model = train(measured, labels)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(model.score(_matrix(batch)))], ["doc_id", "score"])
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(model.score(_matrix(batch)))], ["doc_id", "score"])
 
-    scored = measured.mapInArrow(score, "doc_id long, score double")
+        scored = lasting(measured.mapInArrow(score, "doc_id long, score double"), "scores")
     return scored.select("doc_id", is_held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of ``docs`` whose text scores ``threshold`` or more, with all columns, where they lie."""
-    model = train(written(features(docs), "features"), labels)
-
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        rows = np.array([text_statistics(x or "") for x in texts], dtype=np.float64).reshape(-1, len(NAMES))
-        return pd.Series(model.score(rows))
+    """The rows of ``docs`` whose text scores ``threshold`` or more, with all columns, where they lie.
 
-    return docs.filter(score(F.col("text")) >= threshold)
+    Nulls, ties, repeated rows and empty tables as in :func:`score_texts`; rows without an id are scored
+    by their text like others. Texts are measured once. A score hangs on the text alone, so rows leave by their text's two
+    64-bit hashes: up to ``BROADCAST_KEYS`` rejected texts (16 bytes each, counted first) are broadcast, more are joined.
+    """
+    keys = lambda: [F.xxhash64("text"), F.xxhash64(F.lit(1), "text")]
+    with scratch(docs.sparkSession):
+        text_key = F.struct(*(k.alias(f"k{i}") for i, k in enumerate(keys())))
+        measured = written(features(docs, text_key), "features")
+        model = train(measured.select("doc_id", "features"), labels)
+
+        def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                bad = pa.array(model.score(_matrix(batch)) < threshold)
+                yield pa.RecordBatch.from_arrays([batch["key"].field(i).filter(bad) for i in (0, 1)], ["__tierloom_k0", "__tierloom_k1"])
+
+        rejected = lasting(measured.select("key", "features").mapInArrow(judge, "__tierloom_k0 long, __tierloom_k1 long").distinct(), "rejected")
+    few = rejected.count() <= BROADCAST_KEYS
+    same = (keys()[0] == F.col("__tierloom_k0")) & (keys()[1] == F.col("__tierloom_k1"))
+    return docs.join(F.broadcast(rejected) if few else rejected, same, "left_anti")
