@@ -60,7 +60,7 @@ def test_odd_tables(spark, make_docs, prose, tmp_path):
 def test_names_and_sql_match(spark):
     names = __spark_entry__.queries()
     assert "pipeline" in names and corpus_pipeline.ORACLE_SQL is None
-    assert [n for k in range(1, 11) for n in names if n.startswith(f"op{k}_")] == list(registry.queries())
+    assert [n for k in range(1, 14) for n in names if n.startswith(f"op{k}_")] == list(registry.queries())
     assert set(__spark_entry__.oracle_sql()) <= set(names)
 
 
@@ -68,7 +68,7 @@ def test_names_and_sql_match(spark):
 def test_sql_agrees(spark, name):
     sf = "/root/testdata/sf0.001"
     con = duckdb.connect()
-    for table in ("documents", "pages"):
+    for table in ("documents", "pages", "labels"):
         con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{sf}/{table}.parquet'")
     ours = registry.queries()[name](spark, sf)
     theirs = con.execute(registry.oracle_sql()[name]).to_arrow_table().select(ours.columns).to_pylist()
