@@ -94,20 +94,29 @@ def masked_words(text: Column) -> Column:
     return letters(F.regexp_replace(t, rf"~?{NUMBER}", " § "))
 
 
-def _runs(words: Column, n: int, of) -> Column:
-    """``of`` each run of ``n`` words; none where there are fewer."""
-    found = F.transform(F.sequence(F.lit(1), F.greatest(F.size(words) - (n - 1), F.lit(1))), lambda i: of(F.slice(words, i, F.lit(n))))
-    return F.when(F.size(words) >= n, F.array_distinct(found))
+def _runs(words: Column, n: int, of, kind: str) -> Column:
+    """``of`` the place of each run of ``n`` words; none where there are fewer."""
+    found = F.transform(F.sequence(F.lit(0), F.greatest(F.size(words) - n, F.lit(0))), of)
+    return F.when(F.size(words) >= n, F.array_distinct(found)).otherwise(F.array().cast(f"array<{kind}>"))
 
 
 def word_runs(words: Column, n: int = 8) -> Column:
     """The distinct runs of ``n`` words."""
-    return _runs(words, n, lambda run: F.array_join(run, " "))
+    return _runs(words, n, lambda i: F.array_join(F.slice(words, i + 1, F.lit(n)), " "), "string")
 
 
-def word_run_hashes(words: Column, n: int = 8) -> Column:
-    """The distinct 64-bit hashes of runs of ``n`` words; no run is put together as text."""
-    return _runs(words, n, F.xxhash64)
+def word_hashes(words: Column) -> Column:
+    return F.transform(words, lambda w: F.xxhash64(w))
+
+
+def run_hash(hashes: Column, place, n: int = 8) -> Column:
+    """The 64-bit hash of the ``n`` words from a place on, from the words' hashes."""
+    return F.xxhash64(*(F.get(hashes, place + j) for j in range(n)))
+
+
+def word_run_hashes(hashes: Column, n: int = 8) -> Column:
+    """The distinct hashes of runs of ``n`` words; every word is hashed once and no run is put together as text."""
+    return _runs(hashes, n, lambda i: run_hash(hashes, i, n), "bigint")
 
 
 def first_letter_variant(text: Column) -> Column:

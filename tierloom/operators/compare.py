@@ -19,6 +19,20 @@ def positional_parity(left: DataFrame, right: DataFrame, keys: list[str], value:
 
 #: Hashes of so many runs (with their texts, up to about 100 MB) are broadcast; more are joined by a shuffle.
 BROADCAST_RUNS = 500_000
+#: Bits for each run of a bitmap that clears most hashes before that shuffle, in pieces of 4 KB, and how many pieces are broadcast at most.
+BITS_PER_RUN, PIECE_BITS, MOST_PIECES = 8, 32768, 16384
+
+
+def _possible(hashed: DataFrame, own: DataFrame, n_runs: int) -> DataFrame:
+    """The rows whose hash ``h`` may be among those of ``own``: looked up in a bitmap, which is broadcast."""
+    pieces = max(1, min(MOST_PIECES, -(-n_runs * BITS_PER_RUN // PIECE_BITS)))
+    piece = lambda h: F.pmod(h, F.lit(pieces))
+    bit = lambda h: F.pmod(F.xxhash64(h), F.lit(PIECE_BITS))
+    bits = own.select(piece(F.col("h")).alias("__piece"), bit(F.col("h")).alias("bit")).groupBy("__piece").agg(F.bitmap_construct_agg("bit").alias("__bits"))
+    held = hashed.withColumn("__piece", piece(F.col("h"))).join(F.broadcast(bits), "__piece").withColumn("__bit", bit(F.col("h")))
+    octet = F.conv(F.hex(F.substring("__bits", F.floor(F.col("__bit") / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    mask = F.element_at(F.array(*(F.lit(1 << k) for k in range(8))), F.pmod("__bit", F.lit(8)).cast("int") + 1)
+    return held.filter(octet.bitwiseAND(mask) != 0).drop("__piece", "__bits", "__bit")
 
 
 def shared_runs(docs: DataFrame, key: str, items: DataFrame, item_key: str, samples: int = 5) -> DataFrame:
@@ -29,14 +43,18 @@ def shared_runs(docs: DataFrame, key: str, items: DataFrame, item_key: str, samp
     """
     words = text.masked_words(F.col("text"))
     own = items.select(F.col(item_key).alias("__item"), words.alias("w")).select("__item", F.explode(text.word_runs(F.col("w"))).alias("run"))
-    own = own.select("__item", "run", F.xxhash64(F.split("run", " ")).alias("h"))
-    known = F.broadcast(own) if own.count() <= BROADCAST_RUNS else own
-    hashed = docs.select(F.col(key).alias("__key"), words.alias("w")).select("__key", F.explode(text.word_run_hashes(F.col("w"))).alias("h"))
-    met = hashed.join(known, "h").groupBy("__key", "__item").agg(F.collect_set("run").alias("runs"))
-    whole = F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))
-    there = met.join(docs.select(F.col(key).alias("__key"), "text"), "__key").withColumn("whole", whole)
-    held = there.withColumn("held", F.filter("runs", lambda r: F.contains("whole", F.concat(F.lit(" "), r, F.lit(" "))))).filter(F.size("held") > 0)
-    return held.select(F.col("__key").alias(key), F.col("__item").alias(item_key), F.size("held").cast("long").alias("n_shared"), F.slice(F.array_sort("held"), 1, samples).alias("samples"))
+    own = own.withColumn("hw", text.word_hashes(F.split("run", " "))).select("__item", "run", text.run_hash(F.col("hw"), 0).alias("h"))
+    worded = docs.select(F.col(key).alias("__key"), words.alias("w")).select("__key", text.word_hashes(F.col("w")).alias("hw"))
+    hashed = worded.select("__key", F.explode(text.word_run_hashes(F.col("hw"))).alias("h"))
+    n_runs = own.count()
+    met = hashed.join(F.broadcast(own), "h") if n_runs <= BROADCAST_RUNS else _possible(hashed, own, n_runs).join(own, "h")
+    runs = met.groupBy("__key", "__item").agg(F.collect_set("run").alias("runs"))
+    there = runs.join(docs.select(F.col(key).alias("__key"), "text"), "__key")
+    # as an array's one element the text is put together once, not once for each run
+    whole = F.array(F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" ")))
+    held = F.element_at(F.transform(whole, lambda t: F.filter("runs", lambda r: F.contains(t, F.concat(F.lit(" "), r, F.lit(" "))))), 1)
+    found = there.withColumn("held", held).filter(F.size("held") > 0)
+    return found.select(F.col("__key").alias(key), F.col("__item").alias(item_key), F.size("held").cast("long").alias("n_shared"), F.slice(F.array_sort("held"), 1, samples).alias("samples"))
 
 
 def recall_of(gold: DataFrame, predicted: DataFrame, group: list[str], item: str) -> DataFrame:
