@@ -163,8 +163,9 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     Texts travel to the slices of their centres: each wanted text once for each slice that it is in.
     """
     pairs = written(pairs, "pairs")
-    slices = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / PER_SLICE).cast("int").alias("slices"))
-    members = pairs.join(slices, "a").select("a", F.pmod(F.xxhash64("b"), F.col("slices")).cast("int").alias("slice"), F.col("b").alias("id"), F.lit(0).alias("is_centre"))
+    slices = written(pairs.groupBy("a").agg(F.count(F.lit(1)).alias("size")).withColumn("slices", F.ceil(F.col("size") / PER_SLICE).cast("int")), "centres")
+    n_pairs = slices.agg(F.sum("size")).first()[0] or 0
+    members = joined_where_hot(pairs, slices, "a", "size", n_pairs).select("a", F.pmod(F.xxhash64("b"), F.col("slices")).cast("int").alias("slice"), F.col("b").alias("id"), F.lit(0).alias("is_centre"))
     centres = slices.select("a", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), F.col("a").alias("id"), F.lit(1).alias("is_centre"))
     wanted = written(members.union(centres), "slices")
     ids = written(wanted.select("id").distinct(), "ids")
@@ -224,18 +225,21 @@ def _linked(signed: DataFrame, texts: DataFrame) -> DataFrame:
 
     keyed = classed.filter(first).select("rep", F.explode("bands").alias("key"))
     sizes = keyed.groupBy("key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
-    shared = written(keyed.join(sizes, "key"), "shared-keys")
+    n_keyed = reps.count() * BANDS
+    shared = written(joined_where_hot(keyed, sizes, "key", "size", n_keyed), "shared-keys")
     # the text that an edited group came from shares more keys with its copies than they do among themselves
     mass = shared.groupBy("rep").agg(F.sum("size").alias("mass"))
-    centres = shared.join(mass, "rep").groupBy("key").agg(F.max(F.struct("mass", (-F.col("rep")).alias("minus"))).alias("m")).select("key", (-F.col("m.minus")).alias("centre"))
-    members = written(shared.drop("size").join(centres, "key"), "members")
+    centres = shared.join(mass, "rep").groupBy("key").agg(F.max(F.struct("mass", (-F.col("rep")).alias("minus"))).alias("m"), F.first("size").alias("size"))
+    centres = written(centres.select("key", (-F.col("m.minus")).alias("centre"), "size"), "key-centres")
+    members = written(joined_where_hot(shared.drop("size"), centres, "key", "size", n_keyed), "members")
     stars = members.filter("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
     links = confirmed(_with_signatures(stars, classes), texts)
     roots = components(links)
 
-    own = members.join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", "centre", F.coalesce("root", "rep").alias("root"))
-    centre_roots = roots.select(F.col("node").alias("centre"), F.col("root").alias("centre_root"))
-    own = own.join(centre_roots, "centre", "left").withColumn("apart", F.col("root") != F.coalesce("centre_root", "centre")).drop("centre_root")
+    own = written(members.join(roots, F.col("rep") == F.col("node"), "left").select("key", "rep", "centre", "size", F.coalesce("root", "rep").alias("root")), "own")
+    # a key's centre is one of its members
+    heads = written(own.filter("rep = centre").groupBy("key").agg(F.first("root").alias("centre_root"), F.first("size").alias("size")), "heads")
+    own = joined_where_hot(own.drop("size"), heads, "key", "size", n_keyed).withColumn("apart", F.col("root") != F.col("centre_root")).drop("centre_root", "size")
     more = confirmed(_pairs_within(own, classes), texts)
     root_of = roots.select(F.col("node"), F.col("root"))
     at_roots = more.join(root_of.toDF("u", "ru"), "u", "left").join(root_of.toDF("v", "rv"), "v", "left").select(F.coalesce("ru", "u").alias("u"), F.coalesce("rv", "v").alias("v"))
