@@ -1,9 +1,11 @@
 import difflib
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from tierloom.functions import labels, spans, text
+from tierloom.functions import labels, matching, spans, text
+from tierloom.operators import edits
 
 
 def value(spark, column):
@@ -139,8 +141,41 @@ def test_weight_vocabulary_and_case(spark):
     assert lowered == "Já uma pequena minoria. A grande maioria! Para a maioria"
 
 
-def test_similarity_is_the_library_s(spark):
-    rows = [("a  b", "a b"), ("abcd", "bcde"), ("", ""), (None, "x"), ("uma frase longa que muda", "a frase longa mudou, sim")]
+def spread(n, seed, letters="abcdefgh XYZ.,"):
+    rng = random.Random(seed)
+    return "".join(rng.choice(letters) for _ in range(n))
+
+
+def edited(a, seed):
+    rng, b = random.Random(seed), list(a)
+    for _ in range(rng.randint(0, 10)):
+        k = rng.randint(0, len(b))
+        b[k : k + rng.randint(0, 6)] = spread(rng.randint(0, 4), k)
+    return "".join(b)
+
+
+def test_ratio_is_the_library_s():
+    """Short texts, and long ones whose frequent characters begin no block."""
+    for seed in range(400):
+        a = spread(seed * 3 % 600, seed, "ab" if seed % 3 == 0 else "abcdefgh XYZ.,")
+        b = spread(seed % 500, -seed) if seed % 7 == 0 else edited(a, seed)
+        assert matching.ratio(a, b) == difflib.SequenceMatcher(None, a, b).ratio(), (a, b)
+    assert matching.ratio("", "") == 1.0 and matching.ratio("", "a") == 0.0
+    long = " ".join(f"w{k * k % 7919}" for k in range(18000))
+    changed = long[:50000] + "!" + long[50003:90000] + " new words " + long[90000:]
+    assert len(long) > 90000 and matching.ratio(long, changed) == difflib.SequenceMatcher(None, long, changed).ratio()
+
+
+def test_similarity_and_its_bound(spark):
+    rows = [("a  b", "a b"), ("abcd", "bcde"), ("", ""), (None, "x"), ("uma frase longa que muda", "a frase longa mudou, sim"), ("\u2003a\x1fb\xa0\x85", " a b"), ("same", "same")]
+    rows += [(x := spread(300, k), edited(x, k)) for k in range(40)] + [("ab" * 90, "ba" * 90)]
     plain = lambda x: " ".join((x or "").split())
-    found = spark.createDataFrame(rows, "a string, b string").select("a", "b", spans.similarity("a", "b").alias("s")).collect()
-    assert [r.s for r in found] == [difflib.SequenceMatcher(None, plain(r.a), plain(r.b)).ratio() for r in found]
+    told = spark.createDataFrame(rows, "a string, b string")
+    ratios = lambda r: difflib.SequenceMatcher(None, plain(r.a), plain(r.b)).ratio()
+    for r in edits.with_similarity(told, "a", "b").collect():
+        assert r.similarity == ratios(r) and r.bound >= r.similarity - 1e-12
+    few = edits.with_similarity(told, "a", "b", F.col("a") != "same", 0.97).collect()
+    for r in few:
+        assert (r.similarity is None) == (r.bound < 0.97 or r.a in (None, "same")) and (r.similarity is not None or ratios(r) < 0.97 or r.a == "same")
+        assert r.similarity in (None, ratios(r))
+    assert any(r.similarity is None for r in few) and any(r.similarity for r in few)

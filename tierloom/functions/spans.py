@@ -7,13 +7,10 @@ each group, from its anchor to the next one.
 
 from __future__ import annotations
 
-import difflib
 import re
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from tierloom.functions import labels
 from tierloom.functions.text import ATTRIBUTIONS, PLAIN_WEIGHTS, SENTENCE, WRONG_NOUNS, guarded_percent_at, stripped
@@ -117,10 +114,3 @@ def labels_lowered(text: Column) -> Column:
     for label, _, _ in labels.WEIGHT_BANDS:
         text = F.regexp_replace(text, rf"(?U)(?<=[^.!?\s]\s{{0,99}})\b{label[0].upper()}{label[1:]}\b", label)
     return text
-
-
-@F.pandas_udf(DoubleType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratio of matching characters of two texts whose white space is normalised; no column function has it."""
-    plain = lambda x: " ".join((x or "").split())
-    return pd.Series([difflib.SequenceMatcher(None, plain(x), plain(y)).ratio() for x, y in zip(a, b, strict=True)])

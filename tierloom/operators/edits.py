@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tierloom import config
-from tierloom.functions import labels, spans, text
+from tierloom.functions import labels, matching, spans, text
 
 
 def protected_spans(source: Column, shares: list[Column]) -> Column:
@@ -15,7 +15,7 @@ def protected_spans(source: Column, shares: list[Column]) -> Column:
     wanted = F.array().cast("array<string>")
     for share in shares:
         tail = F.concat(F.lit(" das notas (~"), share.cast("string"), F.lit("%)"))
-        wanted = F.concat(wanted, F.coalesce(F.transform(labels.labels_up_to(share), lambda x: F.concat(x, tail)), F.array().cast("array<string>")))  # noqa: B023
+        wanted = F.concat(wanted, F.array(labels.weight_phrase(share)), F.coalesce(F.transform(labels.labels_up_to(share), lambda x: F.concat(x, tail)), F.array().cast("array<string>")))  # noqa: B023
     found = F.filter(F.concat(wanted, F.transform(F.regexp_extract_all(source, F.lit(rf"~?{text.NUMBER}"), F.lit(0)), text.stripped)), lambda x: x != "")
     own = F.transform(found, lambda x: F.when(F.contains(source, x), x).when(F.instr(low, F.lower(x)) > 0, F.substring(source, F.instr(low, F.lower(x)), F.length(x))))
     kept = F.array_distinct(F.filter(own, lambda x: F.contains(source, x) & (x != "")))
@@ -76,18 +76,35 @@ def edit_checks(edits: DataFrame, shares: dict[str, str] | None = None) -> DataF
     )
 
 
+def with_similarity(rows: DataFrame, raw: str, edited: str, wanted: Column | None = None, least: float | None = None) -> DataFrame:
+    """Adds bound and similarity of two texts whose white space is made even.
+
+    No ratio passes its bound, which is columns only. Where ``least`` is given, rows whose bound lies below it have
+    no similarity, nor have rows that are not ``wanted``; their texts do not travel to Python.
+    """
+    even = rows.withColumn("__a", matching.even_spaces(F.col(raw))).withColumn("__b", matching.even_spaces(F.col(edited)))
+    bounded = even.withColumn("bound", matching.ratio_bound(F.col("__a"), F.col("__b")))
+    opens = F.lit(True) if wanted is None else wanted
+    if least is not None:
+        opens = opens & (F.col("bound") >= least)
+    asked = bounded.withColumn("__open", F.coalesce(opens, F.lit(False))).withColumn("__a", F.when(F.col("__open"), F.col("__a"))).withColumn("__b", F.when(F.col("__open"), F.col("__b")))
+    return asked.withColumn("similarity", matching.exact_ratio("__a", "__b")).drop("__a", "__b", "__open")
+
+
 def edit_verdicts(edits: DataFrame, shares: dict[str, str] | None = None) -> DataFrame:
-    """``edit_checks`` with similarity and verdict.
+    """``edit_checks`` with verdict, and with bound and similarity, which is null where the verdict does not need it.
 
     The first fault counts: wrapped format, lost spans, changed numbers, a regression of honesty, and last an edit
     that changes nothing.
     """
-    measured = edit_checks(edits, shares).withColumn("similarity", spans.similarity("raw", "edited"))
-    verdict = (
+    fault = (
         F.when(F.col("wrapped"), "formato_invalido").when(F.col("n_lost") > 0, "protegidos_perdidos").when(~F.col("numbers_kept"), "numeros_alterados")
-        .when(F.size("regressions") > 0, "regressao").when(F.col("similarity") >= config.NULL_EDIT_SIMILARITY, "edicao_nula").otherwise("aceita")
+        .when(F.size("regressions") > 0, "regressao")
     )
-    return measured.withColumn("verdict", verdict)
+    known = edit_checks(edits, shares).withColumn("__fault", fault)
+    measured = with_similarity(known, "raw", "edited", F.col("__fault").isNull(), config.NULL_EDIT_SIMILARITY)
+    null_edit = F.coalesce(F.col("similarity") >= config.NULL_EDIT_SIMILARITY, F.lit(False))
+    return measured.withColumn("verdict", F.coalesce("__fault", F.when(null_edit, "edicao_nula").otherwise("aceita"))).drop("__fault")
 
 
 def weights_anchored(prose: Column, shares: list[Column]) -> Column:

@@ -248,3 +248,12 @@ def film_records(details: DataFrame) -> DataFrame:
         F.when(swapped, english).otherwise(own).alias("director"), swapped.alias("transliterated"), F.when(empty, F.coalesce("overview_en", F.lit(""))).otherwise(F.col("overview")).alias("synopsis"),
         empty.alias("fallback"), year.alias("year"),
     )
+
+
+#: Where a film's page tells its year, the surer place first (fixed values).
+YEAR_PLACES = (r"/films/year/(\d{4})/", r'og:title"\s+content="[^"]*\((\d{4})\)')
+
+
+def page_year(page: Column) -> Column:
+    """The year that a film's page tells; null without one."""
+    return text.first_match(page, list(YEAR_PLACES)).cast("int")

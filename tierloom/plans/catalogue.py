@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tierloom import config
-from tierloom.functions import labels, spans, text
+from tierloom.functions import labels, matching, spans, text
 from tierloom.operators import calls, collect, compare, distribution, edits, records, themes
 from tierloom.plans import sql
 from tierloom.sources import html, tables
@@ -352,7 +352,28 @@ def edit_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def edit_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """No SQL has this ratio; the tests hold it against the standard library."""
-    return _edits(spark, sf_dir).select("edit_id", "raw", "edited", spans.similarity("raw", "edited").alias("similarity"))
+    return edits.with_similarity(_edits(spark, sf_dir), "raw", "edited").select("edit_id", "raw", "edited", "similarity")
+
+
+def _even(x: str) -> str:
+    return rf"trim(regexp_replace({x}, '[\x09-\x0d\x1c-\x20\x{{85}}\p{{Z}}]+', ' ', 'g'), ' ')"
+
+
+def _bound_sql(a: str, b: str) -> str:
+    count = lambda x, c: f"(length({x}) - length(replace({x}, '{c}', '')))"
+    alike = " + ".join(f"least({count(a, c)}, {count(b, c)})" for c in matching.COUNTED)
+    rest = lambda x: f"length({x}) - " + " - ".join(count(x, c) for c in matching.COUNTED)
+    return f"CASE WHEN length({a}) + length({b}) = 0 THEN 1.0 ELSE CAST(2 * ({alike} + least({rest(a)}, {rest(b)})) AS DOUBLE) / (length({a}) + length({b})) END"
+
+
+@query(f"""WITH t AS (SELECT conv_id || ':' || turn AS edit_id, text AS raw, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS edited FROM conversations),
+e AS (SELECT edit_id, {_even("raw")} AS a, {_even("edited")} AS b FROM t WHERE raw IS NOT NULL AND edited IS NOT NULL)
+SELECT edit_id, round({_bound_sql("a", "b")}, 9) AS bound, {_bound_sql("a", "b")} >= {config.NULL_EDIT_SIMILARITY} AS open FROM e""")
+def similarity_bound(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the ratio of an edit and its text cannot pass, and whether it may still be a null edit."""
+    even = _edits(spark, sf_dir).select("edit_id", matching.even_spaces(F.col("raw")).alias("a"), matching.even_spaces(F.col("edited")).alias("b"))
+    bound = even.select("edit_id", matching.ratio_bound(F.col("a"), F.col("b")).alias("bound"))
+    return bound.select("edit_id", F.round("bound", 9).alias("bound"), (F.col("bound") >= config.NULL_EDIT_SIMILARITY).alias("open"))
 
 
 _NAMES = {"negativas": "neg", "medianas": "med", "positivas": "pos"}
@@ -445,9 +466,33 @@ def edit_verdict(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edits.edit_verdicts(rows, _NAMES).select("film", F.size("protected").alias("n_protected"), "n_lost", "numbers_kept", F.array_join("regressions", ",").alias("regressions"), "verdict")
 
 
+@query(f"""WITH {_PROSE}, wanted AS (SELECT film, text, {sql.protected_in_order("text", _NAMES.values())} AS w FROM prose),
+c AS (SELECT film, text, unnest(w) AS c, unnest(range(len(w))) AS i FROM wanted),
+found AS (SELECT film, i, CASE WHEN contains(text, c) THEN c WHEN instr(lower(text), lower(c)) > 0 THEN substring(text, instr(lower(text), lower(c)), length(c)) END AS span FROM c WHERE c <> ''),
+one AS (SELECT film, span, min(i) AS i FROM found WHERE span <> '' GROUP BY film, span)
+SELECT film, coalesce(string_agg(span, '|' ORDER BY length(span) DESC, i), '') AS spans FROM prose LEFT JOIN one USING (film) GROUP BY film""")
+def protected_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans that an edit must keep, longest first, equally long ones by their first place among the candidates."""
+    spans_of = edits.protected_spans(F.col("text"), [F.col(x) for x in _NAMES.values()])
+    return _prose(spark, sf_dir).select("film", F.array_join(spans_of, "|").alias("spans"))
+
+
 # pages, urls and events
 
 
+@query(r"""WITH y AS (SELECT page_id, CASE WHEN page_id % 3 = 0 THEN html || '<a href="/films/year/' || (1950 + page_id % 70) || '/">y</a>' WHEN page_id % 3 = 1
+  THEN replace(html, '<head>', '<head><meta property="og:title" content="F ' || page_id || ' (' || (1900 + page_id % 120) || ')">') ELSE html END AS html FROM pages),
+m AS (SELECT page_id, nullif(regexp_extract(html, '/films/year/(\d{4})/', 1), '') AS a, nullif(regexp_extract(html, 'og:title"\s+content="[^"]*\((\d{4})\)', 1), '') AS b FROM y)
+SELECT page_id, CAST(coalesce(a, b) AS INTEGER) AS year FROM m""")
+def page_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages, a third with a link to a year's films and a third with a year in their title, and the year that they tell."""
+    html_col, n = F.col("html"), F.col("page_id")
+    link = F.concat(html_col, F.lit('<a href="/films/year/'), (1950 + n % 70).cast("string"), F.lit('/">y</a>'))
+    titled = F.replace(html_col, F.lit("<head>"), F.concat(F.lit('<head><meta property="og:title" content="F '), n.cast("string"), F.lit(" ("), (1900 + n % 120).cast("string"), F.lit(')">')))
+    page = F.when(n % 3 == 0, link).when(n % 3 == 1, titled).otherwise(html_col)
+    return tables.table(spark, sf_dir, "pages").select("page_id", records.page_year(page).alias("year"))
+
+
 @query(r"""SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, regexp_extract(html, '<html lang="([a-z]+)"', 1) AS lang,
   len(regexp_extract_all(html, '<p[ >]')) AS n_paragraphs, len(regexp_extract_all(html, '<a href="')) AS n_links FROM pages""")
 def html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

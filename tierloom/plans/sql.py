@@ -190,6 +190,17 @@ def other_case(x: str) -> str:
     return rf"CASE WHEN NOT regexp_matches({head}, '\p{{L}}') THEN {x} WHEN {head} = upper({head}) THEN lower({head}) || substring({x}, 2) ELSE upper({head}) || substring({x}, 2) END"
 
 
+def protected_in_order(x: str, shares) -> str:
+    """The candidates for protected spans in the order in which they are tried."""
+    phrase = lambda s: f"{band(s, labels.WEIGHT_BANDS)} || ' das notas (~' || {s} || '%)'"
+    told = [f"list_concat([{phrase(s)}], list_transform({labels_up_to(s)}, lambda r: r || ' das notas (~' || {s} || '%)'))" for s in shares]
+    tokens = f"list_transform(regexp_extract_all({x}, '~?{text.NUMBER}'), lambda r: {stripped('r')})"
+    wanted = told[0]
+    for one in (*told[1:], tokens):
+        wanted = f"list_concat({wanted}, {one})"
+    return wanted
+
+
 def protected(x: str, shares) -> str:
     """Weight phrases and numbers as the text has them, each once."""
     told = [f"list_transform({labels_up_to(s)}, lambda r: r || ' das notas (~' || {s} || '%)')" for s in shares]
