@@ -243,6 +243,39 @@ def test_runs_find_wrapped_notices_and_no_neighbours(make_docs, prose):
         assert r.score == 1.0 or r.doc_id is None or r.doc_id >= 3 * len(license_join.TEMPLATES)
 
 
+DENSE = "licensed under the apache license version 2 0 mit "
+
+
+@pytest.mark.parametrize("size", [100_000, 1_000_000])
+def test_long_texts_dense_in_template_words(make_docs, size):
+    times = size // len(DENSE)
+    r = license_join.scan_licenses(make_docs([DENSE * times, "x"])).filter("doc_id = 0").first()
+    one = plain_scan(DENSE * 20)
+    assert (r.n_words, r.n_base, r.first_word, r.last_word) == (9 * times, times, 3, 9 * (times - 1) + 3)
+    assert (r.base_labels, r.labels, r.score) == one[4:]
+
+
+def test_dense_and_scattered_words(make_docs):
+    """Texts of few words in every order, so that runs overlap, miss a word or have one of them from the next notice."""
+    rng = np.random.default_rng(5)
+    words = "licensed under the apache license version 2 0 x released mit cc by nc 4 this work is gnu general public 3".split()
+    texts = [" ".join(words[k] for k in rng.integers(0, len(words) - (n % 3) * 6, 30 + n)) for n in range(150)]
+    texts += [" ".join(x for w in t.split() for x in [w, *(["y"] * int(rng.integers(0, 2)))]) for t in (license_join.TEMPLATES[2][1] * 3, license_join.TEMPLATES[0][1] * 3) for _ in range(40)]
+    for r in license_join.scan_licenses(make_docs(texts)).collect():
+        assert (r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) == plain_scan(texts[r.doc_id]), texts[r.doc_id]
+
+
+def test_templates_of_a_table(spark, make_docs):
+    schema = "label string, notice string, telling array<array<string>>"
+    rows = [("zlib", "This software is provided as-is, without any express or implied warranty.", [["as is"], ["express or implied", "implied warranty"]]), ("bare", "One two three", None), (None, "lost", None), ("empty", "!", None)]
+    templates, telling = license_join.template_table(spark.createDataFrame(rows + rows[:1], schema))
+    texts = ["x this SOFTWARE is provided as is, without any express or\nimplied warranty", "this software is provided without any express or implied warranty", "one two  three", "Released under the MIT License.", None]
+    found = license_join.scan_licenses(make_docs(texts), templates, telling=telling).collect()
+    assert {r.doc_id: (r.labels, r.score) for r in found} == {0: ("zlib", 1.0), 1: ("", 0.0), 2: ("bare", 1.0), 3: ("mit", 0.0), 4: ("", 0.0)}
+    with pytest.raises(ValueError):
+        license_join.template_table(spark.createDataFrame([("a", "b c", None), ("a", "b d", None)], schema))
+
+
 def test_query_takes_runs(spark, make_docs, tmp_path):
     make_docs(["Released under the\nMIT License.", "Licensed under CC BY 4.0"]).write.parquet(f"{tmp_path}/documents.parquet")
     found = registry.queries()["op9_license_scan"](spark, str(tmp_path)).collect()

@@ -2,7 +2,7 @@
 
 A text is read once: its words are counted, the places of the phrases found, and the places kept of words that
 templates or their telling phrases have. All else works on those places. A block is a run of consecutive words across
-line breaks, one for every start, as long as the template and a few words more; it meets a template when it holds at
+line breaks, from any of those places on, as long as the template and a few words more; it meets a template when it holds at
 least ``CONTAINMENT`` of the template's distinct words and one telling phrase of each of its groups, so that notices of
 neighbouring licences do not pass.
 
@@ -13,8 +13,8 @@ fewer of those). Runs with fewer than ``needed`` such words are dropped by lengt
 can only give ``min(i, j) + 1 + min(words after i, words after j)`` common words, which drops more. What is
 left is counted on the full sets.
 
-Everything here is DataFrame functions; the templates are constants of this module, so what is
-broadcast has a fixed size.
+Everything here is DataFrame functions. Templates are the constants of this module, or a table's (:func:`template_table`) of
+bounded size, so what is broadcast does not grow with the corpus.
 """
 
 from __future__ import annotations
@@ -32,6 +32,7 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 CONTAINMENT = 0.8
 
 PHRASES = (("gnu general public license", "gpl"), ("apache license", "apache"), ("cc by", "cc-by"), ("mit license", "mit"))
+MOST_TEMPLATES = 1000
 #: Label and notice.
 TEMPLATES = (
     ("gpl-3.0-notice", "This work is licensed under the GNU General Public License, version 3."),
@@ -116,6 +117,23 @@ def run_length(notice: str) -> int:
     return n + max(3, n // 4)
 
 
+def template_table(rows: DataFrame) -> tuple[tuple[tuple[str, str], ...], dict[str, tuple[tuple[str, ...], ...]]]:
+    """Templates and telling phrases of a table: label, notice, telling (lists of phrases, one of each list is needed; may be null).
+
+    Templates are broadcast with every row's places, so a table of more than ``MOST_TEMPLATES`` rows is refused. Rows without
+    a label or without words in their notice are left out; of rows with one label and notice one counts.
+    """
+    held = rows.select("label", "notice", "telling").filter("label IS NOT NULL").limit(MOST_TEMPLATES + 1).collect()
+    if len(held) > MOST_TEMPLATES:
+        raise ValueError(f"more than {MOST_TEMPLATES} templates")
+    held = sorted({(r["label"], r["notice"], tuple(tuple(g) for g in r["telling"] or ())) for r in held if word_set(r["notice"] or "")})
+    if len({label for label, *_ in held}) < len(held):
+        raise ValueError("a label has several notices")
+    bare = lambda phrase: " ".join(w for w in re.split(NOT_WORD, phrase.lower()) if w)
+    told = {label: tuple(tuple(bare(p) for p in group) for group in groups) for label, _, groups in held if groups}
+    return tuple((label, notice) for label, notice, _ in held), told
+
+
 def _index(counts: dict[str, int], templates, containment: float, telling) -> list[tuple]:
     """A row for each word and template by which they meet: word, i (its place in the template's order), label, and the template."""
     rows = []
@@ -125,37 +143,48 @@ def _index(counts: dict[str, int], templates, containment: float, telling) -> li
         need = needed(len(words), containment)
         prefix = {w: i for i, w in enumerate(words[: len(words) - need + 1])}
         # a run that passes holds one word at least of every such list
-        lists = [list(prefix), *(list({min(p.split(), key=order) for p in group}) for group in groups)]
+        lists = [list(prefix), *(sorted({min(p.split(), key=order) for p in group}) for group in groups)]
         anchors = min(lists, key=lambda ws: sum(counts[w] for w in ws))
-        told = [[p.split() for p in group] for group in groups]
-        rows += [(w, words.index(w) if w in words else None, label, words, len(words), need, run_length(notice), told) for w in anchors]
+        rows += [(w, words.index(w) if w in words else None, label, words, len(words), need, run_length(notice), anchors, [list(group) for group in groups]) for w in anchors]
     return rows
 
 
 def matching_runs(scanned: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT, telling=None) -> DataFrame:
-    """Every run that meets a template: row, block (its first word), label, common, size, containment; ``scanned``: row and hits."""
+    """Runs that meet a template: row, block (its first word), label, common, size, containment; ``scanned``: row and hits.
+
+    Runs start at words that are looked for: a run that starts elsewhere holds no more than the one from its first
+    such word on. Each is judged once, at the first word in it by which it meets the template, and every step looks at no more
+    places than a run has words, so the work grows with the places and not with a text's length times them.
+    """
     spark, telling = scanned.sparkSession, TELLING if telling is None else telling
     universe = template_words(templates, telling)
     found = scanned.select(F.explode("hits.word").alias("word")).groupBy("word").count().collect()  # no more rows than the universe has words
     counts = dict.fromkeys(universe, 0) | {r["word"]: r["count"] for r in found}
-    schema = "word string, i int, label string, words array<string>, size int, need int, length int, told array<array<array<string>>>"
-    index = spark.createDataFrame(_index(counts, templates, containment, telling), schema)
-
-    places = scanned.select("row", "hits", F.explode("hits").alias("h")).select("row", "hits", F.col("h.at").alias("at"), F.col("h.word").alias("word"))
-    first = F.greatest(F.col("at") - F.col("length") + 1, F.lit(0))
-    around = places.join(F.broadcast(index), "word").withColumn("first", first).withColumn("near", F.filter("hits", lambda h: (h["at"] >= F.col("first")) & (h["at"] < F.col("at") + F.col("length")))).drop("hits")
-    starts = around.select("*", F.explode(F.sequence("first", "at")).alias("block"))
-    runs = starts.withColumn("run", F.filter("near", lambda h: (h["at"] >= F.col("block")) & (h["at"] < F.col("block") + F.col("length"))))
+    rows = _index(counts, templates, containment, telling)
+    index = spark.createDataFrame(rows, "word string, i int, label string, words array<string>, size int, need int, length int, anchors array<string>, told array<array<string>>")
+    reach = max((r[6] for r in rows), default=1)
+
+    places = scanned.select("row", "hits", F.posexplode("hits").alias("k", "h")).filter(F.col("h.word").isin(sorted({r[0] for r in rows})))
+    # hits stand in order and apart, so what lies within a run's reach are as many neighbours at most
+    around = F.slice("hits", F.greatest(F.col("k") - reach + 2, F.lit(1)), F.lit(2 * reach))
+    met = places.select("row", F.col("h.at").alias("at"), F.col("h.word").alias("word"), around.alias("around")).join(F.broadcast(index), "word")
+    earlier = F.array_max(F.transform(F.filter("around", lambda h: (h["at"] < F.col("at")) & F.array_contains("anchors", h["word"])), lambda h: h["at"]))
+    least = F.greatest(F.col("at") - F.col("length"), F.coalesce(earlier, F.lit(-1)))
+    firsts = F.transform(F.filter("around", lambda h: (h["at"] <= F.col("at")) & (h["at"] > F.col("least"))), lambda h: h["at"])
+    starts = met.withColumn("least", least).select("*", F.explode(firsts).alias("block"))
+    runs = starts.withColumn("run", F.filter("around", lambda h: (h["at"] >= F.col("block")) & (h["at"] < F.col("block") + F.col("length")))).drop("around", "least", "anchors")
     # the template's words that the run has, in the template's order
     has = F.array_intersect("words", F.transform("run", lambda h: h["word"]))
     j = F.array_position("has", F.col("word")) - 1
     upper = F.when(F.col("i").isNull(), F.size("has")).otherwise(F.least("i", j) + 1 + F.least(F.col("size") - F.col("i") - 1, F.size("has") - j - 1))
-    keyed = lambda at, word: F.concat(at.cast("string"), F.lit(":"), word)
-    spoken = F.transform("run", lambda h: keyed(h["at"], h["word"]))
-    says = lambda phrase: F.exists("run", lambda h: F.forall(F.transform(phrase, lambda w, k: keyed(h["at"] + k, w)), lambda x: F.array_contains(F.col("spoken"), x)))
-    met = runs.filter(F.size("run") >= F.col("need")).withColumn("has", has).filter((F.size("has") >= F.col("need")) & (upper >= F.col("need"))).withColumn("spoken", spoken)
-    told = met.filter(F.forall("told", lambda group: F.exists(group, says)))
-    return told.select("row", "block", "label", F.size("has").alias("common"), "size", (F.size("has") / F.col("size")).alias("containment")).distinct()
+    passed = runs.filter(F.size("run") >= F.col("need")).withColumn("has", has).filter((F.size("has") >= F.col("need")) & (upper >= F.col("need")))
+    # the run's words, with a bar where other words stand between them
+    apart = lambda h, n: F.when((n > 0) & (F.get("run", n - 1)["at"] + 1 < h["at"]), F.concat(F.lit("| "), h["word"])).otherwise(h["word"])
+    said = passed.withColumn("said", F.concat(F.lit(" "), F.array_join(F.transform("run", apart), " "), F.lit(" ")))
+    says = lambda x: F.forall("told", lambda group: F.exists(group, lambda p: F.contains(x, F.concat(F.lit(" "), p, F.lit(" ")))))
+    # as an array's one element the words are put together once, not once for each phrase
+    told = said.filter(F.exists(F.array("said"), says))
+    return told.select("row", "block", "label", F.size("has").alias("common"), "size", (F.size("has") / F.col("size")).alias("containment"))
 
 
 def scan_licenses(docs: DataFrame, templates=TEMPLATES, containment: float = CONTAINMENT, telling=None) -> DataFrame:
