@@ -2,7 +2,7 @@ import duckdb
 import pytest
 
 import __spark_entry__
-from tierloom.plans import catalogue, more  # noqa: F401  the second adds queries to the first
+from tierloom.plans import catalogue, more, wider  # noqa: F401  the others add queries to the first
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

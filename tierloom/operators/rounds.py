@@ -1,12 +1,12 @@
 """Calls of a model in rounds: rows whose reply fails a check are asked again, a bounded number of times.
 
-Checks are columns, so only the calls themselves run in Python. Each round ends with a checkpoint: a
-call is made once, whatever is done with the result and whichever executor is lost afterwards.
+Checks are columns, so only the calls themselves run in Python. Each round ends with a checkpoint:
+whatever is done with the result and whichever executor is lost afterwards, no call is made again. A task that fails before
+its round's checkpoint is retried, and its calls with it.
 """
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 from functools import reduce
 
@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tierloom.functions import text
+from tierloom.sources.shared import shared_dir
 
 Model = Callable[[str, str], str]
 Check = Callable[[DataFrame], DataFrame]
@@ -26,12 +27,7 @@ def settled(df: DataFrame) -> DataFrame:
     """``df`` computed once and kept in the shared folder named in spark.checkpoint.dir."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        named = spark.conf.get("spark.checkpoint.dir", None)
-        if not named:
-            if spark.sparkContext.master.split("[")[0] != "local":
-                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-            named = tempfile.mkdtemp(prefix="tierloom-")
-        spark.sparkContext.setCheckpointDir(named)
+        spark.sparkContext.setCheckpointDir(shared_dir(spark))
     return df.checkpoint()
 
 
