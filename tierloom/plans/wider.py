@@ -1,14 +1,14 @@
-"""Queries of joins in time, many expressions, word lists, sketches, kept tables and observed counters."""
+"""Queries of joins in time, many expressions, word lists, sketches, kept tables, observed counters, and the sources and sinks."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierloom.operators import asof, expressions, languages, observed, records, sketches
-from tierloom.plans import sql
-from tierloom.plans.catalogue import query
-from tierloom.sources import tables
+from tierloom.operators import asof, collect, expressions, languages, observed, records, sketches
+from tierloom.plans import more, sql
+from tierloom.plans.catalogue import ORACLES, query
+from tierloom.sources import films, pages, tables
 from tierloom.sources.shared import fresh_path, upsert
 
 _ACTOR, _HOUR = "CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id END", "date_trunc('hour', ts)"
@@ -98,3 +98,22 @@ def observed_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "requests")
     found = observed.write_with_counters(told, lambda rows: rows.write.mode("overwrite").parquet(path), "origins", **observed.origin_counters())
     return spark.createDataFrame([(found["n_network"], found["n_cache"])], "n_network long, n_cache long")
+
+
+@query(f"WITH {sql.PAGES} SELECT film, level, page, n_rows, n_first, n_valid, kept FROM pages_read WHERE film IN ('de', 'en')")
+def scanned_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of two films read through the page source, which opens their levels alone and leaves out later pages."""
+    path = fresh_path(spark, "pages")
+    tables.reviews(spark, sf_dir).write.mode("overwrite").partitionBy("film", "level").parquet(path)
+    pages.register(spark)
+    stored = spark.read.format("review_pages").load(path)
+    return collect.read_pages(collect.seen_marked(stored.filter("film IN ('de', 'en')")))
+
+
+@query(ORACLES["film_document"])
+def film_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested documents written as a file for each film and read back."""
+    path = fresh_path(spark, "films")
+    documents = more._documents(spark, sf_dir)
+    films.write_films(documents, path)
+    return more._flat(films.read_films(spark, path, documents.schema))
