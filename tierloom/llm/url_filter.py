@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tierloom.llm.durable import hash_blocks, written
+from tierloom.llm.durable import hash_blocks, joined_where_hot, lasting, scratch, written
 
 PER_SHARD = 50_000
 BROADCAST_BYTES = 64 << 20
@@ -135,12 +135,18 @@ def with_membership(df: DataFrame, key: str, listed: DataFrame, name: str, per_s
     Rows are not joined with it: the corpus's distinct keys and the list are put together and grouped, and the cascade is built
     from that. A null key counts as the empty one. Extra columns of ``df`` pass through.
     """
+    with scratch(df.sparkSession):
+        return _with_membership(df, key, listed, name, per_shard, broadcast_bytes)
+
+
+def _with_membership(df: DataFrame, key: str, listed: DataFrame, name: str, per_shard: int, broadcast_bytes: int) -> DataFrame:
     spark = df.sparkSession
     keyed = df.withColumn(key, F.coalesce(F.col(key), F.lit("")))
     both = keyed.select(key, F.lit(True).alias("here"), F.lit(False).alias("listed")).unionByName(listed.filter(F.col(key).isNotNull()).select(key, F.lit(False).alias("here"), F.lit(True).alias("listed")))
-    found = both.groupBy(key).agg(F.bool_or("here").alias("here"), F.bool_or("listed").alias("listed")).filter("here")
-    universe = written(found.select(key, *_key_hashes(F.col(key)), "listed"), "url-universe")
-    shards = hash_blocks(universe.count(), per_shard)
+    found = both.groupBy(key).agg(F.count_if("here").alias("n"), F.bool_or("listed").alias("listed")).filter("n > 0")
+    universe = written(found.select(key, *_key_hashes(F.col(key)), "listed", "n"), "url-universe")
+    n_keys, n_rows = universe.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    shards = hash_blocks(n_keys, per_shard)
     shard = F.pmod(F.col("h1"), F.lit(shards)).cast("int")
     cascades = written(universe.withColumn("shard", shard).groupBy("shard").applyInArrow(_build_shard, CASCADE_SCHEMA), "url-cascade")
     if (cascades.agg(F.sum(F.length("bits"))).first()[0] or 0) <= broadcast_bytes:
@@ -158,11 +164,11 @@ def with_membership(df: DataFrame, key: str, listed: DataFrame, name: str, per_s
     def probe_shard(keys: pa.Table, cascade: pa.Table) -> pa.Table:
         h1, h2 = (keys[c].to_numpy().astype(np.int64).view(np.uint64) for c in ("h1", "h2"))
         levels = _levels(*(cascade[c][0].as_py() for c in ("sizes", "probes", "bits"))) if cascade.num_rows else []
-        return pa.table({key: keys[key], name: pa.array(is_listed(levels, h1, h2), pa.bool_())})
+        return pa.table({key: keys[key], "__n": keys["n"], name: pa.array(is_listed(levels, h1, h2), pa.bool_())})
 
     asked = universe.withColumn("shard", shard).groupBy("shard")
-    answers = asked.cogroup(cascades.groupBy("shard")).applyInArrow(probe_shard, f"`{key}` string, `{name}` boolean")
-    return keyed.join(answers, key)
+    answers = lasting(asked.cogroup(cascades.groupBy("shard")).applyInArrow(probe_shard, f"`{key}` string, `__n` long, `{name}` boolean"), "url-answers")
+    return joined_where_hot(keyed, answers, key, "__n", n_rows).drop("__n")
 
 
 def judge_urls(pages: DataFrame, listed: DataFrame, rules=RULES, per_shard: int = PER_SHARD, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
