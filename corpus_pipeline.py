@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tierloom.llm import exact_dedup, minhash, packing, quality
-from tierloom.llm.durable import written
+from tierloom.llm.durable import drop_table, scratch, write_table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,8 +48,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages, in order, over the documents of ``sf_dir``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), f"pipeline-{name}")
-    return STAGES[-1][1](spark, docs, sf_dir)
+    """The stages, in order, over the documents of ``sf_dir``.
+
+    Each stage's tables go once its output is written, and that output once the next stage's is; the last stage's
+    result goes when the driver ends.
+    """
+    docs, path = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES:
+        with scratch(spark):
+            found, found_path = write_table(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        if path is not None:
+            drop_table(spark, path)
+        docs, path = found, found_path
+    return docs
