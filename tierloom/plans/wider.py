@@ -10,6 +10,7 @@ from tierloom.plans import more, sql
 from tierloom.plans.catalogue import ORACLES, query
 from tierloom.sources import films, pages, tables
 from tierloom.sources.shared import fresh_path, upsert
+from tierloom.streaming import early_stop
 
 _ACTOR, _HOUR = "CASE WHEN user_id % 3 = 0 THEN 0 ELSE user_id END", "date_trunc('hour', ts)"
 
@@ -117,3 +118,18 @@ def film_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = more._documents(spark, sf_dir)
     films.write_films(documents, path)
     return more._flat(films.read_films(spark, path, documents.schema))
+
+
+@query(ORACLES["early_stop_pages"])
+def streamed_early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Early stop on a stream of rows that are fetched in any order within ten minutes; a row of a later hour lets the last pages be told."""
+    at, later = 1_700_000_000, F.timestamp_seconds(F.lit(1_700_100_000))
+    path = fresh_path(spark, "stream")
+    reviews = tables.reviews(spark, sf_dir).withColumn("fetched_at", F.timestamp_seconds(at + F.pmod(F.xxhash64("review_id", "page"), F.lit(600))))
+    reviews.write.parquet(f"{path}/rows")
+    spark.createDataFrame([("", 0.0, 1, 0)], "film string, level double, page int, pos int").withColumn("fetched_at", later).write.mode("append").parquet(f"{path}/rows")
+    early_stop.use_state_store(spark)
+    told = early_stop.read_pages_of_stream(spark.readStream.schema(reviews.schema).parquet(f"{path}/rows"))
+    running = told.writeStream.format("parquet").option("path", f"{path}/pages").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
+    running.awaitTermination()
+    return spark.read.schema(early_stop.RESULT).parquet(f"{path}/pages").filter("film <> ''")
