@@ -1,12 +1,14 @@
-"""Queries of joins in time, many expressions, word lists, sketches, kept tables, observed counters, and the sources and sinks."""
+"""Queries of joins in time, many expressions, word lists, sketches, kept tables, observed counters, sources and sinks, and whole reports."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierloom.operators import asof, collect, expressions, languages, observed, records, sketches
-from tierloom.plans import more, sql
+from tierloom import config
+from tierloom.functions import labels
+from tierloom.operators import asof, collect, expressions, languages, observed, records, reports, sketches, themes
+from tierloom.plans import catalogue, more, sql
 from tierloom.plans.catalogue import ORACLES, query
 from tierloom.sources import films, pages, tables
 from tierloom.sources.shared import fresh_path, upsert
@@ -133,3 +135,96 @@ def streamed_early_stop(spark: SparkSession, sf_dir: str) -> DataFrame:
     running = told.writeStream.format("parquet").option("path", f"{path}/pages").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
     running.awaitTermination()
     return spark.read.schema(early_stop.RESULT).parquet(f"{path}/pages").filter("film <> ''")
+
+
+# reports
+
+#: What stands in for parts of a document that the tables do not have, for Spark and for SQL alike: by film and by bucket's place.
+_PARTS = {
+    "title": "concat('Filme ', film)", "director": "CASE WHEN film <> 'de' THEN 'D. Irigida' END", "minutes": "CASE WHEN film <> 'fr' THEN 90 + length(film) END", "in_english": "film = 'es'",
+    "narrative": "CASE WHEN film <> 'de' THEN concat('Prosa de ', film, '.') END", "observation": "CASE WHEN ord <> 2 THEN concat('o grupo ', bucket) ELSE '' END", "language_doubtful": "film = 'en' AND ord = 1", "scope_doubtful": "ord = 3",
+    "example": "concat('um exemplo de ', theme)", "reported": "CASE WHEN rank % 3 = 0 THEN mentions + 1000 END", "quotes_removed": "rank % 2 = 0", "verdict": "CASE WHEN film = 'en' THEN 'aceita' ELSE 'regressao' END",
+}
+_FAULTS_OF = {"en": ("escopo", "aspas"), "es": tuple(reports.FAULT_LINES)}
+
+
+def _report_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    part = lambda name: F.expr(_PARTS[name]).alias(name)
+    levels = catalogue.level_metadata(spark, sf_dir).select("film", labels.bucket_of(F.col("level")).alias("bucket"), F.struct("level", "n_valid", "threshold").alias("x"))
+    levels = levels.groupBy("film", "bucket").agg(F.array_sort(F.collect_list("x")).alias("levels"))
+    ranked = themes.first_then_ranked(catalogue._themes(spark, sf_dir)).select("film", "bucket", "rank", "theme", "mentions", "n_reviews", part("example"), part("reported"), part("quotes_removed"))
+    listed = ranked.groupBy("film", "bucket").agg(F.array_sort(F.collect_list(F.struct(*[c for c in ranked.columns if c not in ("film", "bucket")]))).alias("themes"))
+    of_film = ["film", "bucket"]
+    rows = catalogue.bucket_assembly(spark, sf_dir).join(catalogue._shares(spark, sf_dir).select(*of_film, "share_real"), of_film, "left").join(levels, of_film, "left").join(listed, of_film, "left")
+    rows = rows.withColumn("ord", F.array_position(F.array(*map(F.lit, config.BUCKETS)), F.col("bucket")))
+    own = ["bucket", "target", "mode", "n_raw", "n_valid", "share_real", "levels", part("language_doubtful"), part("scope_doubtful"), part("observation"), F.transform("themes", lambda t: t.dropFields("rank")).alias("themes")]
+    films_ = rows.groupBy("film").agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", F.struct(*own).alias("b")))), lambda x: x["b"]).alias("buckets"))
+    text = lambda *xs: F.array(*map(F.lit, xs)).cast("array<string>")
+    faults = F.lit(None).cast("array<string>")
+    for film, names in _FAULTS_OF.items():
+        faults = F.when(F.col("film") == film, text(*names)).otherwise(faults)
+    card = F.struct(part("title"), F.lit(2001).alias("year"), part("director"), text("drama", "humor").alias("genres"), part("minutes"), part("in_english").alias("synopsis_in_english"))
+    edit = F.struct(part("verdict"), F.lit(4).alias("n_protected"), text("~3%").alias("lost"), text("regressao", "regressao").alias("attempts"), F.lit(True).alias("case_mended"), F.lit(0.5).alias("similarity"))
+    pair = lambda a, b, x, y: F.struct(F.lit(x).alias(a), F.lit(y).alias(b))
+    return films_.select(
+        "film", F.lit("2").alias("version"), card.alias("card"), (F.length("film") * 617283).cast("long").alias("n_ratings"), "buckets", part("narrative"), faults.alias("faults"),
+        F.array(F.struct(F.lit("belo").alias("property"), text("negativas", "medianas").alias("groups"), text("pacing").alias("themes"))).alias("consensus"),
+        F.array(pair("phrase", "theme", "quase todos", "pacing"), pair("phrase", "theme", "muitos", "nada")).alias("quantifiers"), F.array(pair("bucket", "passage", "negativas", "para eles")).alias("markers"), edit.alias("edit"),
+        F.array(pair("name", "value", "n_frases", "3"), pair("name", "value", "cv", "0.5")).alias("fluency"),
+    )
+
+
+def _report_sql(tone: str) -> str:
+    """Lines with places (a, b), numbered at the end."""
+    line = lambda where, a, b, text, source: f"SELECT film, {a} AS a, {b} AS b, {text} AS line FROM {source} WHERE {where}"
+    p = _PARTS
+    parts = [
+        line("true", 0, 0, "'relatório de ' || film || ' · versão 2'", "f"), line("true", 0, 1, f"'filme: ' || {p['title']} || ' (2001) · direção: ' || coalesce({p['director']}, '?') || ' · drama, humor · ' || coalesce(({p['minutes']})::VARCHAR, '?') || ' min'", "f"),
+        line(p["in_english"], 0, 2, "'aviso: sinopse em inglês'", "f"), line("true", 0, 3, "'notas reais: ' || replace(format('{:,}', length(film) * 617283), ',', '.')", "f"), line("true", 0, 4, f"'{config.DISCLAIMER_SHARES}'", "f"),
+        line("true", "ord", 0, "upper(bucket) || ' ' || n_valid || '/' || target || ' [' || by_level || '] modo=' || mode || coalesce(' · ~' || share_real || '% das notas', '')", "b"),
+        line("true", "ord", 1, "'  filtro (caracteres): ' || filters", "b"), line(f"mode = 'sem_analise' AND {p['observation']} <> ''", "ord", 2, f"'  aviso: ' || {p['observation']}", "b"),
+        line("mode = 'sem_analise'", "ord", 3, f"'  ' || n_valid || ' disponíveis em {config.SITE}/film/' || film || '/reviews/'", "b"), line("mode = 'reduzido'", "ord", 2, "'  aviso: modo reduzido, ' || n_valid || ' de ' || target", "b"),
+        line(f"mode <> 'sem_analise' AND {p['language_doubtful']}", "ord", 3, "'  aviso: idioma não confirmado como pt-BR'", "b"), line(f"mode <> 'sem_analise' AND {p['scope_doubtful']}", "ord", 4, "'  aviso: a observação generaliza o recorte'", "b"),
+        line("true", 99, 0, "'total de reviews: ' || sum(n_raw)::BIGINT", "b") + " GROUP BY film",
+    ]
+    if tone != "narrativo":
+        parts += [
+            line("true", "ord", "10 * rank", "'  ' || theme || ': ~' || mentions || ' de ' || n_reviews", "t"), line("true", "ord", "10 * rank + 1", f"'    ex.: ' || {p['example']}", "t"),
+            line("rank % 3 = 0", "ord", "10 * rank + 2", f"'    aviso: o modelo disse ' || {p['reported']} || ', fora de 0 a ' || n_reviews", "t"), line(p["quotes_removed"], "ord", "10 * rank + 3", "'    aviso: aspas removidas do exemplo'", "t"),
+            line(f"mode <> 'sem_analise' AND {p['observation']} <> ''", "ord", 1000, f"'  » ' || {p['observation']}", "b"),
+        ]
+    if tone != "estruturado":
+        parts += [line("true", 10, 0, "'narrativa'", "f"), line("true", 10, 1, f"coalesce({p['narrative']}, '(narrativa não gerada)')", "f")]
+        parts += [line(f"film = '{film}'", 11, k, f"'aviso: narrativa: {text}'", "f") for film, names in _FAULTS_OF.items() for k, (name, text) in enumerate(reports.FAULT_LINES.items()) if name in names]
+        fixed = ["consensos", "  belo · grupos: negativas, medianas · temas: pacing", "quantificadores"]
+        parts += [line("true", 12, k, f"'{x}'", "f") for k, x in enumerate(fixed)]
+        pct = sql.percent("mentions", "n_reviews")
+        parts += [f"SELECT film, 13, 0, '  quase todos · tema: pacing (' || coalesce((SELECT 'fração real ' || {pct} || '%, ' || {sql.band(pct, labels.QUANTIFIER_BANDS)} FROM ranked x WHERE x.film = f.film AND theme = 'pacing' ORDER BY list_position({sql.quoted(config.BUCKETS)}, bucket) LIMIT 1), 'tema inexistente') || ')' FROM f"]
+        ends = ["  muitos · tema: nada (tema inexistente)", "marcadores", "  negativas: para eles"]
+        parts += [line("true", 14, k, f"'{x}'", "f") for k, x in enumerate(ends)]
+        taken, dropped = ["edição aplicada · 4 trechos protegidos · 2 tentativa(s)", "  maiúsculas de rótulos ajustadas"], ["aviso: edição descartada (regressao) · 2 tentativa(s)", "  trecho perdido: ~3%", "  tentativa 1: regressao", "  tentativa 2: regressao"]
+        parts += [line(f"(film = 'en') = {same}", 15, k, f"'{x}'", "f") for same, xs in (("true", taken), ("false", dropped)) for k, x in enumerate(xs)]
+        parts += [line("true", 16, k, f"'{x}'", "f") for k, x in enumerate(["  semelhança: 0.500", "fluência: n_frases=3 · cv=0.5"])]
+    union = " UNION ALL ".join(parts)
+    return f"""WITH {more._LISTED},
+levels AS (SELECT film, {sql.bucket("level")} AS bucket, string_agg(level || '★ ' || n_valid, ' · ' ORDER BY level) AS by_level, array_to_string(list_sort(list_distinct(list(threshold))), ', ') AS filters FROM metadata GROUP BY ALL),
+b AS (SELECT *, list_position({sql.quoted(config.BUCKETS)}, bucket) AS ord FROM buckets LEFT JOIN shares USING (film, bucket) LEFT JOIN levels USING (film, bucket)),
+t AS (SELECT b.film, b.bucket, b.ord, rank, theme, mentions, n_reviews FROM b JOIN ranked USING (film, bucket) WHERE mode <> 'sem_analise'),
+f AS (SELECT DISTINCT film FROM b),
+l AS ({union})
+SELECT film, row_number() OVER (PARTITION BY film ORDER BY a, b) - 1 AS ord, line FROM l"""
+
+
+@query(_report_sql("estruturado"))
+def full_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.full_report(_report_documents(spark, sf_dir))
+
+
+@query(_report_sql("narrativo"))
+def full_report_narrative(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.full_report(_report_documents(spark, sf_dir), "narrativo")
+
+
+@query(_report_sql("ambos"))
+def full_report_both(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.full_report(_report_documents(spark, sf_dir), "ambos")
