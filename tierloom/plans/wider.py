@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierloom import config
 from tierloom.functions import labels
-from tierloom.operators import asof, collect, expressions, languages, observed, records, reports, sketches, themes
+from tierloom.operators import asof, calls, collect, expressions, languages, observed, records, reports, sketches, themes
 from tierloom.plans import catalogue, more, sql
 from tierloom.plans.catalogue import ORACLES, query
 from tierloom.sources import films, pages, tables
@@ -228,3 +230,39 @@ def full_report_narrative(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_report_sql("ambos"))
 def full_report_both(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.full_report(_report_documents(spark, sf_dir), "ambos")
+
+
+# narratives
+
+_TOLD = "A grande maioria das notas (~80%) gosta. Uma minoria das notas (~15%) hesita, quem ficou no meio. Uma pequena minoria das notas (~5%) recusa. Para eles, é lento."
+
+
+def scripted_narrator(system: str, user: str) -> str:
+    """By the last digit of what it is asked: good at once, or with one fault until it is told so, or for good, or no JSON at first."""
+    kind, told = int(user[-1]), "!" in system
+    reply = {"narrativa": _TOLD, "quantificadores_usados": [{"quantificador": "muitos", "tema": "ritmo"}], "consensos_usados": [{"propriedade": "p", "grupos_de_origem": ["negativas"], "temas_de_origem": ["ritmo"]}]}
+    if kind == 1 and not told:
+        reply["quantificadores_usados"] = [{"quantificador": "quase todos", "tema": "ritmo"}]
+    elif kind == 2:
+        reply["consensos_usados"] = [{"grupos_de_origem": ["negativas"], "temas_de_origem": ["x"]}]
+    elif kind == 3 and not told:
+        reply["narrativa"] += " Quase todos concordam."
+    elif kind == 4 and not told:
+        reply["narrativa"] = _TOLD.replace("Para eles, ", "")
+    elif kind == 5:
+        reply["narrativa"] += " Uma minoria do público ri."
+    elif kind == 6:
+        return "isto não é JSON"
+    return json.dumps(reply, ensure_ascii=False)
+
+
+@query(f"""WITH k AS (SELECT c_custkey AS film, c_custkey % 7 AS kind FROM customer)
+SELECT film, CASE WHEN kind = 0 THEN 1 ELSE 2 END AS n_calls, CASE kind WHEN 2 THEN 'consenso' WHEN 5 THEN 'vocabulario_peso' WHEN 6 THEN 'sem_resposta' ELSE '' END AS faults,
+  CASE WHEN kind = 6 THEN 0 ELSE 1 END AS n_quantifiers, CASE kind WHEN 6 THEN '' WHEN 5 THEN '{_TOLD} Uma minoria do público ri.' ELSE '{_TOLD}' END AS text FROM k""")
+def narrated_films(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Narratives by a scripted model, each checked and asked again with what failed."""
+    asked = tables.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("film"), F.concat(F.lit("conte "), (F.col("c_custkey") % 7).cast("string")).alias("message"), F.lit(5).alias("neg"), F.lit(15).alias("med"), F.lit(80).alias("pos"))
+    known = asked.select("film", F.lit("negativas").alias("bucket"), F.lit("ritmo").alias("theme"), F.lit(40).alias("pct"), F.lit(2).alias("force"))
+    words = dict.fromkeys(("quantificador", "consenso", "perspectiva_nao_marcada", "vocabulario_peso"), " !")
+    done = calls.narrated(asked, scripted_narrator, known, {"negativas": "neg", "medianas": "med", "positivas": "pos"}, "narre.", words)
+    return done.select("film", "n_calls", F.array_join("faults", "|").alias("faults"), F.greatest(F.size("quantificadores_usados"), F.lit(0)).alias("n_quantifiers"), F.coalesce("text", F.lit("")).alias("text"))
