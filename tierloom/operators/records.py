@@ -63,8 +63,9 @@ def best_candidate(candidates: DataFrame, keys: list[str]) -> DataFrame:
     same = (F.substring("release_date", 1, 4) == F.col("year").cast("string")) & F.col("year").isNotNull()
     chosen = candidates.withColumn("same_year", F.coalesce(same, F.lit(False)))
     popular = F.when(F.col("same_year"), F.coalesce("popularity", F.lit(0.0)))
-    order = Window.partitionBy(*keys).orderBy(F.desc("same_year"), F.desc_nulls_last(popular), "rank")
-    return chosen.withColumn("__n", F.row_number().over(order)).filter("__n = 1").drop("__n")
+    # the least of (another year, less popular, later): one struct a key, no key's rows in one place
+    first = F.min_by(F.struct(*chosen.columns), F.struct(~F.col("same_year"), -popular, F.col("rank")))
+    return chosen.groupBy(*keys).agg(first.alias("__first")).select("__first.*")
 
 
 def year_guard(records: DataFrame) -> DataFrame:

@@ -549,9 +549,8 @@ SELECT n_nationkey, id, same_year, coalesce(abs(substring(release_date, 1, 4)::I
 def best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as search hits of their nation."""
     customers = tables.table(spark, sf_dir, "customer").join(tables.table(spark, sf_dir, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
-    rank = F.row_number().over(Window.partitionBy("n_nationkey").orderBy("c_custkey"))
     date = F.concat((1990 + F.col("c_custkey") % 7).cast("string"), F.lit("-01-01"))
-    rows = customers.select("n_nationkey", (1990 + F.col("n_nationkey") % 5).alias("year"), F.col("c_custkey").alias("id"), rank.alias("rank"), date.alias("release_date"), F.when(F.col("c_custkey") % 4 != 0, F.col("c_acctbal")).alias("popularity"))
+    rows = customers.select("n_nationkey", (1990 + F.col("n_nationkey") % 5).alias("year"), F.col("c_custkey").alias("id"), F.col("c_custkey").alias("rank"), date.alias("release_date"), F.when(F.col("c_custkey") % 4 != 0, F.col("c_acctbal")).alias("popularity"))
     best = records.best_candidate(rows, ["n_nationkey"]).select("n_nationkey", "id", "same_year", F.substring("release_date", 1, 4).cast("int").alias("year_found"), F.col("year").alias("year_expected"))
     return records.year_guard(best).select("n_nationkey", "id", "same_year", "accepted")
 

@@ -179,13 +179,13 @@ def mention_ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ANSWER = """'{"' || (event_id % 4) || '": ["mood", "' || event_type || '", "mood"], "9": ["mood"], "x": []}'"""
 
 
-@query("""WITH e AS (SELECT event_id, event_type, unnest(range(1, 4)) AS place FROM events WHERE event_id % 50 = 0)
+@query("""WITH e AS (SELECT event_id, event_type, unnest(range(1, 4)) AS place FROM events)
 SELECT 'f' AS film, 'b' AS bucket, event_id AS batch, place::INTEGER AS place, CASE WHEN event_id % 100 = 0 THEN NULL WHEN event_id % 4 <> place THEN '' WHEN event_type = 'click' THEN 'mood,click,mood' ELSE 'mood,mood' END AS theme_ids,
   (event_id % 100 <> 0 AND event_id % 4 = place AND event_type <> 'click')::INTEGER AS n_invalid FROM e""")
 def batch_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Answers about batches of three: some failed, some name places or themes that are not there."""
     answer = F.when(F.col("event_id") % 100 != 0, F.expr(_ANSWER))
-    rows = tables.table(spark, sf_dir, "events").filter("event_id % 50 = 0").select(F.lit("f").alias("film"), F.lit("b").alias("bucket"), F.col("event_id").alias("batch"), F.lit(3).alias("n_rows"), answer.alias("answer"))
+    rows = tables.table(spark, sf_dir, "events").select(F.lit("f").alias("film"), F.lit("b").alias("bucket"), F.col("event_id").alias("batch"), F.lit(3).alias("n_rows"), answer.alias("answer"))
     return themes.valid_answers(rows, ["mood", "click"]).withColumn("theme_ids", F.array_join("theme_ids", ","))
 
 
