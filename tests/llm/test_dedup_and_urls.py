@@ -39,6 +39,10 @@ def test_ids_null_and_repeated_and_empty(make_docs):
     docs = make_docs(["a", "a", "b", "c", "c"], [None, 1, None, 2, 2])
     kept = exact_dedup.drop_duplicates(docs)
     assert kept.columns == docs.columns and sorted((r.doc_id or -1, r.text) for r in kept.collect()) == [(-1, "b"), (1, "a"), (2, "c")]
+    # of rows with one id and text the same one stays, however they are dealt
+    twice = make_docs(["c"] * 6 + ["d", "d"], [2] * 6 + [None, None]).withColumn("extra", F.monotonically_increasing_id())
+    several = [sorted(map(str, exact_dedup.drop_duplicates(twice.repartition(n)).collect())) for n in (1, 3)]
+    assert several[0] == several[1] and len(several[0]) == 2
 
 
 def test_nonmembers_that_fall_on_a_slot_are_told_apart():

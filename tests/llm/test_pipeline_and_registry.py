@@ -1,6 +1,15 @@
+import itertools
+import zlib
+from collections import defaultdict
+
 import duckdb
+import numpy as np
+import public_tokenizers
 import pytest
+import tokenizers
 from pyspark.sql import functions as F
+from test_minhash import brute
+from test_tokens_and_packing import best_fit_decreasing
 
 import __spark_entry__
 import corpus_pipeline
@@ -73,3 +82,36 @@ def test_sql_agrees(spark, name):
     ours = registry.queries()[name](spark, sf)
     theirs = con.execute(registry.oracle_sql()[name]).to_arrow_table().select(ours.columns).to_pylist()
     assert sorted(map(str, (tuple(r.values()) for r in theirs))) == sorted(map(str, map(tuple, ours.collect())))
+
+
+def test_whole_pipeline_against_plain_steps(spark):
+    """Every step after the classifier's decisions in plain Python: equal texts, all pairs, the library's tokens, best fit."""
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.select("doc_id", "text").collect()}
+    good = {r.doc_id for r in quality.score_texts(docs, labels).collect() if r.predicted}
+    marks = {r.doc_id: r.quality for r in labels.collect()}
+    told = [i for i in texts if marks.get(i) is not None]
+    assert sum((i in good) == bool(marks[i]) for i in told) >= 0.9 * len(told) > 0
+    last = {}
+    for i in sorted(good):
+        last[texts[i]] = i
+    unique = {i: texts[i] for i in last.values()}
+    component = brute(unique)[0]
+    kept = {i for i in unique if component[i] == i}
+    assert len(texts) > len(good) > len(unique) > len(kept)
+    tokenizer = tokenizers.Tokenizer.from_file(public_tokenizers.path(packing.VOCABULARY))
+    ids = {i: [*tokenizer.encode(texts[i], add_special_tokens=False).ids, 0] for i in kept}
+    found = corpus_pipeline.run(spark, sf).collect()
+    pieces = defaultdict(list)
+    for r in found:
+        own = ids[r.doc_id][r.start : r.start + r.length]
+        assert (r.doc_tokens, r.ids_crc32) == (len(ids[r.doc_id]), zlib.crc32(np.array(own, "<u4").tobytes()))
+        pieces[r.doc_id].append((r.start, r.length))
+    assert {i: sum(n for _, n in sorted(p)) for i, p in pieces.items()} == {i: len(x) for i, x in ids.items()}
+    assert all(a + n == b for p in pieces.values() for (a, n), (b, _) in itertools.pairwise(sorted(p)))
+    windows = defaultdict(list)
+    for r in found:
+        windows[r.sequence_id].append((r.offset, r.length))
+    assert all(sum(n for _, n in w) <= 1024 and all(a + n == b for (a, n), (b, _) in itertools.pairwise(sorted(w))) and min(w)[0] == 0 for w in windows.values())
+    assert len(windows) == len(best_fit_decreasing([r.length for r in found], 1024))

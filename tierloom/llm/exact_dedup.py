@@ -187,8 +187,8 @@ def mark_duplicates(docs: DataFrame, per_bucket: int = PER_BUCKET) -> DataFrame:
 def drop_duplicates(docs: DataFrame, per_bucket: int = PER_BUCKET) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns; a row delivered twice stays once.
 
-    Of a group without ids one row stays. Nulls, long texts and empty tables as in :func:`mark_duplicates`; which of
-    several rows with one id and one text stays, where other columns differ, is open.
+    Of a group without ids one row stays. Nulls, long texts and empty tables as in :func:`mark_duplicates`; of
+    several rows with one id and one text the one whose columns have the smallest hash stays.
     """
     own = "__tierloom_digest"
     with scratch(docs.sparkSession):
@@ -199,7 +199,9 @@ def drop_duplicates(docs: DataFrame, per_bucket: int = PER_BUCKET) -> DataFrame:
     kept = tagged.join(stays, tagged["doc_id"].cast("long").eqNullSafe(F.col("__tierloom_keep")) & (tagged[own] == F.col("__tierloom_other")), "left_semi")
     # only rows delivered twice need a second shuffle of the texts
     if repeated:
-        kept = kept.dropDuplicates(["doc_id", own])
+        hashed = F.xxhash64(*(c for c, kind in docs.dtypes if "map<" not in kind))
+        first = F.min_by(F.struct(*docs.columns), hashed).alias("__tierloom_first")
+        return kept.groupBy("doc_id", own).agg(first).select("__tierloom_first.*")
     return kept.drop(own)
 
 

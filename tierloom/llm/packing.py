@@ -104,7 +104,11 @@ def plan_runs(histogram: dict[int, int], window: int = WINDOW) -> list[tuple[int
 
 
 def cut_pieces(docs: DataFrame, path: str | None = None, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
-    """A row per piece: doc_id, start, length, ids_crc32, doc_tokens. Every document has one piece at least."""
+    """A row per piece: doc_id, start, length, ids_crc32, doc_tokens. Every document has one piece at least.
+
+    A null text counts as empty: its end id alone. Rows without an id and rows that share one are cut each for itself; whole texts
+    are encoded, however long; other columns are not looked at. An empty table gives no rows.
+    """
     path = path or public_tokenizers.path(VOCABULARY)
     end = np.array([end_id], "<u4").tobytes()
 
@@ -123,7 +127,11 @@ def cut_pieces(docs: DataFrame, path: str | None = None, window: int = WINDOW, e
 
 
 def place(pieces: DataFrame, window: int = WINDOW, per_block: int = PER_BLOCK) -> DataFrame:
-    """``pieces`` (any table with doc_id, start, length, ids_crc32) with sequence_id and offset."""
+    """``pieces`` (any table with doc_id, start, length, ids_crc32) with sequence_id and offset.
+
+    Lengths are from 1 to ``window``. Null and repeated ids do not matter: every row is a piece of its own, and rows alike in all four
+    columns take the places of their kind in any order. Extra columns pass through. An empty table gives no rows.
+    """
     spark = pieces.sparkSession
     counts = {int(r.length): int(r.n) for r in pieces.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}
     blocks = hash_blocks(sum(counts.values()), per_block)

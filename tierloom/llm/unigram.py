@@ -227,7 +227,11 @@ def _together(texts: list[str | None]) -> Iterator[list[str]]:
 
 
 def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id and ids (little-endian unsigned 32-bit numbers) of every row; null texts count as empty and have no ids."""
+    """doc_id and ids (little-endian unsigned 32-bit numbers) of every row; null texts count as empty and have no ids.
+
+    Rows without an id and rows that share one are encoded each for itself; whole texts are encoded, however long; other columns are
+    not looked at. An empty table gives no rows.
+    """
     path = path or public_tokenizers.path(MODEL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -242,7 +246,11 @@ def encode(docs: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def decode(encoded: DataFrame, path: str | None = None) -> DataFrame:
-    """doc_id and text of rows of doc_id and ids; null ids give the empty text."""
+    """doc_id and text of rows of doc_id and ids; null and empty ids give the empty text.
+
+    A row without a doc_id, and each of several with one, is decoded for itself, however long; other columns are not looked at. An
+    empty table gives no rows.
+    """
     path = path or public_tokenizers.path(MODEL)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
