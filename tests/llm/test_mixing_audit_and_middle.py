@@ -216,6 +216,18 @@ def test_mix(spark, odd_texts, prose):
     assert sorted(map(str, again)) == sorted(map(str, found))
 
 
+def test_mix_deals_a_hot_id_to_many_shards(spark):
+    """A third of all rows without an id and alike: they lie in lots, and every run takes as much of them."""
+    rows = [(None, "one two three", "hot")] * 3000 + [(k, "w " * (k % 50), "hot" if k % 2 else "b") for k in range(6000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    lots = mixing.lots(docs)
+    assert lots.filter("doc_id IS NULL").agg(F.sum("copies"), F.max("copies"), F.count(F.lit(1))).first()[:] == (3000, 64, 47)
+    several = [sorted(map(str, mixing.mix(docs.repartition(n), per_shard=100).collect())) for n in (1, 5)]
+    assert several[0] == several[1] and len(several[0]) == 9000
+    found = mixing.mix(docs, per_shard=100).groupBy("source_size", "target").agg(F.sum("taken").alias("taken"), F.max(F.try_divide("taken", "size")).alias("most")).collect()
+    assert all(r.most <= 2 and abs(r.taken - r.target) <= 0.01 * r.target for r in found) and len(found) == 2
+
+
 def test_mix_of_little(spark, make_docs):
     assert mixing.mix(make_docs([])).count() == 0
     assert [tuple(r) for r in mixing.mix(make_docs([None])).collect()] == [(0, 0, 0, 0.0, 0)]

@@ -6,13 +6,14 @@
 2. All targets together are so many blocks of equal length. Sources get them by highest quotients, target over 1, 3, 5, ...:
    every source's quota lies within bounds that the sources' number gives, so only quotients between those are ranked,
    about two for a source.
-3. A source's rows are dealt by a seeded hash to shards of about ``PER_SHARD`` rows, and its blocks to its shards in proportion
+3. Rows alike in id, source and size are counted together, in lots of up to ``PER_LOT``, so that no hot id lands in one place. A source's
+   lots are dealt by a seeded hash to shards of about ``PER_SHARD``, and its blocks to its shards in proportion
    to their words, rounded along the running sum: integer quotas that add up to the source's.
 4. A shard's rows, in seeded order, lie on a circle of words. A quota's blocks are taken one after another from a
    block that the seed picks, so every row is taken whole, again or not at all, but for those at the two ends.
 
 Everything is DataFrame functions. A source, however large, is spread over its shards; one row of each source, and one for every
-``PER_SHARD`` rows of a source, meet in a window.
+``PER_SHARD`` lots of a source, meet in a window. The SQL takes ids for distinct.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ WEIGHTS = (5, 2, 1)
 TOTAL, REPEATS = 1.5, 2
 #: Words of a block; fewer where the corpus has less than ``LEAST_BLOCKS`` such blocks.
 BLOCK_WORDS, LEAST_BLOCKS = 16, 4096
-PER_SHARD = 1024
+PER_SHARD, PER_LOT = 1024, 64
 SEED = "13"
 #: Up to so many sources are broadcast to the rows.
 BROADCAST_SOURCES = 100_000
@@ -44,10 +45,13 @@ def _digits(digest: Column, start: int, size: int = 12) -> Column:
     return F.conv(F.substring(digest, start, size), 16, 10).cast("long")
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size and the seeded key of every row."""
+def lots(docs: DataFrame) -> DataFrame:
+    """doc_id, source, size, lot, copies: rows alike in the first three, up to ``PER_LOT`` in a lot, and their seeded key."""
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"))
+    alike = sized.groupBy("doc_id", "source", "size").agg(F.count(F.lit(1)).alias("n"))
+    dealt = alike.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / PER_LOT))).alias("lot"))
     key = F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).cast("binary"))
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), key.alias("key"))
+    return dealt.select("doc_id", "source", "size", "lot", F.least(F.lit(PER_LOT), F.col("n") - F.col("lot") * PER_LOT).alias("copies"), key.alias("key"))
 
 
 def with_targets(sources: DataFrame, weights=WEIGHTS, total: float = TOTAL, repeats: int = REPEATS) -> DataFrame:
@@ -91,22 +95,22 @@ def with_quotas(sources: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, weights=WEIGHTS, total: float = TOTAL, repeats: int = REPEATS, per_shard: int = PER_SHARD) -> DataFrame:
     """doc_id, size, source_size, target, taken of every row; taken are the words the mix takes of it, repeats counted.
 
-    Null texts have no words; a null source is one of its own, the last. Rows that share an id have the same key and
-    follow each other by size; those without an id are hashed as an id without digits. Which of several rows alike in id, source and size is taken is open,
-    but not how much. A source without words has target 0. Whole texts are counted, however long; other columns are not looked at.
+    Null texts have no words; a null source is one of its own, the last. Rows that share an id have the same key; those without
+    an id are hashed as an id without digits. Of rows alike in id, source and size any may be the one that is taken. A source without words has target 0. Whole texts are counted, however long; other columns are not looked at.
     An empty table gives no rows, and reruns give the same rows.
     """
     with scratch(docs.sparkSession):
-        rows = written(sized(docs), "mix-rows")
-        grouped = written(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows")), "mix-sources")
+        rows = written(lots(docs), "mix-lots")
+        grouped = written(rows.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"), F.count(F.lit(1)).alias("n_rows")), "mix-sources")
         sources = written(with_quotas(with_targets(grouped, weights, total, repeats)), "mix-quotas").withColumn("shards", F.ceil(F.col("n_rows") / per_shard))
         held = sources.select(F.col("source").alias("__source"), "source_no", "source_size", "target", "shards")
         known = F.broadcast(held) if held.count() <= BROADCAST_SOURCES else held
         numbered = rows.join(known, F.col("source").eqNullSafe(F.col("__source"))).drop("__source", "source")
-        # rows of one id, or of none, are dealt by their size too
-        dealt = written(numbered.withColumn("shard", F.pmod(_digits(F.col("key"), 1) + F.col("size"), F.col("shards"))), "mix-shards")
+        # lots of one id, or of none, are dealt by their size and number too
+        shard = F.pmod(_digits(F.col("key"), 1) + F.col("size") + F.col("lot"), F.col("shards"))
+        dealt = written(numbered.withColumn("shard", shard).withColumn("all_words", F.col("size") * F.col("copies")), "mix-shards")
 
-        sizes = dealt.groupBy("source_no", "shard").agg(F.sum("size").alias("words"))
+        sizes = dealt.groupBy("source_no", "shard").agg(F.sum("all_words").alias("words"))
         along = Window.partitionBy("source_no").orderBy("shard").rowsBetween(Window.unboundedPreceding, 0)
         cut = lambda upto: F.coalesce(F.floor(F.try_divide(F.col("quota") * upto, F.col("source_size")) + 0.5), F.lit(0))
         running = sizes.join(sources.select("source_no", "source_size", "quota", "block"), "source_no").withColumn("upto", F.sum("words").over(along))
@@ -115,8 +119,9 @@ def mix(docs: DataFrame, weights=WEIGHTS, total: float = TOTAL, repeats: int = R
         taken_words = F.least(blocks * F.col("block"), F.col("words") * repeats)
         shards = written(running.select("source_no", "shard", "words", taken_words.alias("part"), start.alias("start")), "mix-quotas-of-shards")
 
-        before = F.coalesce(F.sum("size").over(Window.partitionBy("source_no", "shard").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        placed = dealt.withColumn("at", before).join(shards, ["source_no", "shard"])
+        before = F.coalesce(F.sum("all_words").over(Window.partitionBy("source_no", "shard").orderBy("key", "doc_id", "size", "lot").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        copy = F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("copy")
+        placed = dealt.withColumn("at", before).join(shards, ["source_no", "shard"]).select("*", copy).withColumn("at", F.col("at") + F.col("copy") * F.col("size"))
         whole = F.coalesce(F.floor(F.try_divide(F.col("part"), F.col("words"))), F.lit(0))
         end = F.col("start") + F.coalesce(F.try_mod("part", "words"), F.lit(0))
         meet = lambda low, high: F.greatest(F.least(F.col("at") + F.col("size"), high) - F.greatest("at", low), F.lit(0))
