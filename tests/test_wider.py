@@ -4,7 +4,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tierloom.operators import asof, expressions, languages, observed, sketches
+from tierloom.operators import asof, compare, expressions, languages, observed, records, sketches
 from tierloom.sources.shared import fresh_path, upsert
 
 
@@ -123,3 +123,34 @@ def test_counters_come_from_the_one_job(spark):
     spark.sparkContext.setJobGroup("other", "")
     assert found == {"n_network": 100, "n_cache": 900} and len(jobs) == 1
     assert spark.read.parquet(path).count() == 1000
+
+
+def test_origins_of_hot_tied_and_missing_keys(spark):
+    """One key holds most requests; two come at one time; requests without a key share theirs."""
+    rows = [("hot", t, 0) for t in range(50)] + [("hot", 0, 1), ("tie", 7, 0), ("tie", 7, 1), ("tie", 9, 2), (None, 3, 0), (None, 4, 1), ("held", 1, 0), ("held", 2, 1)]
+    requests = spark.createDataFrame(rows, "url string, at int, n int")
+    cached = spark.createDataFrame([("held",), ("held",), ("other",), (None,)], "url string")
+    found = records.with_origin(requests, cached, "url")
+    assert found.columns == ["url", "at", "n", "origin"] and found.count() == len(rows)
+    network = sorted(map(str, ((r.url, r.at) for r in found.collect() if r.origin == "network")))
+    assert network == sorted(map(str, [("hot", 0), ("tie", 7), (None, 3)]))
+    assert records.with_origin(requests.limit(0), cached, "url").count() == 0
+
+
+def test_documents_that_repeat_or_lack_parts(spark):
+    documents = spark.createDataFrame([("a", [("negativas", 7), ("medianas", None)]), ("a", [("negativas", 8)]), ("b", []), ("c", None), (None, [("negativas", 1)])], "film string, buckets array<struct<bucket:string,share_real:int>>")
+    shares = spark.createDataFrame([("a", "negativas", 70), ("a", "positivas", 30), ("b", "negativas", None), (None, "negativas", 5)], "film string, bucket string, share_real int")
+    found = [(r.film, None if r.buckets is None else [(b.bucket, b.share_real) for b in r.buckets]) for r in records.apply_distribution(documents, shares).collect()]
+    want = [("a", [("negativas", 70), ("medianas", None)]), ("a", [("negativas", 70)]), ("b", []), ("c", None), (None, [("negativas", None)])]
+    assert sorted(map(str, found)) == sorted(map(str, want))
+    catalogue = spark.createDataFrame([("b", 2), ("a", 1), ("a", 3), ("zz", 4), (None, 5)], "film string, place int")
+    assert sorted(r.place for r in compare.in_catalogue_order(documents, catalogue).collect()) == [1, 1, 2, 3, 3]
+
+
+def test_candidates_that_tie(spark):
+    rows = [
+        ("f", 2000, 2, 10, "2000-05-01", 5.0), ("f", 2000, 1, 11, "2000-01-01", 5.0), ("f", 2000, 0, 12, "1999-01-01", 99.0), ("g", None, 1, 20, "2001-01-01", 1.0), ("g", None, 0, 21, None, None),
+        ("h", 1990, 3, 30, "1990-01-01", None), ("h", 1990, 4, 31, "1990-02-02", 0.0), (None, 1990, 0, 40, "", None),
+    ]
+    found = records.best_candidate(spark.createDataFrame(rows, "film string, year int, rank int, id int, release_date string, popularity double"), ["film"]).collect()
+    assert {r.film: (r.id, r.same_year) for r in found} == {"f": (11, True), "g": (21, False), "h": (30, True), None: (40, False)}

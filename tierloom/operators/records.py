@@ -30,10 +30,12 @@ def with_origin(requests: DataFrame, cached: DataFrame, key: str) -> DataFrame:
 
     Of several requests for one key that is not held, in order of ``at``, the first goes to the network.
     """
-    order = Window.partitionBy(key).orderBy("at")
     held = requests.join(cached.select(key, F.lit(True).alias("__held")).distinct(), key, "left")
-    first = F.row_number().over(order) == 1
-    return held.withColumn("origin", F.when(F.col("__held").isNull() & first, "network").otherwise("cache")).drop("__held")
+    firsts = requests.groupBy(key).agg(F.min("at").alias("__first")).withColumnRenamed(key, "__key")
+    # requests meet the first time by key and time, so that a key that is asked for very often does not land in one place
+    met = held.join(firsts, F.col(key).eqNullSafe(F.col("__key")) & (F.col("at") == F.col("__first")), "left")
+    first = F.col("__first").isNotNull() & (F.row_number().over(Window.partitionBy(key, "at").orderBy("at")) == 1)
+    return met.withColumn("origin", F.when(F.col("__held").isNull() & first, "network").otherwise("cache")).drop("__held", "__first", "__key")
 
 
 def origin_counts(requests: DataFrame, keys: list[str]) -> DataFrame:
