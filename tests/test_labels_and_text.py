@@ -1,5 +1,6 @@
 import difflib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -70,6 +71,14 @@ def test_language(spark):
     words = text.bare_words(F.lit(' "The end," (of) de! '))
     assert value(spark, words) == ["the", "end", "of", "de"]
     assert value(spark, text.count_among(words, text.STOPWORDS_EN)) == 2
+    assert value(spark, text.bare_words(F.lit("A  «Não» ... 'É' (um)\tDIA!? ΟΔΟΣ."))) == ["a", "«não»", "", "é", "um", "dia", "οδος"]
+    assert value(spark, text.bare_words(F.lit(""))) == [""]
+
+
+def test_report_verbs_begin_words(spark):
+    told = "Elogiam e DESTACAM; não reelogiam. Apontou-se, á_relata 2relata «relata» Éexpress express"
+    assert value(spark, text.report_verbs(F.lit(told))) == len(re.findall(r"(?i)\b(?:" + "|".join(text.REPORT_STEMS) + r")\w*", told)) == 5
+    assert value(spark, text.report_verbs(F.lit(""))) == 0
     for pt, en, label in ((0, 0, "indeterminado"), (2, 1, "pt-BR"), (1, 2, "en"), (1, 1, "misto/ambíguo")):
         assert value(spark, text.language_label(F.lit(pt), F.lit(en))) == label
     assert value(spark, text.language_ok(F.lit(0), F.lit(0))) and not value(spark, text.language_ok(F.lit(0), F.lit(1)))

@@ -17,6 +17,7 @@ STRONG_PHRASES = ("quase todos", "praticamente todos")
 MANDATORY_PHRASES = ("uma pequena minoria", "a grande maioria", "uma parcela expressiva", "uma minoria", "a maioria", "das notas", "quem gostou", "quem não gostou", "quem ficou no meio", "no meio-termo", "para esse grupo", "para eles", "nessa leitura", "quem está nessa faixa")
 SENTENCE = r"[^.!?]+[.!?]+|[^.!?]+$"
 NUMBER = r"\d[\d.,]*\s?%?"
+ENDS = """.,;:!?()"'"""
 
 #: The shorter lists of the four-way label (fixed values).
 LABEL_WORDS_PT = ("de", "da", "do", "das", "dos", "que", "para", "com", "uma", "um", "e", "os", "as", "não", "mais", "como", "por", "sobre", "são", "foi", "ao", "à", "às", "seu", "sua", "entre", "também", "muito", "há")
@@ -38,7 +39,7 @@ def stripped(text: Column) -> Column:
 
 def bare_words(text: Column) -> Column:
     """Words between white space, lower-cased, without punctuation at either end."""
-    return F.transform(F.split(stripped(text), r"\s+"), lambda w: F.lower(F.regexp_replace(w, r"""^[.,;:!?()"']+|[.,;:!?()"']+$""", "")))
+    return F.transform(F.split(stripped(F.lower(text)), r"\s+"), lambda w: F.btrim(w, F.lit(ENDS)))
 
 
 def count_among(words: Column, known) -> Column:
@@ -77,8 +78,10 @@ def letters(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(r"\p{L}+"), F.lit(0))
 
 
-def first_word(sentence: Column) -> Column:
-    return F.lower(F.regexp_extract(sentence, r"\p{L}+", 0))
+def report_verbs(text: Column) -> Column:
+    """How many words begin with a stem of ``REPORT_STEMS``; only places of a first letter of theirs are looked at."""
+    initials = "".join(sorted({s[0] + s[0].upper() for s in REPORT_STEMS}))
+    return F.regexp_count(text, F.lit(rf"(?U)(?=[{initials}])\b(?i:{'|'.join(REPORT_STEMS)})"))
 
 
 def number_tokens(text: Column) -> Column:

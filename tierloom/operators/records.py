@@ -215,16 +215,18 @@ def repeated_neighbours(rows: DataFrame, keys: list[str], order: str, value: str
 
 def fluency(docs: DataFrame, key: str = "doc_id") -> DataFrame:
     """Rhythm of a text: sentences, mean and shortest length in words, variation, repeated openings, report verbs, intensifiers."""
-    cut = docs.select(key, "text", text.sentences(F.coalesce("text", F.lit(""))).alias("s")).withColumn("lengths", F.transform("s", lambda x: F.size(text.letters(x)))).withColumn("opening", F.transform("s", text.first_word))
+    worded = docs.select(key, "text", F.transform(text.sentences(F.coalesce("text", F.lit(""))), text.letters).alias("s"))
+    cut = worded.withColumn("lengths", F.transform("s", F.size)).withColumn("opening", F.transform("s", lambda x: F.lower(F.coalesce(F.get(x, F.lit(0)), F.lit("")))))
     n, total = F.size("s"), F.aggregate("lengths", F.lit(0), lambda a, x: a + x)
     sized = cut.select(key, "text", "s", "lengths", "opening", n.alias("n_sentences"), F.try_divide(total.cast("double"), n).alias("mean"))
     spread = F.sqrt(F.try_divide(F.aggregate("lengths", F.lit(0.0), lambda a, x: a + (x - F.col("mean")) * (x - F.col("mean"))), F.col("n_sentences")))
     pairs = F.zip_with(F.slice("opening", F.lit(1), F.greatest(F.col("n_sentences") - 1, F.lit(0))), F.slice("opening", F.lit(2), F.greatest(F.col("n_sentences") - 1, F.lit(0))), lambda a, b: (a == b) & (a != ""))
-    words = F.transform(text.letters(F.coalesce("text", F.lit(""))), F.lower)
+    # a run of letters never crosses the end of a sentence
+    intensifiers = F.aggregate("s", F.lit(0), lambda a, x: a + text.count_among(F.transform(x, F.lower), text.INTENSIFIERS))
     return sized.select(
         key, "n_sentences", F.coalesce(F.bround("mean", 1), F.lit(0.0)).alias("mean_words"), F.coalesce(F.bround(F.try_divide(spread, F.when(F.col("mean") > 0, F.col("mean"))), 2), F.lit(0.0)).alias("length_cv"),
         F.coalesce(F.array_min("lengths"), F.lit(0)).alias("shortest"), F.size(F.filter(pairs, lambda x: x)).alias("repeated_openings"),
-        F.regexp_count(F.coalesce("text", F.lit("")), F.lit(r"(?iU)\b(?:" + "|".join(text.REPORT_STEMS) + r")\w*")).alias("report_verbs"), text.count_among(words, text.INTENSIFIERS).alias("intensifiers"),
+        text.report_verbs(F.coalesce("text", F.lit(""))).alias("report_verbs"), intensifiers.alias("intensifiers"),
     )
 
 
