@@ -2,6 +2,7 @@ import json
 
 import duckdb
 import pytest
+from pyspark import TaskContext
 from pyspark.sql import functions as F
 
 from tierloom import config
@@ -372,3 +373,18 @@ def test_html_text_of_a_cut_title(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW pages AS SELECT * FROM '{tmp_path}/pages.parquet/*.parquet'")
     assert [tuple(r) for r in catalogue.html_text(spark, str(tmp_path)).collect()] == con.execute(catalogue.ORACLES["html_text"]).fetchall() == [(1, 'A&&& and&amp A&&& and&amp t © "x"')]
+
+
+def test_calls_are_spread_over_the_cores(spark):
+    """Rows of one file partition are asked in many tasks, in every round."""
+
+    def model(system, user):
+        return f"{system}{TaskContext.get().partitionId()}"
+
+    def check(rows):
+        return rows.withColumn("found", F.when(F.contains("system", F.lit("!")), F.array().cast("array<string>")).otherwise(F.array(F.lit("fault"))))
+
+    rows = spark.range(400).select(F.col("id").cast("string").alias("message")).coalesce(1)
+    found = rounds.in_rounds(rows, model, check, "", {"fault": "!"}).collect()
+    assert sorted(int(r.message) for r in found) == list(range(400)) and {r.n_calls for r in found} == {2}
+    assert len({r.answer for r in found}) >= 4 == spark.sparkContext.defaultParallelism

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tierloom.functions import labels
-from tierloom.functions.text import ATTRIBUTIONS, PLAIN_WEIGHTS, SENTENCE, WRONG_NOUNS, guarded_percent_at, stripped
+from tierloom.functions.text import ATTRIBUTIONS, PLAIN_WEIGHTS, SENTENCE, WRONG_NOUNS, guarded_percent_at, held, stripped
 
 # fixed values: characters that are looked at after a plain weight label, and before a percentage
 AFTER_LABEL, BEFORE_PERCENT = 40, 60
@@ -26,11 +26,15 @@ REST_AND_NEXT = rf"^[^.!?]*(?:[.!?]+[^.!?]*(?:[.!?]+(?:{_ATTRIBUTION})?)?)?"
 
 def marks(text: Column, pattern: str) -> Column:
     """All matches in order: array of (place, token)."""
-    parts, tokens = F.split(text, pattern), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     size = lambda xs: F.aggregate(xs, F.lit(0), lambda n, x: n + F.length(x))
-    place = lambda k: 1 + size(F.slice(parts, F.lit(1), k)) + size(F.slice(tokens, F.lit(1), k - 1))
-    found = F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens), F.lit(1))), lambda k: F.struct(place(k).alias("place"), F.get(tokens, k - 1).alias("token")))
-    return F.filter(found, lambda m: m["token"].isNotNull())
+
+    def found(cut: Column) -> Column:
+        parts, tokens = cut["parts"], cut["tokens"]
+        place = lambda k: 1 + size(F.slice(parts, F.lit(1), k)) + size(F.slice(tokens, F.lit(1), k - 1))
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens), F.lit(1))), lambda k: F.struct(place(k).alias("place"), F.get(tokens, k - 1).alias("token")))
+
+    cut = F.struct(F.split(text, pattern).alias("parts"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("tokens"))
+    return F.filter(held(cut, found), lambda m: m["token"].isNotNull())
 
 
 def anchor(text: Column, share: Column) -> Column:
@@ -47,13 +51,13 @@ def with_marker_verdict(rows: DataFrame, text: str, shares: dict[str, str], name
     A group whose share asks for a mark needs an attribution in its movement; where the mark has to come early, in
     the sentence of its anchor or the one after.
     """
-    held = rows.withColumn("__low", F.lower(F.coalesce(F.col(text), F.lit(""))))
+    told = rows.withColumn("__low", F.lower(F.coalesce(F.col(text), F.lit(""))))
     events = F.array(*(F.struct(anchor(F.col("__low"), F.col(s)).alias("at"), F.lit(b).alias("bucket")) for b, s in shares.items()))
-    held = held.withColumn("__events", F.filter(events, lambda e: e["at"].isNotNull()))
+    told = told.withColumn("__events", F.filter(events, lambda e: e["at"].isNotNull()))
     end = lambda e: F.coalesce(F.array_min(F.filter(F.transform("__events", lambda o: o["at"]), lambda p: p > e["at"])), F.length("__low") + 1)
     before = lambda e: F.substring(F.col("__low"), F.greatest(e["at"] - 1, F.lit(1)), F.when(e["at"] > 1, 1).otherwise(0))
     movement = lambda e: F.struct(e["bucket"].alias("bucket"), before(e).alias("before"), F.substring(F.col("__low"), e["at"], end(e) - e["at"]).alias("text"))
-    held = held.withColumn("__movements", F.transform("__events", movement))
+    told = told.withColumn("__movements", F.transform("__events", movement))
     dominant, faults = F.greatest(F.lit(0), F.lit(0), *(F.coalesce(F.col(s), F.lit(0)) for s in shares.values())), []
     for bucket, share in shares.items():
         own = F.try_element_at(F.filter("__movements", lambda m: m["bucket"] == bucket), F.lit(1))  # noqa: B023
@@ -63,15 +67,15 @@ def with_marker_verdict(rows: DataFrame, text: str, shares: dict[str, str], name
             F.when(F.col(share).isNull() | (marking == "nenhuma"), F.lit(None).cast("string")).when(own.isNull(), f"unanchored:{bucket}")
             .when(~own["text"].rlike(_ATTRIBUTION), f"unmarked:{bucket}").when((marking == "antecipada") & ~early.rlike(_ATTRIBUTION), f"late:{bucket}")
         )
-    return held.withColumn(name, F.coalesce(*faults, F.lit("ok"))).drop("__low", "__events", "__movements")
+    return told.withColumn(name, F.coalesce(*faults, F.lit("ok"))).drop("__low", "__events", "__movements")
 
 
 def sentence_of(text: Column, place: Column) -> Column:
     """Number, from 0, of the sentence that a place is in; a place right behind one is still in it; null between sentences and for null."""
     bounds = F.transform(marks(text, SENTENCE), lambda m: F.struct((m["place"] + F.length(m["token"]) - F.length(F.ltrim(_spaces(m["token"])))).alias("a"), stripped(m["token"]).alias("t")))
     whole = F.filter(bounds, lambda m: m["t"] != "")
-    held = F.transform(whole, lambda m, i: F.when((m["a"] <= place) & (place <= m["a"] + F.length(m["t"])), i))
-    return F.array_min(F.array_compact(held))
+    around = F.transform(whole, lambda m, i: F.when((m["a"] <= place) & (place <= m["a"] + F.length(m["t"])), i))
+    return F.array_min(F.array_compact(around))
 
 
 def _spaces(text: Column) -> Column:

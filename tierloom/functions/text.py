@@ -33,6 +33,11 @@ WRONG_NOUNS = ("reviews", "público", "publico", "espectadores")
 PLAIN_WEIGHTS = ("uma fração mínima", "uma pequena minoria", "uma minoria", "uma parcela expressiva", "a grande maioria")
 
 
+def held(value: Column, use) -> Column:
+    """``use`` of a value that is computed once: inside functions of arrays an expression is computed wherever it stands."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def stripped(text: Column) -> Column:
     return F.regexp_replace(text, r"^\s+|\s+$", "")
 
@@ -47,6 +52,11 @@ def count_among(words: Column, known) -> Column:
     return F.size(F.filter(words, lambda w: w.isin(list(known))))
 
 
+def language_fits(words: Column) -> Column:
+    """:func:`language_ok` of words by the two lists."""
+    return held(words, lambda w: language_ok(count_among(w, STOPWORDS_PT), count_among(w, STOPWORDS_EN)))
+
+
 def language_ok(n_pt: Column, n_en: Column) -> Column:
     """No evidence is no violation."""
     return (n_pt >= n_en) | ((n_pt == 0) & (n_en == 0))

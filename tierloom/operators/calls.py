@@ -60,8 +60,7 @@ def synthesized(buckets: DataFrame, model: Model, system: str = "", reinforcemen
     def check(rows: DataFrame) -> DataFrame:
         told = rows.withColumn("__told", F.from_json("reply", SYNTHESIS))
         whole = F.concat_ws(" ", F.concat_ws(" ", F.transform("__told.temas", lambda t: t["tema"])), F.concat_ws(" ", F.transform("__told.temas", lambda t: t["exemplo_parafraseado"])), "__told.observacao_geral")
-        words = text.bare_words(whole)
-        language = text.language_ok(text.count_among(words, text.STOPWORDS_PT), text.count_among(words, text.STOPWORDS_EN))
+        language = text.language_fits(text.bare_words(whole))
         scope = text.has_any(F.coalesce("__told.observacao_geral", F.lit("")), text.SCOPE_MARKERS)
         return told.withColumn("found", _json_faults(_faults(idioma=~language, escopo=scope))).drop("__told")
 

@@ -34,9 +34,8 @@ def with_honesty(rows: DataFrame, prose: str, shares: dict[str, str], name: str)
     idioma, escopo, prevalencia (only without shares), vocabulario_peso, ancoragem_peso and perspectiva_nao_marcada
     (only with shares). ``shares`` names the column of each bucket's share.
     """
-    words = text.bare_words(F.col(prose))
     faults = [
-        ("idioma", ~text.language_ok(text.count_among(words, text.STOPWORDS_PT), text.count_among(words, text.STOPWORDS_EN))),
+        ("idioma", ~text.language_fits(text.bare_words(F.col(prose)))),
         ("escopo", text.has_any(F.col(prose), text.SCOPE_MARKERS)),
     ]
     marked = rows

@@ -21,6 +21,7 @@ Model = Callable[[str, str], str]
 Check = Callable[[DataFrame], DataFrame]
 #: The fault of a reply that cannot be used at all.
 UNUSABLE = "sem_resposta"
+TASK_ROWS = 50_000
 
 
 def settled(df: DataFrame) -> DataFrame:
@@ -41,6 +42,14 @@ def replies(rows: DataFrame, model: Model) -> DataFrame:
     return rows.withColumn("reply", call.asNondeterministic()("system", "message"))
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Kept rows dealt evenly over all cores, and in tasks of at most ``TASK_ROWS``.
+
+    Messages are few bytes, so the sizes that tables and shuffles are cut by say nothing of what calls and checks cost.
+    """
+    return rows.repartition(max(rows.sparkSession.sparkContext.defaultParallelism, -(-rows.count() // TASK_ROWS)))
+
+
 def _names(*xs: str) -> Column:
     return F.array(*map(F.lit, xs)).cast("array<string>")
 
@@ -57,9 +66,9 @@ def in_rounds(rows: DataFrame, model: Model, check: Check, system: str = "", rei
     state = {
         "system": F.lit(system), "answer": F.lit(None).cast("string"), "faults": _names(UNUSABLE), "n_calls": F.lit(0), "n_bad": F.lit(0), "n_unusable": F.lit(0), "history": _names(),
     }
-    asking, done = rows.withColumns(state), []
+    asking, done = settled(rows.withColumns(state)), []
     for _ in range(most):
-        asked = settled(replies(asking, model)).withColumn("reply", F.nullif(text.stripped(text.without_fences(F.col("reply"))), F.lit("")))
+        asked = settled(replies(spread(asking), model)).withColumn("reply", F.nullif(text.stripped(text.without_fences(F.col("reply"))), F.lit("")))
         found = F.when(F.col("reply").isNull(), _names(UNUSABLE)).otherwise(F.col("found"))
         judged = check(asked).withColumn("found", found).withColumn("usable", ~F.array_contains("found", UNUSABLE))
         bad = F.size("found") > 0
