@@ -1,4 +1,5 @@
 import json
+import resource
 
 import duckdb
 import pytest
@@ -388,3 +389,17 @@ def test_calls_are_spread_over_the_cores(spark):
     found = rounds.in_rounds(rows, model, check, "", {"fault": "!"}).collect()
     assert sorted(int(r.message) for r in found) == list(range(400)) and {r.n_calls for r in found} == {2}
     assert len({r.answer for r in found}) >= 4 == spark.sparkContext.defaultParallelism
+
+
+def test_pages_are_parsed_a_slice_at_a_time(spark):
+    """A worker holds the rows of a slice of pages, not of its whole batch: 1,000 pages whose rows have 200 KB each."""
+
+    def parse(page):
+        return [{"mb": resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024, "page": page, "left_out": page[:1] * 200_000}]
+
+    pages = spark.range(1000, numPartitions=1).select("id", F.concat(F.lit("p"), F.col("id").cast("string")).alias("html"))
+    found = html._rows(pages, parse, "mb long, page string").collect()
+    assert sorted((r.id, r.page) for r in found) == [(k, f"p{k}") for k in range(1000)]
+    assert max(r.mb for r in found) - min(r.mb for r in found) < 100
+    texts = spark.range(200, numPartitions=1).select("id", html.page_text(F.concat(F.lit("<p>"), F.col("id").cast("string"))).alias("t")).collect()
+    assert [r.t for r in texts] == [str(r.id) for r in texts] and len(texts) == 200
