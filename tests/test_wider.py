@@ -154,3 +154,18 @@ def test_candidates_that_tie(spark):
     ]
     found = records.best_candidate(spark.createDataFrame(rows, "film string, year int, rank int, id int, release_date string, popularity double"), ["film"]).collect()
     assert {r.film: (r.id, r.same_year) for r in found} == {"f": (11, True), "g": (21, False), "h": (30, True), None: (40, False)}
+
+
+def test_exact_figures_are_dealt_by_the_number_of_rows(spark):
+    """A task's rows stay as many when there are more of them, also behind a join with a table that is dealt by the session's number."""
+    tasks = {}
+    for n in (4_000, 40_000):
+        rows = spark.range(n).select((F.col("id") % 1000).alias("film"), "id")
+        told = rows.groupBy("film").agg(F.count(F.lit(1)).alias("n"))
+        every, few = sketches.dealt(rows, told, "film", 1_000)
+        joined = every.join(few.hint("shuffle_hash"), "film").withColumn("task", F.spark_partition_id())
+        found = joined.groupBy("film", "n").agg(F.count(F.lit(1)).alias("again"), F.max("task").alias("task"))
+        got = found.collect()
+        assert len(got) == 1000 and all(r.n == r.again == n // 1000 for r in got)
+        tasks[n] = len({r.task for r in got})
+    assert tasks[4_000] == 4 and tasks[40_000] > 30

@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 REGISTERS, DISTINCT_ERROR = 12, 0.05
 #: Items of a level of a quantile sketch, and the error of a rank.
 ITEMS, RANK_ERROR = 200, 0.033
+#: Rows of a task that holds a key's exact values, on average.
+TASK_ROWS = 500_000
 
 
 def sketched(rows: DataFrame, keys: list[str], distinct: str, measure: str) -> DataFrame:
@@ -34,3 +36,13 @@ def quantile(share: float) -> Column:
     """The value at a share of the ranks; null for a group without values."""
     held = F.kll_sketch_get_n_double("quantile_sketch") > 0
     return F.when(held, F.kll_sketch_get_quantile_double("quantile_sketch", F.lit(share)))
+
+
+def dealt(rows: DataFrame, told: DataFrame, key: str, task_rows: int = TASK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Rows and what was told of their keys, dealt alike to tasks whose number grows with the rows, so that what a task keeps in memory does not.
+
+    Both are dealt: where one side's number comes from the session, a join deals the other one again by that.
+    """
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(least, -(-rows.count() // task_rows))
+    return rows.repartition(tasks, key), told.repartition(tasks, key)

@@ -70,13 +70,15 @@ def rolled_sketches(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = tables.table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("film"), (F.ceil(F.col("l_quantity") / 5) / 2).alias("level"), "l_orderkey", "l_extendedprice")
     films = sketches.rolled_up(sketches.sketched(rows, ["film", "level"], "l_orderkey", "l_extendedprice"), ["film"])
     told = films.select("film", "n", sketches.n_distinct().alias("about"), sketches.quantile(0.5).alias("median"))
-    exact = rows.join(told.select("film", "median"), "film").groupBy("film").agg(
+    # one pass for all: figures of the sketches go along as keys, and their few rows are what is hashed
+    every, few = sketches.dealt(rows, told, "film")
+    exact = every.join(few.hint("shuffle_hash"), "film").groupBy(*told.columns).agg(
         F.count_distinct("l_orderkey").alias("orders"), F.count_if(F.col("l_extendedprice") <= F.col("median")).alias("upto"), F.count_if(F.col("l_extendedprice") < F.col("median")).alias("below"),
     )
     near = F.abs(F.col("about") - F.col("orders")) <= F.greatest(F.lit(1.0), sketches.DISTINCT_ERROR * F.col("orders"))
     error = sketches.RANK_ERROR * F.col("n") + 1
     inside = (F.col("below") - error <= F.col("n") / 2) & (F.col("upto") + error >= F.col("n") / 2)
-    return told.join(exact, "film").select("film", "n", near.alias("distinct_ok"), inside.alias("median_ok"))
+    return exact.select("film", "n", near.alias("distinct_ok"), inside.alias("median_ok"))
 
 
 @query("""WITH runs AS (SELECT o_custkey AS customer, 1 AS run, o_orderkey % 3 = 0 AS found, o_orderkey FROM orders WHERE o_orderkey % 2 = 0
