@@ -169,3 +169,19 @@ def test_exact_figures_are_dealt_by_the_number_of_rows(spark):
         assert len(got) == 1000 and all(r.n == r.again == n // 1000 for r in got)
         tasks[n] = len({r.task for r in got})
     assert tasks[4_000] == 4 and tasks[40_000] > 30
+
+
+def test_word_lists_are_made_once(spark):
+    """However often lists are looked at, what they come from is read once."""
+    made = spark.sparkContext.accumulator(0)
+
+    def told(word):
+        made.add(1)
+        return word
+
+    rows = [("pt", "de"), ("pt", "que"), ("en", "the"), ("en", "")]
+    lists = spark.createDataFrame(rows, "language string, word string").withColumn("word", F.udf(told, "string").asNondeterministic()("word"))
+    texts = spark.createDataFrame([(1, "the de QUE, x"), (2, None)], "id int, prose string")
+    counts, known = languages.language_counts(texts, "id", "prose", lists)
+    assert known == ["en", "pt"] and sorted((r.id, r.n_en, r.n_pt) for r in counts.collect()) == [(1, 1, 2), (2, 0, 0)]
+    assert made.value == len(rows)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tierloom.functions import text
+from tierloom.operators.rounds import settled
 
 UNKNOWN, MIXED = "indeterminado", "misto/ambíguo"
 #: A table of up to so many words is broadcast to the texts' words; a larger one is joined by the word.
@@ -29,9 +30,10 @@ def language_counts(texts: DataFrame, key: str, prose: str, lists: DataFrame) ->
     """key and a column n_<language> for each language of the lists, and the languages.
 
     Each word of a text is looked up once in the table of all lists; a word may be in several. Every text has a row, null and empty
-    ones count nothing; texts that share a key are counted together.
+    ones count nothing; texts that share a key are counted together. The lists are kept first: they are looked at three times, and
+    making them may mean reading all texts.
     """
-    listed = lists.select("language", "word").filter("language IS NOT NULL AND word <> ''").distinct()
+    listed = settled(lists.select("language", "word").filter("language IS NOT NULL AND word <> ''").distinct())
     languages = sorted(r["language"] for r in listed.select("language").distinct().limit(MOST_LANGUAGES + 1).collect())
     if len(languages) > MOST_LANGUAGES:
         raise ValueError(f"more than {MOST_LANGUAGES} languages")
